@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from annalum.llm import exact_dedup, mixing, sharding
+from annalum.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_packing": packing.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_sharding": sharding.query,
+    "op7_simhash": simhash.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }
