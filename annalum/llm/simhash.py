@@ -94,6 +94,11 @@ def variants(fps: DataFrame, ball: list[tuple[int, int]]) -> DataFrame:
     return fps.select("fp", F.explode(table).alias("v")).select((F.col("fp").bitwiseAND(F.col("v.m"))).bitwiseXOR(F.col("v.x")).alias("variant"), "fp")
 
 
+def differing(x: np.ndarray) -> np.ndarray:
+    """Bits set in signed 64-bit numbers (of a negative number, bitwise_count counts the bits of its absolute value)."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def spanning(fps: np.ndarray, radius: int) -> tuple[list, list]:
     """Links that connect what chains of links within fps connect."""
     a, b, front, rest = [], [], [], fps
@@ -102,10 +107,10 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[list, list]:
             front, rest = [rest[0]], rest[1:]
             continue
         x = front.pop()
-        near = np.bitwise_count(rest ^ x) <= radius
+        near = differing(rest ^ x) <= radius
         if near.any():
             hit = rest[near]
-            a += [x] * len(hit)
+            a += [int(x)] * len(hit)
             b += hit.tolist()
             front += list(hit)
             rest = rest[~near]
@@ -123,7 +128,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterato
         begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.empty(0, np.int64)
         size = np.diff(np.r_[begin, len(v)])
         two = begin[size == 2]
-        two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= radius]
+        two = two[differing(f[two] ^ f[two + 1]) <= radius]
         a, b = f[two].tolist(), f[two + 1].tolist()
         for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             more = spanning(f[at : at + n], radius)
