@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from annalum.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
+from annalum.llm import exact_dedup, hmm_lm, language_id, mixing, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_packing": packing.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_url_filters": url_filters.query,
     "op5_sharding": sharding.query,
+    "op6_hmm_lm": hmm_lm.query,
     "op7_simhash": simhash.query,
+    "op8_language_id": language_id.query,
+    "op9_quality_classifier": quality_classifier.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_url_filters": url_filters.SQL,
     "op10_mixing": mixing.SQL,
 }
