@@ -58,14 +58,17 @@ def ascii_slug(title: pd.Series) -> pd.Series:
     return title.map(slug)
 
 
+PARAGRAPH_CHARS = 1500
+
+
 @pandas_udf("array<string>")
-def paragraphs(text: pd.Series, most: int = 1500) -> pd.Series:
-    """Paragraphs packed in order into pieces of at most `most` characters; a longer paragraph is a piece of its own."""
+def paragraphs(text: pd.Series) -> pd.Series:
+    """Paragraphs packed in order into pieces of at most 1500 characters; a longer paragraph is a piece of its own."""
 
     def pack(t: str | None) -> list[str]:
         out: list[str] = []
         for p in (x.strip() for x in re.split(r"\n\s*\n", t or "")):
-            if p and out and len(out[-1]) + 2 + len(p) <= most:
+            if p and out and len(out[-1]) + 2 + len(p) <= PARAGRAPH_CHARS:
                 out[-1] += "\n\n" + p
             elif p:
                 out.append(p)
@@ -77,15 +80,18 @@ def paragraphs(text: pd.Series, most: int = 1500) -> pd.Series:
 _HEADING = re.compile(r"(?m)^(?:(?:CHAPTER|BOOK|PART|ACT|SCENE|SECTION)\s+(?:[IVXLCDM]+|\d+)\b.*|[IVXLCDM]+\.\s+\S.*)$")
 
 
+SECTION_CHARS = 500
+
+
 @pandas_udf("array<struct<heading:string,body:string>>")
-def sections(text: pd.Series, least: int = 500) -> pd.Series:
-    """A book's sections by its headings; bodies under `least` characters are lines of a table of contents."""
+def sections(text: pd.Series) -> pd.Series:
+    """A book's sections by its headings; bodies under 500 characters are lines of a table of contents."""
 
     def split(t: str | None) -> list[dict]:
         t = t or ""
         marks = [*_HEADING.finditer(t)]
         found = [{"heading": m.group().strip(), "body": t[m.end() : n].strip()} for m, n in zip(marks, [*(x.start() for x in marks[1:]), len(t)], strict=True)]
-        found = [s for s in found if len(s["body"]) >= least]
+        found = [s for s in found if len(s["body"]) >= SECTION_CHARS]
         return found or ([{"heading": "", "body": t.strip()}] if t.strip() else [])
 
     return text.map(split)

@@ -44,18 +44,19 @@ def royal(name: Column) -> tuple[Column, Column]:
 
 def word_ngrams(text: Column, least: int, most: int, min_chars: int = 5) -> Column:
     """Distinct n-grams of a text's words, joined by blanks, of at least min_chars."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)
-    grams = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(F.concat(*[grams(n) for n in range(least, most + 1)])), lambda g: F.length(g) >= min_chars)
+    def of(w: Column) -> Column:  # w: the words, bound once for all positions
+        grams = lambda n: w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.array_distinct(F.concat(*[grams(n) for n in range(least, most + 1)])), lambda g: F.length(g) >= min_chars)
+
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))), of)[0]
 
 
 def tokens(text: Column) -> Column:
     """Search tokens: runs of a-z; of Hangul and of Kana and Han, each run's pairs and the run."""
     low = F.lower(text)
-    def runs(pattern: str) -> Column:
-        pairs = lambda w: F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), 0), lambda w: F.concat(pairs(w), F.array(w))))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z]+"), 0), runs(r"[가-힯]+"), runs(r"[぀-ヿ一-鿿]+"))
+    pairs = lambda w: F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    runs = lambda pattern: F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda w: F.concat(pairs(w), F.array(w))))
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), runs("[\uac00-\ud7af]+"), runs("[\u3040-\u30ff\u4e00-\u9fff]+"))
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:

@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, key: str, body: Column, terms: list[str], k: int | Non
     """
     unique = sorted(set(terms))
     toks = text.tokens(F.coalesce(body, F.lit("")))
-    rows = docs.select(key, toks.alias("_t")).select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda x, q=q: x == q)).alias(f"_f{i}") for i, q in enumerate(unique)])
+    rows = docs.select(key, toks.alias("_t")).select(key, F.size("_t").alias("_n"), *[(F.size("_t") - F.size(F.array_remove("_t", F.lit(q)))).alias(f"_f{i}") for i, q in enumerate(unique)])
     totals = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(unique))])
     idf = lambda i: F.ln((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
     part = lambda i: idf(i) * (F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))) * terms.count(unique[i])

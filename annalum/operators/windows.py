@@ -38,15 +38,15 @@ def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, n
 
 
 def durations(df: DataFrame, by: list[str], time: str, key: str, work: str) -> DataFrame:
-    """Seconds since the group's row before, and work per second; null where there is none or no time passed."""
+    """Microseconds since the group's row before, and work per second; null where there is none or no time passed."""
     w = W.partitionBy(*by).orderBy(time, key)
-    seconds = F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w))
-    return df.withColumn("micros", seconds).withColumn("rate", F.when(F.col("micros") > 0, F.col(work) * 1e6 / F.col("micros")))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    return df.withColumn("micros", at - F.lag(at).over(w)).withColumn("rate", F.when(F.col("micros") > 0, F.col(work) * 1e6 / F.col("micros")))
 
 
 def hourly_count(df: DataFrame, by: str, time: str, limit: int, hours: int = 1) -> DataFrame:
     """How many rows of the group the last hours hold, itself included, and whether that is over the limit."""
-    seconds = F.unix_seconds(F.col(time))
+    seconds = F.unix_seconds(F.col(time).cast("timestamp"))
     w = W.partitionBy(by).orderBy(seconds).rangeBetween(-(3600 * hours - 1), 0)
     return df.withColumn("recent", F.count("*").over(w)).withColumn("refused", F.col("recent") > limit)
 

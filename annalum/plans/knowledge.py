@@ -87,10 +87,10 @@ def bfs_min_depth(t: Tables) -> DataFrame:
     return graph.bfs(_near_chain(t, 400), 7, 5)
 
 
-@query("WITH RECURSIVE " + _LOC_EDGES.format(gap=20) + """, b AS (SELECT a_id, b_id FROM g UNION SELECT b_id, a_id FROM g),
+@query("WITH RECURSIVE " + _LOC_EDGES.format(gap=150) + """, b AS (SELECT a_id, b_id FROM g UNION SELECT b_id, a_id FROM g),
 w AS (SELECT DISTINCT a_id AS node, a_id AS root FROM b UNION SELECT b.b_id, root FROM w JOIN b ON b.a_id = w.node) SELECT node, min(root) AS component FROM w GROUP BY 1""")
 def connected_components(t: Tables) -> DataFrame:
-    return graph.components(_near_chain(t, 20).select("a_id", "b_id"))
+    return graph.components(_near_chain(t, 150).select("a_id", "b_id"))
 
 
 @query("WITH " + _LOC_EDGES.format(gap=50) + """ SELECT id, title, date_start::BIGINT AS date_start, CASE WHEN importance >= 5 THEN 'major' ELSE 'minor' END AS kind FROM event WHERE id IN (SELECT a_id FROM g UNION SELECT b_id FROM g)""")
