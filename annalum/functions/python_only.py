@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Elements without visible text, and those that end a line.
 HIDDEN = {"script", "style", "nav", "noscript", "header", "footer", "template"}
@@ -48,12 +49,12 @@ def slug(title: str | None, most: int = 200) -> str:
     return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")[:most]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(visible_text)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ascii_slug(title: pd.Series) -> pd.Series:
     return title.map(slug)
 
@@ -61,7 +62,7 @@ def ascii_slug(title: pd.Series) -> pd.Series:
 PARAGRAPH_CHARS = 1500
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def paragraphs(text: pd.Series) -> pd.Series:
     """Paragraphs packed in order into pieces of at most 1500 characters; a longer paragraph is a piece of its own."""
 
@@ -83,7 +84,7 @@ _HEADING = re.compile(r"(?m)^(?:(?:CHAPTER|BOOK|PART|ACT|SCENE|SECTION)\s+(?:[IV
 SECTION_CHARS = 500
 
 
-@pandas_udf("array<struct<heading:string,body:string>>")
+@pandas_udf(ArrayType(StructType([StructField("heading", StringType()), StructField("body", StringType())])))
 def sections(text: pd.Series) -> pd.Series:
     """A book's sections by its headings; bodies under 500 characters are lines of a table of contents."""
 

@@ -9,18 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from annalum.functions import scores, text
 from annalum.operators.joins import blocked_pairs
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 0 to 1; 0 if either is null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity raised by a common prefix of up to four characters; 0 if either is null."""
     def jaro(s: str, t: str) -> float:
