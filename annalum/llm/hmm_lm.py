@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from annalum.llm.common import held_out, read, text_or_empty, written
 
-HEAD, STATES, ROUNDS, BLOCK, MIXED, SEED = 60_000, 8, 6, 256, 0.1, 3
+HEAD, STATES, ROUNDS, BLOCK, LEAST_MIXED, SEED = 60_000, 8, 6, 256, 0.05, 3
 FLUSH = 400_000
 
 
@@ -223,8 +223,9 @@ def _expected(batches: Iterator[pa.RecordBatch], model, block: int) -> Iterator[
     yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int32()), *[pa.array(rows[:, j], pa.float32()) for j in range(k)]], ["symbol", *[f"s{j}" for j in range(k)]])
 
 
-def baum_welch(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS, block: int = BLOCK, mixed: float = MIXED, seed: int = SEED) -> Model:
-    """A model of the rows of encoded that are not held out. mixed: the share of the base model in every state."""
+def baum_welch(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS, block: int = BLOCK, least_mixed: float = LEAST_MIXED, seed: int = SEED) -> Model:
+    """A model of the rows of encoded that are not held out. A state mixes the base model in as if it had seen as many
+    tokens of it as the alphabet has symbols, and at least `least_mixed` of it."""
     model, base = Model.first(vocab, states, seed), vocab.base()
     training = encoded.filter("not held_out").select("ids")
     for _ in range(rounds if vocab.total else 0):
@@ -239,7 +240,9 @@ def baum_welch(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, roun
                 start = row
             else:
                 moves[-2 - s] = row
-        emit = (1 - mixed) * emitted / np.maximum(emitted.sum(0), 1e-9) + mixed * base[:, None]
+        seen = emitted.sum(0)
+        mixed = np.maximum(len(base) / (seen + len(base)), least_mixed)
+        emit = (1 - mixed) * emitted / np.maximum(seen, 1e-9) + mixed * base[:, None]
         model = Model((start + 1) / (start + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True), emit / emit.sum(0))
         sent.destroy()
     return model
