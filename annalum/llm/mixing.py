@@ -8,7 +8,7 @@ by size makes the sample a stratified one, so the words taken come near the targ
 The prefix sum is not a window over a source, which may hold a third of all rows. Rows are counted per (source,
 size class, sub-bucket), with pre-aggregation; offsets of these buckets are summed over the small table of counts,
 and only the rows of one bucket are numbered together. Sub-buckets split a class that has more than `bucket_rows`
-rows, by a hash of doc_id. The offset is one of `draws` seeded draws: the one whose taken words are nearest the target.
+rows (a 2000th of all, 1000 at least), by a hash of doc_id. The offset is one of `draws` seeded draws: the one whose taken words are nearest the target.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share all words by weight, none above `cap`
 times its own size. That is a water level: with sources in the order of cap / weight, those that reach the cap come
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from annalum.llm.common import hex_hash, join_hot, read, word_count, written
 
-WEIGHTS, CAP, SEED, DRAWS, BUCKET_ROWS = (1, 2, 3), 3, "mix", 32, 50_000
+WEIGHTS, CAP, SEED, DRAWS, LEAST_BUCKET, BUCKETS = (1, 2, 3), 3, "mix", 32, 1000, 2000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -44,17 +44,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return level.select("no_source", "src", "source_size", F.least(F.col("source_size") * cap, F.col("level") * F.col("weight")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draws: int = DRAWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draws: int = DRAWS, bucket_rows: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
     size = word_count(F.col("text"))
     rows = written(docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), size.alias("size")).withColumn("class", F.length(F.bin("size"))), "mix-sizes")
+    total = max(1, rows.count())
+    bucket_rows = bucket_rows or max(LEAST_BUCKET, total // BUCKETS)
     classes = rows.groupBy("no_source", "src", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     classes = written(classes.withColumn("subs", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-classes")
     by_source = targets(classes.groupBy("no_source", "src").agg(F.sum("words").alias("source_size")), weights, cap)
     by_source = by_source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     by_source = written(by_source, "mix-targets")
 
-    total = max(1, rows.count())
     keys = ["no_source", "src", "class"]
     bucketed = join_hot(rows, classes.select(*keys, "n", "subs"), keys, "n", total)
     bucketed = bucketed.withColumn("sub", F.when(F.col("subs") > 1, hex_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.col("subs")).otherwise(F.lit(0)))
