@@ -4,6 +4,7 @@ import pytest
 
 import annalum.plans.extensions
 import annalum.plans.knowledge
+import annalum.plans.more
 import annalum.plans.queries  # noqa: F401
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import rows_of, rows_of_sql
