@@ -84,10 +84,9 @@ def thresholds(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     named = lambda df, p: df.select(*[c for c in df.columns if c.endswith("_key")], *[F.col(c).alias(p + c) for c in ("rows", *limits)])
     own = named(fences(sketch, ["lang_key", "source_key"]), "a_")
     lang = named(fences(merged(sketch, ["lang_key"]), ["lang_key"]), "b_")
-    every = named(fences(merged(sketch.withColumn("all_key", F.lit(0)), ["all_key"]), ["all_key"]), "c_")
-    joined = own.withColumn("all_key", F.lit(0)).join(lang, "lang_key").join(every, "all_key")
-    choose = lambda c: F.when(F.col("a_rows") >= least_rows, F.col(f"a_{c}")).when(F.col("b_rows") >= least_rows, F.col(f"b_{c}")).otherwise(F.col(f"c_{c}")).alias(c)
-    return joined.select("lang_key", "source_key", F.col("a_rows").alias("n"), *[choose(c) for c in limits])
+    every = fences(merged(sketch.withColumn("all_key", F.lit(0)), ["all_key"]), ["all_key"]).first()  # one row
+    choose = lambda c: F.when(F.col("a_rows") >= least_rows, F.col(f"a_{c}")).when(F.col("b_rows") >= least_rows, F.col(f"b_{c}")).otherwise(F.lit(every[c] if every else None).cast("double")).alias(c)
+    return own.join(lang, "lang_key").select("lang_key", "source_key", F.col("a_rows").alias("n"), *[choose(c) for c in limits])
 
 
 def judge(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
