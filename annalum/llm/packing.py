@@ -6,8 +6,9 @@ which takes the rest and so may be shorter; all other documents stay whole. Full
 The rest is packed online with bounded space: a fixed number of open bins, listed by free space, and a bitset with
 one bit per free space in use. A piece goes to the bin with the least free space that holds it, found by one shift
 and one lowest-bit step. When too many bins are open, the fullest closes. At the end of a task the bins still open
-are merged by the same rule, the largest first. Tasks see pieces in the order of a hash, not of length, so that large
-and small ones mix; only ids and lengths are shuffled, never texts. A task holds the open bins and nothing else.
+are merged by the same rule, the largest first. Tasks see pieces in the order of a hash, so that every task gets large and
+small ones; a bounded look-ahead hands them to the bins the longest first, which wastes a tenth of what plain arrival
+order does. Only ids and lengths are shuffled, never texts. A task holds its open bins and one look-ahead.
 
 Tokens: words of the vocabulary's own pattern are looked up in a bounded memo per worker; others are encoded by
 tiktoken with the ranks of the same vocabulary, which gives the ids of the tokenizers file (the tests compare them).
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from annalum.llm.common import read, text_or_empty, written
 
-CAPACITY, END, OPEN_BINS, PIECES_PER_TASK = 1024, 2, 1024, 100_000
+CAPACITY, END, OPEN_BINS, AHEAD, PIECES_PER_TASK = 1024, 2, 8192, 8192, 100_000
 VOCABULARY, RANKS, MEMO = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 300_000
 
 
@@ -159,8 +160,8 @@ class Bins:
                 self.close(b)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
-    base, made, done = TaskContext.get().partitionId() << 40, 0, []
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int, ahead: int) -> Iterator[pa.RecordBatch]:
+    base, made, done, waiting = TaskContext.get().partitionId() << 40, 0, [], []
 
     def close(items: list) -> None:
         nonlocal made
@@ -175,24 +176,36 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> I
         done.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*(f.type for f in schema), pa.int64(), pa.int64()], strict=True)], [*schema.names, "sequence_id", "offset"])
 
+    def place() -> None:
+        waiting.sort(key=lambda row: -row[3])
+        for row in waiting:
+            bins.add([(row, row[3])], row[3])
+        waiting.clear()
+
     bins, schema = Bins(capacity, open_bins, close), None
     for batch in batches:
         schema = batch.schema
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            bins.add([(row, row[3])], row[3])
+            if row[3] == capacity:
+                close([(row, capacity)])
+            else:
+                waiting.append(row)
+                if len(waiting) == ahead:
+                    place()
         if done:
             yield out(schema)
+    place()
     bins.finish()
     if done:
         yield out(schema)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ahead: int = AHEAD, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """parts (a written table of pieces) with sequence_id and offset."""
     parts = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
     tasks = max(1, parts.count() // pieces_per_task)
     dealt = parts.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(tasks, "h").sortWithinPartitions("h", "doc_id", "piece").drop("h")
-    return dealt.mapInArrow(partial(_pack, capacity=capacity, open_bins=open_bins), dealt.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint")
+    return dealt.mapInArrow(partial(_pack, capacity=capacity, open_bins=open_bins, ahead=ahead), dealt.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, files=None, open_bins: int = OPEN_BINS) -> DataFrame:
