@@ -82,13 +82,14 @@ def story_availability(t: Tables) -> DataFrame:
     return joins.co_mentions(t.mentions("person"), t.mentions("event")).groupBy(F.col("a_id").alias("person_id")).agg(F.count("*").alias("events"))
 
 
-@query("""WITH x AS (SELECT page_id AS id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"#]+)', 1))) AS target FROM pages), n AS (SELECT page_id, lower(url) AS u FROM pages)
+@query("""WITH x AS (SELECT page_id AS id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"#]+)', 1))) AS target FROM pages), n AS (SELECT page_id, '/' || lower(split_part(trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), ' ', 1)) AS u FROM pages)
 SELECT x.id, x.target, 'event' AS kind, max(n.page_id) AS target_id FROM x JOIN n ON lower(x.target) = n.u GROUP BY 1, 2""")
 def page_link_edges(t: Tables) -> DataFrame:
-    """Links of pages to pages that are there."""
+    """Links of pages to pages whose title begins with the word linked."""
     pages = t.pages.select(F.col("page_id").alias("id"), text.links(F.col("html")).alias("links"))
     none = t.pages.select(F.col("page_id").alias("id"), F.lit(None).cast("string").alias("name")).filter("name is not null")
-    return graph.link_edges(pages, none, t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("name")), none)
+    named = t.pages.select(F.col("page_id").alias("id"), F.concat(F.lit("/"), F.split_part(text.title(F.col("html")), F.lit(" "), F.lit(1))).alias("name"))
+    return graph.link_edges(pages, none, named, none)
 
 
 @query("""WITH s AS (SELECT location_id, id AS a_id, lead(id) OVER (PARTITION BY location_id ORDER BY date_start, id) AS b_id FROM event WHERE location_id IS NOT NULL) SELECT a_id, b_id FROM s WHERE b_id IS NOT NULL AND a_id % 7 <> 0 AND b_id % 7 <> 0""")
