@@ -29,10 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is read column by column."""
     path = f"{shared_dir(df.sparkSession)}/annalum/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +45,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written to the shared folder. Results that read them must be saved first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -356,3 +356,15 @@ def test_ranges_do_not_change_verdicts(spark):
         got = url_filters.filter_urls(pages, table, tasks=tasks).collect()
         assert {r.page_id: (r.rule, r.verdict) for r in got} == want and len(got) == len(want)
     assert url_filters.filter_urls(pages.limit(0), table).count() == 0
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    from annalum.llm import common
+
+    path = common.written(spark.range(3), "test-release").inputFiles()[0].removeprefix("file://")
+    before, common._PATHS[:] = common._PATHS[:-1], common._PATHS[-1:]
+    common.release(spark)
+    common._PATHS[:] = before
+    assert not os.path.exists(path)
