@@ -216,10 +216,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return join_hot(rows, written(of_fp, "simhash-components"), ["fp"], "n", max(1, rows.count())).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that of the smallest id. Rows that share an id are one document."""
-    found = near_duplicates(docs, shingle, radius)
-    return without(docs, written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped"))
+def drop_near_duplicates(docs: DataFrame, shingles: tuple[int, ...] = (2, SHINGLE), radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each group: that of the smallest id. Rows that share an id are one document.
+
+    Documents are linked if their fingerprints are close over shingles of any of the given widths: a changed word moves
+    half as many shingles of two words as of four, so that copies with a few edits are caught by the narrow ones.
+    """
+    stars = [near_duplicates(docs, k, radius).filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b")) for k in shingles]
+    pairs = stars[0]
+    for more in stars[1:]:
+        pairs = pairs.union(more)
+    return without(docs, written(components(pairs.distinct()).select(F.col("node").alias("doc_id")), "simhash-dropped"))
 
 
 def hexed(fp: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from annalum.llm import exact_dedup, mixing, quality_classifier, simhash
+from tests.llm.test_operators import slow_components
 
 
 def test_stages(spark, data):
@@ -25,10 +26,19 @@ def test_stages(spark, data):
         last[r.text] = max(r.doc_id, last.get(r.text, r.doc_id))
     assert sorted(r.doc_id for r in after) == sorted(last.values())
     before, after = seen["simhash_near_dedup"]
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in before}
-    from tests.llm.test_operators import slow_components
+    root = {r.doc_id: r.doc_id for r in before}
 
-    assert sorted(r.doc_id for r in after) == sorted(set(slow_components(fps).values()))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for width in (2, 4):  # close over either width of shingles
+        fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), width) for r in before}
+        for i, c in slow_components(fps).items():
+            x, y = find(i), find(c)
+            root[max(x, y)] = min(x, y)
+    assert sorted(r.doc_id for r in after) == sorted({find(i) for i in root})
     before, after = seen["mixing"]
     source = exact_dedup.written(spark.createDataFrame(before, docs.schema), "test-mix")
     assert len(after) == sum(r.copies for r in mixing.mix(source).collect())
