@@ -6,16 +6,17 @@ offset per source is added, and a document is emitted once for every integer tha
 by size makes the sample a stratified one, so the words taken come near the target, not only the copies.
 
 The prefix sum is not a window over a source, which may hold a third of all rows. Rows are counted per (source,
-size class, sub-bucket), with pre-aggregation; offsets of these buckets are summed over the small table of counts,
-and only the rows of one bucket are numbered together. Sub-buckets split a class that has more than `bucket_rows`
-rows (a 2000th of all, 1000 at least), by a hash of doc_id. The offset is one of `draws` seeded draws: the one whose taken words are nearest the target.
+size), with pre-aggregation; offsets of these buckets are summed over the table of counts, which has a row per distinct
+size of a source, and only the rows of one bucket are numbered together. A bucket of more than `bucket_rows` rows (a
+2000th of all, 1000 at least) is split by ranges of doc_id, whose bounds come from a sample: they decide which task
+numbers a row, not its number. The offset is one of `draws` seeded draws: the one whose taken words are nearest the target.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share all words by weight, none above `cap`
 times its own size. That is a water level: with sources in the order of cap / weight, those that reach the cap come
 first. The table of sources has one row per source and is the only thing that one task sees as a whole.
 
 Defined results: a null text has size 0, an empty source of size 0 takes nothing, a null source is a source of its
-own, ties in size go by doc_id, rows repeated in full are separate documents, an empty table gives an empty result.
+own, ties in size go by doc_id, null last, rows repeated in full are separate documents, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from annalum.llm.common import hex_hash, join_hot, read, word_count, written
 
-WEIGHTS, CAP, SEED, DRAWS, LEAST_BUCKET, BUCKETS = (1, 2, 3), 3, "mix", 32, 1000, 2000
+WEIGHTS, CAP, SEED, DRAWS, LEAST_BUCKET, BUCKETS, SAMPLE = (1, 2, 3), 3, "mix", 32, 1000, 2000, 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -47,24 +48,29 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draws: int = DRAWS, bucket_rows: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
     size = word_count(F.col("text"))
-    rows = written(docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), size.alias("size")).withColumn("class", F.length(F.bin("size"))), "mix-sizes")
+    rows = written(docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), size.alias("size")), "mix-sizes")
     total = max(1, rows.count())
     bucket_rows = bucket_rows or max(LEAST_BUCKET, total // BUCKETS)
-    classes = rows.groupBy("no_source", "src", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = written(classes.withColumn("subs", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-classes")
-    by_source = targets(classes.groupBy("no_source", "src").agg(F.sum("words").alias("source_size")), weights, cap)
+    keys = ["no_source", "src", "size"]
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-counts")
+    # At most total / bucket_rows of them are split.
+    some = rows.join(F.broadcast(sizes.filter("subs > 1")), keys).filter(F.col("doc_id").isNotNull() & (hex_hash(F.col("doc_id")) % F.col("n") < SAMPLE * F.col("subs")))
+    ids = some.groupBy(*keys).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    cuts = ids.filter(F.size("ids") >= SAMPLE).select(*keys, F.expr(f"transform(sequence({SAMPLE}, size(ids), {SAMPLE}), i -> ids[i - 1])").alias("cuts"))
+    sizes = written(sizes.join(F.broadcast(cuts), keys, "left"), "mix-sizes-cut")
+    by_source = targets(sizes.groupBy("no_source", "src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
     by_source = by_source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     by_source = written(by_source, "mix-targets")
 
-    keys = ["no_source", "src", "class"]
-    bucketed = join_hot(rows, classes.select(*keys, "n", "subs"), keys, "n", total)
-    bucketed = bucketed.withColumn("sub", F.when(F.col("subs") > 1, hex_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.col("subs")).otherwise(F.lit(0)))
+    bucketed = join_hot(rows, sizes.select(*keys, "n", "cuts"), keys, "n", total)
+    below = F.when(F.col("doc_id").isNull(), F.size("cuts")).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))))
+    bucketed = bucketed.withColumn("sub", F.when(F.col("cuts").isNull(), 0).otherwise(below))
     bucket = [*keys, "sub"]
     counts = bucketed.groupBy(*bucket).agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(W.partitionBy("no_source", "src").orderBy("class", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("m").over(W.partitionBy("no_source", "src").orderBy("size", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     begin = counts.select(*bucket, before.alias("before")).join(by_source, ["no_source", "src"])
-    numbered = bucketed.select("doc_id", "source", "size", *bucket, F.row_number().over(W.partitionBy(*bucket).orderBy("size", "doc_id")).alias("place"))
-    ranked = written(numbered.join(begin, bucket).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "class", "sub"), "mix-ranks")
+    numbered = bucketed.select("doc_id", "source", *bucket, F.row_number().over(W.partitionBy(*bucket).orderBy(F.asc_nulls_last("doc_id"))).alias("place"))
+    ranked = written(numbered.join(begin, bucket).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "sub"), "mix-ranks")
 
     offset = lambda j: hex_hash(F.concat(F.lit(f"{seed}:{j}:"), F.col("src"))) / F.lit(4294967296.0)
     copies = lambda u: F.floor(F.col("rate") * F.col("rank") + u) - F.floor(F.col("rate") * (F.col("rank") - 1) + u)
@@ -72,7 +78,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draw
     sums = ranked.groupBy("no_source", "src").agg(*[F.sum(F.col("size") * copies(offset(j))).alias(f"w{j}") for j in range(draws)])
     miss = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), F.col(f"u{j}").alias("u")) for j in range(draws)]))
     chosen = written(sums.join(tried, ["no_source", "src"]).select("no_source", "src", miss[0]["u"].alias("u")), "mix-offsets")
-    chosen = chosen.join(classes.groupBy("no_source", "src").agg(F.sum("n").alias("n")), ["no_source", "src"])
+    chosen = chosen.join(sizes.groupBy("no_source", "src").agg(F.sum("n").alias("n")), ["no_source", "src"])
     out = join_hot(ranked, chosen, ["no_source", "src"], "n", total).withColumn("copies", copies(F.col("u")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
