@@ -67,14 +67,23 @@ def decide(best: Column, second: Column, conflict: Column) -> Column:
     return F.when(conflict, "CREATE").when((best > 0.85) & (F.coalesce(second, F.lit(0.0)) <= 0.8), "LINK").when(best > 0.6, "PENDING").otherwise("CREATE")
 
 
-def fuzzy_reconcile(a: DataFrame, b: DataFrame, auto: int = 85, review: int = 60, most_per_word: int | None = 500) -> DataFrame:
-    """Best match of each title in a among titles of b that share a word; score: 80% title, 20% year. a, b: id, title, year."""
-    key = lambda: F.filter(F.split(text.unpunctuated(F.col("title")), " "), lambda w: F.length(w) > 3)
-    pairs = blocked_pairs(a, b, key(), key(), most_per_word)
-    met = pairs.join(a.select(F.col("id").alias("a_id"), text.unpunctuated(F.col("title")).alias("a_title"), F.col("year").alias("a_year")), "a_id").join(b.select(F.col("id").alias("b_id"), text.unpunctuated(F.col("title")).alias("b_title"), F.col("year").alias("b_year")), "b_id")
-    score = 80 * sequence_ratio("a_title", "b_title") + 0.2 * F.coalesce(scores.year_proximity(F.col("a_year"), F.col("b_year")), F.lit(0))
+def _title_pairs(a: DataFrame, b: DataFrame, col: str, most_per_word: int | None = None) -> DataFrame:
+    """Distinct (a_name, b_name) of names without punctuation that share a word of three letters or more, and their ratio.
+    Names are made distinct first, so that a frequent word costs by its names, not by its rows."""
+    plain = lambda df: df.select(text.unpunctuated(F.col(col)).alias("id")).distinct()
+    key = F.filter(F.split("id", " "), lambda w: F.length(w) >= 3)
+    pairs = blocked_pairs(plain(a), plain(b), key, key, most_per_word).select(F.col("a_id").alias("a_name"), F.col("b_id").alias("b_name"))
+    return pairs.withColumn("ratio", sequence_ratio("a_name", "b_name"))
+
+
+def fuzzy_reconcile(a: DataFrame, b: DataFrame, auto: int = 85, review: int = 60, most_per_word: int | None = None) -> DataFrame:
+    """Best match of each title in a among titles of b that share a word; score: 80% title, 20% year; without any, b_id is
+    null and the score 0. a, b: id, title, year. `most_per_word` leaves frequent words out; None, the default, none."""
+    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), text.unpunctuated(F.col("title")).alias(f"{s}_name"), F.col("year").alias(f"{s}_year"))
+    met = _title_pairs(a, b, "title", most_per_word).join(side(a, "a"), "a_name").join(side(b, "b"), "b_name")
+    score = 80 * F.col("ratio") + 0.2 * F.coalesce(scores.year_proximity(F.col("a_year"), F.col("b_year")), F.lit(0))
     best = met.withColumn("score", F.round(score, 6)).groupBy("a_id").agg(F.max(F.struct("score", (-F.col("b_id")).alias("minus_b"))).alias("best"))
-    out = best.select("a_id", (-F.col("best.minus_b")).alias("b_id"), F.col("best.score").alias("score"))
+    out = a.select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", (-F.col("best.minus_b")).alias("b_id"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
     return out.withColumn("decision", F.when(F.col("score") >= auto, "AUTO").when(F.col("score") >= review, "REVIEW").otherwise("NONE"))
 
 
