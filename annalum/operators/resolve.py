@@ -87,6 +87,29 @@ def fuzzy_reconcile(a: DataFrame, b: DataFrame, auto: int = 85, review: int = 60
     return out.withColumn("decision", F.when(F.col("score") >= auto, "AUTO").when(F.col("score") >= review, "REVIEW").otherwise("NONE"))
 
 
+def best_person_match(a: DataFrame, b: DataFrame, least: float = 70) -> DataFrame:
+    """a_id, b_id, score, kind for every person of a: the best of b with another id that shares a word of the name.
+
+    Score: 60% of the name (100 equal, 90 one in the other, else the ratio; under 50 is no match) and up to 40 each for the
+    years of birth and death. Below `least` b_id is null and kind 'new'. Ties go to the smallest id. a, b: id, name,
+    birth_year, death_year.
+    """
+    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), text.unpunctuated(F.col("name")).alias(f"{s}_name"), F.col("birth_year").alias(f"{s}_birth"), F.col("death_year").alias(f"{s}_death"))
+    x, y = F.col("a_name"), F.col("b_name")
+    named = _title_pairs(a, b, "name").withColumn("name", F.when(x == y, 100.0).when(F.contains(x, y) | F.contains(y, x), 90.0).otherwise(100 * F.col("ratio"))).filter("name >= 50")
+    met = named.join(side(a, "a"), "a_name").join(side(b, "b"), "b_name").filter("a_id <> b_id")
+    gap = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
+    points = lambda g: F.when(g == 0, 40).when(g <= 2, 30).when(g <= 5, 20).when(g <= 10, 10).otherwise(0)
+    far = F.coalesce(gap("birth") > 10, F.lit(False)) | F.coalesce(gap("death") > 10, F.lit(False))
+    life = F.when(far, 0).otherwise(points(gap("birth")) + points(gap("death")))
+    kind = F.when((F.col("name") >= 95) & (life >= 20), "exact").when((F.col("name") >= 80) & (life >= 20), "fuzzy").when(life >= 20, "lifespan").otherwise("name_only")
+    met = met.select("a_id", F.round(0.6 * F.col("name") + life, 6).alias("score"), (-F.col("b_id")).alias("minus_b"), kind.alias("kind"))
+    best = met.groupBy("a_id").agg(F.max(F.struct("score", "minus_b", "kind")).alias("best"))
+    out = a.select(F.col("id").alias("a_id")).join(best, "a_id", "left")
+    found = F.coalesce(F.col("best.score") >= least, F.lit(False))
+    return out.select("a_id", F.when(found, -F.col("best.minus_b")).alias("b_id"), F.coalesce("best.score", F.lit(0.0)).alias("score"), F.when(found, F.col("best.kind")).otherwise("new").alias("kind"))
+
+
 def repointed(edges: DataFrame, mapping: DataFrame, *cols: str) -> DataFrame:
     """edges with merged ids replaced and the copies that this makes removed. mapping: old_id, new_id."""
     out = edges
