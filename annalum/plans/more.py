@@ -67,16 +67,26 @@ def person_sources(t: Tables) -> DataFrame:
 
 # ---- graphs and evidence
 
-@query("""WITH m AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event' WHERE p.entity_id < 20)
-SELECT person_id, event_id, CASE WHEN date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 30 THEN 'in_period' ELSE 'other' END AS evidence FROM m JOIN person p ON p.id = person_id JOIN event e ON e.id = event_id""")
-def person_evidence(t: Tables) -> DataFrame:
-    some = t.mentions("person").filter("entity_id < 20")
+def _evidence(t: Tables, some: DataFrame) -> DataFrame:
     pairs = joins.co_mentions(some, t.mentions("event")).select(F.col("a_id").alias("person_id"), F.col("b_id").alias("event_id"))
     lives = t.person.select(F.col("id").alias("person_id"), (F.col("birth_year") - 20).alias("low"), (F.coalesce("death_year", F.col("birth_year") + 80) + 30).alias("high"))
-    met = pairs.join(F.broadcast(lives.filter("person_id < 20")), "person_id").join(t.event.select(F.col("id").alias("event_id"), "date_start"), "event_id")
+    met = pairs.join(lives, "person_id").join(t.event.select(F.col("id").alias("event_id"), "date_start"), "event_id")
     return met.select("person_id", "event_id", F.when(F.col("date_start").between(F.col("low"), F.col("high")), "in_period").otherwise("other").alias("evidence"))
 
 
+@query("""WITH m AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event' WHERE p.entity_id < 20)
+SELECT person_id, event_id, CASE WHEN date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 30 THEN 'in_period' ELSE 'other' END AS evidence FROM m JOIN person p ON p.id = person_id JOIN event e ON e.id = event_id""")
+def person_evidence(t: Tables) -> DataFrame:
+    return _evidence(t, t.mentions("person").filter("entity_id < 20"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event')
+SELECT person_id, event_id, CASE WHEN date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 30 THEN 'in_period' ELSE 'other' END AS evidence FROM m JOIN person p ON p.id = person_id JOIN event e ON e.id = event_id""")
+def person_evidence_all(t: Tables) -> DataFrame:
+    """The same for every person."""
+    return _evidence(t, t.mentions("person"))
+
+
 @query("SELECT p.entity_id AS person_id, count(DISTINCT e.entity_id) AS events FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event' GROUP BY 1")
 def story_availability(t: Tables) -> DataFrame:
     return joins.co_mentions(t.mentions("person"), t.mentions("event")).groupBy(F.col("a_id").alias("person_id")).agg(F.count("*").alias("events"))
@@ -104,16 +114,27 @@ def vector_clusters(t: Tables) -> DataFrame:
     return graph.components(search.similarity_pairs(t.embeddings, "vec_id", "label", "embedding", 0.38).select("a_id", "b_id"))
 
 
-@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person' AND entity_id < 40), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
-SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
-def strength_recomputed(t: Tables) -> DataFrame:
+def _strength(t: Tables, mentions: DataFrame) -> DataFrame:
     """From shared sources and places, never from an earlier strength."""
-    pairs = joins.co_mention_pairs(t.mentions("person").filter("entity_id < 40"))
+    pairs = joins.co_mention_pairs(mentions)
     place = lambda side: t.person.select(F.col("id").alias(f"{side}_id"), F.col("nation_id").alias(f"{side}_place"))
     shared = (F.col("a_place") == F.col("b_place")).cast("int")
     return pairs.join(place("a"), "a_id").join(place("b"), "b_id").select("a_id", "b_id", F.round(F.greatest(scores.source_factor(F.col("sources")) + 2.0 * shared, F.lit(0.1)), 6).alias("strength"))
 
 
+@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person' AND entity_id < 40), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
+SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
+def strength_recomputed(t: Tables) -> DataFrame:
+    return _strength(t, t.mentions("person").filter("entity_id < 40"))
+
+
+@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person'), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
+SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
+def strength_recomputed_all(t: Tables) -> DataFrame:
+    """The same for every person."""
+    return _strength(t, t.mentions("person"))
+
+
 # ---- browsing and observation
 
 @query(f"""SELECT e.id, e.title, round(km, 6) AS km FROM event e JOIN (SELECT id, 2 * 6371.0 * asin(sqrt(least(power(sin((radians(12.0) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(12.0)) * power(sin((radians(-30.0) - radians(longitude)) / 2), 2), 1.0))) AS km FROM location) l ON e.location_id = l.id WHERE km <= 5000 AND date_start <= 100 AND (date_end >= 100 OR date_end IS NULL)""")
