@@ -2,10 +2,12 @@
 
 Rules look at shares that do not depend on length: symbols, repeated lines, words in repeated 8-word windows,
 capitals, and the mean length of words. Their limits are not fixed: a mergeable quantile sketch of every share is
-kept per (language, source), and the limit is a fence above (or below) its quartiles. The sketch has a bucket per
-power of `base`, so its quantiles have a relative error of base - 1; sketches merge by adding counts, in any order,
-with the same result. Merging gives the sketches of languages and of the whole corpus, which serve where a source
-has fewer than `least_rows` rows. Every row goes into a sketch; the tables of sketches and fences have a few hundred
+kept per (language, source), and the limit comes from its quantiles: for shares that every text has, `reach` times the
+distance of the quartiles beyond them; for symbols, which most texts have none of, the quantile `TAIL` of all rows; for
+repeated lines and windows the same of the rows that have any. Floors only keep a limit from having no width. The sketch
+has a bucket per power of `base`, so its quantiles have a relative error of base - 1; sketches merge by adding counts, in
+any order, with the same result. Merging gives the sketches of languages and of the whole corpus, which serve where a
+source has fewer than `least_rows` rows to take the quantile of; where nothing has, there is no limit. Every row goes into a sketch; the tables of sketches and fences have a few hundred
 rows per (language, source) at most and are joined back to the rows.
 
 Within a text, repeated windows are found on an array of 64-bit hashes: only texts in which some hash repeats sort
@@ -17,15 +19,28 @@ an empty table gives an empty result; repeated rows are judged alike; other colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalum.llm.common import join_hot, read, text_or_empty, words, written
 
-#: Rule -> (fence below?, fence above?, margin): a fence stands at least `margin` beyond the quartile.
-RULES = {"symbols": (False, True, 40), "dup_lines": (False, True, 500), "repeats": (False, True, 150), "capitals": (False, True, 250), "word_length": (True, True, 150)}
-BASE, REACH, LEAST_ROWS, SYMBOLS = 1.05, 3.0, 100, "#*$%&|<>"
+
+@dataclass(frozen=True)
+class Rule:
+    """reach: limits beyond the quartiles by so many times their distance; without, the limit is the quantile TAIL.
+    some: over rows with a share above 0 only. floor: the least width, or the least limit of a tail."""
+
+    reach: float | None = None
+    below: bool = False
+    some: bool = False
+    floor: float = 1.0
+
+
+RULES = {"symbols": Rule(floor=20.0), "dup_lines": Rule(some=True), "repeats": Rule(some=True), "capitals": Rule(reach=3.0), "word_length": Rule(reach=2.2, below=True)}
+BASE, TAIL, LEAST_ROWS, SYMBOLS = 1.05, 0.95, 100, "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
@@ -38,7 +53,7 @@ REPEAT_WORDS = _let(_WINDOWS, "v", f"if(size(array_distinct(v)) = size(v), 0, {_
 def measures(docs: DataFrame) -> DataFrame:
     """The base measures of every text and the shares that the rules judge, in thousandths (word_length: hundredths)."""
     without = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
-    lines = F.expr(_let(r"filter(split(t, '\n'), l -> trim(both '\t\n\u000b\f\r ' from l) <> '')", "v", "struct(size(v) as n, size(v) - size(array_distinct(v)) as dup)"))
+    lines = F.expr(_let(r"filter(split(t, '\n'), l -> trim(both '\t\n\u000b\u000c\r ' from l) <> '')", "v", "struct(size(v) as n, size(v) - size(array_distinct(v)) as dup)"))
     rows = docs.select("doc_id", "lang", "source", text_or_empty().alias("t"))
     rows = rows.select("doc_id", "lang", "source", without(SYMBOLS).alias("n_symbols"), without(CAPITALS).alias("n_capitals"), lines.alias("l"), words(F.col("t")).alias("w"))
     rows = rows.select(
@@ -61,44 +76,68 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """n, q1 and q3 per group and rule."""
+def quantiles(sketch: DataFrame, by: list[str], levels: tuple[float, ...] = (0.25, 0.75, TAIL)) -> DataFrame:
+    """rows and the quantiles q1, q2, ... per group and rule, each the upper end of its bucket."""
+    some = [name for name, rule in RULES.items() if rule.some]
+    counted = sketch.filter(~(F.col("rule").isin(some) & (F.col("bucket") == 0)))
     up_to = F.sum("n").over(W.partitionBy(*by, "rule").orderBy("bucket"))
     all_n = F.sum("n").over(W.partitionBy(*by, "rule"))
-    at = lambda share: F.min(F.when(F.col("up_to") >= F.col("all_n") * share, F.col("bucket")))
-    value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(BASE), b - 1))
-    return sketch.select("*", up_to.alias("up_to"), all_n.alias("all_n")).groupBy(*by, "rule").agg(F.max("all_n").alias("rows"), value(at(0.25)).alias("q1"), value(at(0.75)).alias("q3"))
+    ranked = counted.select("*", up_to.alias("up_to"), all_n.alias("all_n"))
+
+    def value(level: float) -> Column:
+        bucket = F.min(F.when(F.col("up_to") >= F.col("all_n") * level, F.col("bucket")))
+        return F.when(bucket == 0, F.lit(0.0)).otherwise(F.pow(F.lit(BASE), bucket - 1))
+
+    return ranked.groupBy(*by, "rule").agg(F.max("all_n").alias("rows"), *[value(x).alias(f"q{i + 1}") for i, x in enumerate(levels)])
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """rows, <rule>_low, <rule>_high per group."""
-    margin = F.element_at(F.create_map(*[F.lit(x) for r, (_, _, m) in RULES.items() for x in (r, float(m))]), F.col("rule"))
-    q = quartiles(sketch, by).withColumn("reach", F.greatest((F.col("q3") - F.col("q1")) * REACH, margin))
-    pick = lambda rule, value: F.max(F.when(F.col("rule") == rule, value))
-    return q.groupBy(*by).agg(F.max("rows").alias("rows"), *[pick(r, F.col("q1") - F.col("reach")).alias(f"{r}_low") for r, x in RULES.items() if x[0]], *[pick(r, F.col("q3") + F.col("reach")).alias(f"{r}_high") for r, x in RULES.items() if x[1]])
+    """rows, low, high per group and rule."""
+    low = high = F.lit(None).cast("double")
+    for name, rule in RULES.items():
+        this = F.col("rule") == name
+        if rule.reach is None:
+            high = F.when(this, F.greatest("q3", F.lit(rule.floor))).otherwise(high)
+            continue
+        width = F.greatest(F.col("q2") - F.col("q1"), F.lit(rule.floor)) * rule.reach
+        high = F.when(this, F.col("q2") + width).otherwise(high)
+        if rule.below:
+            low = F.when(this, F.col("q1") - width).otherwise(low)
+    return quantiles(sketch, by).select(*by, "rule", "rows", low.alias("low"), high.alias("high"))
 
 
 def thresholds(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """lang_key, source_key, n and the fences that hold there: of the source, else of the language, else of all."""
-    limits = [f"{r}_{side}" for r, x in RULES.items() for side, on in zip(("low", "high"), x[:2], strict=True) if on]
-    named = lambda df, p: df.select(*[c for c in df.columns if c.endswith("_key")], *[F.col(c).alias(p + c) for c in ("rows", *limits)])
+    """lang_key, source_key, n and <rule>_low, <rule>_high that hold there: of the source, else of the language, else of all."""
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.withColumnsRenamed({c: prefix + c for c in ("rows", "low", "high")})
+
+    groups = sketch.groupBy("lang_key", "source_key", "rule").agg(F.sum("n").alias("n"))
     own = named(fences(sketch, ["lang_key", "source_key"]), "a_")
     lang = named(fences(merged(sketch, ["lang_key"]), ["lang_key"]), "b_")
-    every = fences(merged(sketch.withColumn("all_key", F.lit(0)), ["all_key"]), ["all_key"]).first()  # one row
-    choose = lambda c: F.when(F.col("a_rows") >= least_rows, F.col(f"a_{c}")).when(F.col("b_rows") >= least_rows, F.col(f"b_{c}")).otherwise(F.lit(every[c] if every else None).cast("double")).alias(c)
-    return own.join(lang, "lang_key").select("lang_key", "source_key", F.col("a_rows").alias("n"), *[choose(c) for c in limits])
+    every = fences(merged(sketch.withColumn("all_key", F.lit(0)), ["all_key"]), ["all_key"]).collect()  # a row per rule
+    met = groups.join(own, ["lang_key", "source_key", "rule"], "left").join(lang, ["lang_key", "rule"], "left")
+
+    def chosen(side: str) -> Column:
+        last = F.lit(None).cast("double")
+        for r in every:
+            last = F.when(F.col("rule") == r["rule"], F.lit(r[side]).cast("double")).otherwise(last)
+        return F.when(F.col("a_rows") >= least_rows, F.col(f"a_{side}")).when(F.col("b_rows") >= least_rows, F.col(f"b_{side}")).otherwise(last)
+
+    met = met.select("lang_key", "source_key", "rule", "n", chosen("low").alias("low"), chosen("high").alias("high"))
+    of = lambda name, side: F.max(F.when(F.col("rule") == name, F.col(side))).alias(f"{name}_{side}")
+    return met.groupBy("lang_key", "source_key").agg(F.max("n").alias("n"), *[of(name, side) for name in RULES for side in ("low", "high")])
 
 
 def judge(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The base measures, base_failed, and kept: no base failure and no share beyond its fence."""
+    """The base measures, base_failed, and kept: no base failure and no share beyond its limit."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     rows = written(measures(docs).withColumns({"lang_key": key(F.col("lang")), "source_key": key(F.col("source"))}), "rules-measures")
     limits = written(thresholds(written(sketches(rows, ["lang_key", "source_key"]), "rules-sketches"), least_rows), "rules-fences")
     judged = join_hot(rows, limits, ["lang_key", "source_key"], "n", max(1, rows.count()))
-    inside = [F.col(r) >= F.col(f"{r}_low") for r, x in RULES.items() if x[0]] + [F.col(r) <= F.col(f"{r}_high") for r, x in RULES.items() if x[1]]
     kept = ~F.col("base_failed")
-    for rule in inside:
-        kept = kept & rule
+    for name in RULES:
+        kept = kept & F.coalesce(F.col(name) >= F.col(f"{name}_low"), F.lit(True)) & F.coalesce(F.col(name) <= F.col(f"{name}_high"), F.lit(True))
     return judged.withColumn("kept", kept)
 
 
@@ -108,12 +147,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    fence = lambda t, by: f"""
-{t}q AS (SELECT {by}rule, max(a) AS m, min(bucket) FILTER (u >= a * 0.25) AS b1, min(bucket) FILTER (u >= a * 0.75) AS b3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}rule) AS a FROM (SELECT {by}rule, bucket, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY ALL),
-{t} AS (SELECT {by}rule, m, q1 - r AS low, q3 + r AS high FROM (SELECT *, greatest((q3 - q1) * {REACH}, margin[rule]) AS r FROM
-  (SELECT *, CASE WHEN b1 = 0 THEN 0 ELSE pow({BASE}::DOUBLE, b1 - 1) END AS q1, CASE WHEN b3 = 0 THEN 0 ELSE pow({BASE}::DOUBLE, b3 - 1) END AS q3, MAP {{{', '.join(f"'{r}': {float(x[2])}" for r, x in RULES.items())}}} AS margin FROM {t}q)))"""
-    inside = " AND ".join(["TRUE"] + [f"{r} >= low['{r}']" for r, x in RULES.items() if x[0]] + [f"{r} <= high['{r}']" for r, x in RULES.items() if x[1]])
+    def choose(by: str, name: str) -> str:
+        """CTEs of the limits of a grouping."""
+        quantile = lambda level: f"CASE WHEN min(bucket) FILTER (u >= a * {level}) = 0 THEN 0 ELSE pow({BASE}::DOUBLE, min(bucket) FILTER (u >= a * {level}) - 1) END"
+        tails = " ".join(f"WHEN '{n}' THEN greatest(q3, {r.floor}::DOUBLE)" for n, r in RULES.items() if r.reach is None)
+        highs = " ".join(f"WHEN '{n}' THEN q2 + greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.reach)
+        lows = " ".join(f"WHEN '{n}' THEN q1 - greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.below)
+        return f"""
+{name}q AS (SELECT {by}rule, max(a) AS m, {quantile(0.25)} AS q1, {quantile(0.75)} AS q2, {quantile(TAIL)} AS q3 FROM
+  (SELECT *, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}rule) AS a FROM (SELECT {by}rule, bucket, sum(n) AS n FROM kc GROUP BY ALL)) GROUP BY ALL),
+{name} AS (SELECT {by}rule, m, CASE rule {lows} END AS low, CASE rule {tails} {highs} END AS high FROM {name}q)"""
+
+    some = ", ".join(f"'{n}'" for n, r in RULES.items() if r.some)
+    inside = " AND ".join(f"coalesce({r} >= low['{r}'], TRUE) AND coalesce({r} <= high['{r}'], TRUE)" for r in RULES)
+    pick = lambda side: f"CASE WHEN fa.m >= {LEAST_ROWS} THEN fa.{side} WHEN fb.m >= {LEAST_ROWS} THEN fb.{side} ELSE fc.{side} END AS {side}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(lang, '') AS lang, lang IS NULL AS ln, coalesce(source, '') AS source, source IS NULL AS sn, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
@@ -126,13 +173,13 @@ m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
         1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_capitals // greatest(word_chars, 1) AS capitals, 100 * word_chars // greatest(n_words, 1) AS word_length FROM b),
 k AS (SELECT lang, ln, source, sn, rule, CASE WHEN x <= 0 THEN 0 ELSE 1 + ceil(ln(x) / ln({BASE}::DOUBLE)) END::INT AS bucket, count(*) AS n
         FROM (UNPIVOT (SELECT lang, ln, source, sn, {', '.join(f'{r}::BIGINT AS {r}' for r in RULES)} FROM m) ON {', '.join(RULES)} INTO NAME rule VALUE x) GROUP BY ALL),
-{fence('fa', 'lang, ln, source, sn, ')},
-{fence('fb', 'lang, ln, ')},
-{fence('fc', '')},
+kc AS (SELECT * FROM k WHERE NOT (rule IN ({some}) AND bucket = 0)),
+{choose('lang, ln, source, sn, ', 'fa')},
+{choose('lang, ln, ', 'fb')},
+{choose('', 'fc')},
 z AS (SELECT lang, ln, source, sn, map_from_entries(list((rule, low))) AS low, map_from_entries(list((rule, high))) AS high FROM
-  (SELECT fa.lang, fa.ln, fa.source, fa.sn, fa.rule, CASE WHEN fa.m >= {LEAST_ROWS} THEN fa.low WHEN fb.m >= {LEAST_ROWS} THEN fb.low ELSE fc.low END AS low,
-          CASE WHEN fa.m >= {LEAST_ROWS} THEN fa.high WHEN fb.m >= {LEAST_ROWS} THEN fb.high ELSE fc.high END AS high
-   FROM fa JOIN fb USING (lang, ln, rule) JOIN fc USING (rule)) GROUP BY ALL)
+  (SELECT g.*, {pick('low')}, {pick('high')} FROM (SELECT DISTINCT lang, ln, source, sn, rule FROM k) g
+   LEFT JOIN fa USING (lang, ln, source, sn, rule) LEFT JOIN fb USING (lang, ln, rule) LEFT JOIN fc USING (rule)) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM m JOIN z USING (lang, ln, source, sn)
 """

@@ -119,12 +119,34 @@ def test_rules(awkward, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_lines_of_white_space(spark):
+    """A form feed is white space, the letter f is not."""
+    df = spark.createDataFrame([(1, "f\nf\nf\nx"), (2, "\f\n\f\n\f\nx"), (3, "a\fb\na\fb")], "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source")
+    got = {r.doc_id: (r.n_words, r.n_dup_lines) for r in quality_rules.judge(df).collect()}
+    assert got == {1: (4, 2), 2: (1, 0), 3: (4, 1)}
+
+
 def test_sketches_merge(spark):
     df = spark.range(5000).selectExpr("id % 3 as g", *[f"id * {i + 1} as {r}" for i, r in enumerate(quality_rules.RULES)])
-    whole = quality_rules.quartiles(quality_rules.sketches(df.withColumn("one", F.lit(1)), ["one"]), ["one"]).collect()
+    whole = quality_rules.quantiles(quality_rules.sketches(df.withColumn("one", F.lit(1)), ["one"]), ["one"]).collect()
     parts = quality_rules.merged(quality_rules.sketches(df.withColumn("one", F.lit(1)), ["one", "g"]), ["one"])
-    assert sorted(map(tuple, quality_rules.quartiles(parts, ["one"]).collect())) == sorted(map(tuple, whole))
-    assert all(abs(r.q1 / (1249 * (1 + list(quality_rules.RULES).index(r.rule))) - 1) < 0.06 for r in whole)
+    assert sorted(map(tuple, quality_rules.quantiles(parts, ["one"]).collect())) == sorted(map(tuple, whole))
+    for level, q in ((0.25, "q1"), (0.75, "q2"), (0.95, "q3")):
+        assert all(abs(r[q] / (5000 * level * (1 + list(quality_rules.RULES).index(r.rule))) - 1) < 0.06 for r in whole)
+
+
+def test_limits_follow_their_group(spark):
+    """Groups of different shares get different limits, small groups those of their language, and none where nothing was seen."""
+    rows = [("=a", f"={s}", 10 * s * (i % 10), 100 * s if i % 4 else 0, 0, 10 + s * (i % 20), 400 + s * (i % 30)) for s in (1, 2, 3) for i in range(400)] + [("=a", "=few", 5, 5, 0, 12, 410)]
+    df = spark.createDataFrame(rows, f"lang_key string, source_key string, {', '.join(f'{r} int' for r in quality_rules.RULES)}")
+    keys = ["lang_key", "source_key"]
+    sketch = quality_rules.sketches(df, keys)
+    got = {r.source_key: r for r in quality_rules.thresholds(sketch).collect()}
+    for limit in ("symbols_high", "dup_lines_high", "capitals_high", "word_length_low", "word_length_high"):
+        assert len({got[f"={s}"][limit] for s in (1, 2, 3)}) == 3, limit
+    assert all(r.repeats_high is None for r in got.values())
+    whole = quality_rules.thresholds(quality_rules.sketches(df.withColumn("source_key", F.lit("=x")), keys)).first()
+    assert got["=few"].capitals_high == whole.capitals_high and got["=few"].symbols_high == whole.symbols_high
 
 
 # ---- packing
