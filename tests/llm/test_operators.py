@@ -30,6 +30,30 @@ def test_directory_splits_only_overfull_buckets():
     assert deep[0] == deep[1] == 16 and deep[65535] == 1 and deep[2] == 15
 
 
+def test_buckets_split_and_verdicts_do_not_change(spark, docs):
+    answers = []
+    for capacity in (1, 20, 10**6):
+        entries, index, depth = exact_dedup.build(docs, capacity)
+        held = [r.k for r in index.groupBy("bucket").agg(F.count("*").alias("k")).collect()]
+        distinct = entries.select("key").distinct().count()
+        assert sum(held) == distinct and len(held) <= sum(1 for i, d in enumerate(depth) if i % (1 << (exact_dedup.DEEPEST - d)) == 0)
+        assert max(held) <= capacity or max(depth) == exact_dedup.DEEPEST
+        assert capacity > distinct or max(depth) > 1
+        owned = index.select("bucket", F.expr("key").alias("key")).collect()
+        assert all((r.key % (1 << 64)) >> 64 - max(depth) == r.bucket >> 1 for r in owned if max(depth) == depth[(r.key % (1 << 64)) >> 48])
+        answers.append(sorted(map(tuple, exact_dedup.exact_dedup(docs, capacity).collect())))
+    assert answers[0] == answers[1] == answers[2]
+
+
+def test_texts_under_one_key_are_apart(spark, monkeypatch):
+    """Chains: texts that collide under a key become links of their own."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", "c", "b", "a"])], "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda c: real(c) if isinstance(c, str) else F.lit(7).cast("long"))
+    got = exact_dedup.links(docs, spark.createDataFrame([(7, 6)], "key long, n long"), [1] * (1 << exact_dedup.DEEPEST)).collect()
+    assert sorted((r.link, r.keep_id, r.group_size) for r in got) == [(1, 5, 3), (2, 4, 2), (3, 3, 1)]
+
+
 def test_copies(awkward, nothing):
     got = exact_dedup.exact_dedup(awkward, capacity=1).collect()
     assert len(got) == len(AWKWARD)
@@ -74,6 +98,29 @@ def test_shards(spark, docs, awkward, nothing):
     assert sharding.SlotMap.load(spark, at.store(spark, "round")) == at
 
 
+def test_versions_of_a_map_are_edited(spark, docs):
+    """The same table again makes no version; more shards, and other loads, each make the next one and move little."""
+    version = lambda: sharding.SlotMap.latest(spark, "edited-64", 64)
+    assert version() is None
+    of = lambda df, shards: {r.doc_id: r.shard for r in sharding.assign(df, shards, 64, name="edited").collect()}
+    first = of(docs, 4)
+    one = version()
+    assert of(docs, 4) == first and version() == one and one.version == 1
+    grown = of(docs, 5)
+    two = version()
+    assert two.version == 2 and two.shards == 5 and all(b in (a, 4) for a, b in zip(one.shard_of, two.shard_of, strict=True) if a != b and b == 4)
+    assert sum(grown[i] != first[i] for i in first) < len(first) / 2 and set(grown.values()) == set(range(5))
+    more = docs.unionByName(docs.filter("doc_id % 7 = 0").withColumn("text", F.repeat("text", 30)))
+    of(more, 5)
+    three = version()
+    load = sharding.slot_loads(sharding.slotted(more, 64), 64)[0]
+    assert three.version == 3 and max(three.loads(load)) <= max(two.loads(load))
+    folder = sharding._folder(spark, "edited-64")
+    assert [sharding.SlotMap.load(spark, f"{folder}/v{i:06d}") for i in (1, 2, 3)] == [one, two, three]
+    with pytest.raises(ValueError):
+        two.edited(load, 3)
+
+
 # ---- mixing
 
 def test_targets_are_a_water_level(spark):
