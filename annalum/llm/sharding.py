@@ -2,9 +2,11 @@
 
 Records hash by doc_id into a fixed number of virtual slots. Bytes are summed per slot, before and after the
 shuffle; that table has as many rows as there are slots, whatever the input, and is all that the driver sees.
-A versioned slot-to-shard map gives slots to shards, largest first, each to the lightest shard; it is stored in
-the shared folder, and edited, not rebuilt, when shards are added or loads change: only the slots that must move
-do. The query's law is `bytes`: shards hold nearly equal bytes.
+A versioned slot-to-shard map gives slots to shards, at first largest first, each to the lightest shard. Versions lie
+in the shared folder under the table's name, one small file each, never overwritten. The next run loads the latest one
+and edits it: shards that were added take slots from the heaviest, slots leave shards that new loads have made too
+heavy, no other slot moves; an edit that moves nothing makes no version. The query's law is `bytes`: shards hold nearly
+equal bytes.
 
 A record's place in its shard counts up without gaps: slots of a shard follow each other, and rows within a slot
 are numbered by (doc_id, checksum, size). A slot holds 1/4096 of the rows, and no group of copies lands in one
@@ -16,6 +18,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from dataclasses import dataclass
@@ -76,11 +79,21 @@ class SlotMap:
                 have[to] += load[slot]
         return SlotMap(self.version + 1, self.shards, tuple(shard_of))
 
+    def edited(self, load: list[int], shards: int) -> SlotMap:
+        """This map for new loads and at least as many shards; itself if nothing has to move."""
+        if shards < self.shards:
+            raise ValueError("shards are added, not taken away")
+        new = self
+        while new.shards < shards:
+            new = new.grown(load)
+        new = new.rebalanced(load)
+        return self if new.shard_of == self.shard_of and new.shards == self.shards else SlotMap(self.version + 1, new.shards, new.shard_of)
+
     def store(self, spark: SparkSession, name: str) -> str:
-        """Writes this version as one small JSON file; older versions stay."""
-        path = f"{shared_dir(spark)}/annalum/slot-maps/{name}/v{self.version:06d}"
+        """Writes this version as one small JSON file; a version that is there is never overwritten."""
+        path = f"{_folder(spark, name)}/v{self.version:06d}"
         row = json.dumps({"version": self.version, "shards": self.shards, "shard_of": self.shard_of})
-        spark.sql("select :row as value", args={"row": row}).write.mode("overwrite").text(path)
+        spark.sql("select :row as value", args={"row": row}).write.mode("errorifexists").text(path)
         return path
 
     @staticmethod
@@ -88,6 +101,21 @@ class SlotMap:
         got = json.loads(spark.read.text(path).first()["value"])
         return SlotMap(got["version"], got["shards"], tuple(got["shard_of"]))
 
+    @staticmethod
+    def latest(spark: SparkSession, name: str, slots: int) -> SlotMap | None:
+        """The last version under a name that was written whole; None if there is none of as many slots."""
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{_folder(spark, name)}/v*/_SUCCESS")
+        done = path.getFileSystem(conf).globStatus(path) or []
+        for at in sorted((f.getPath().getParent().toString() for f in done), reverse=True)[:1]:
+            found = SlotMap.load(spark, at)
+            return found if len(found.shard_of) == slots else None
+        return None
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/annalum/slot-maps/{name}"
+
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     text = text_or_empty()
@@ -107,12 +135,15 @@ def _lookup(values: list[int], slot: str = "vslot") -> Column:
 
 
 def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: SlotMap | None = None, name: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, shard, slot for every row; slot_map: a stored version, else a balanced one."""
+    """doc_id, size, text_crc32, vslot, shard, slot for every row. slot_map: the map to take; without, the latest version
+    under `name`, edited and stored as the next one, or a balanced one where there is none."""
     rows = slotted(docs, slots)
     load, count = slot_loads(rows, slots)
-    slot_map = slot_map or SlotMap.balanced(load, shards)
-    if name:
-        slot_map.store(docs.sparkSession, name)
+    if slot_map is None:
+        old = SlotMap.latest(docs.sparkSession, f"{name}-{slots}", slots) if name else None
+        slot_map = old.edited(load, shards) if old else SlotMap.balanced(load, shards)
+        if name and slot_map is not old:
+            slot_map.store(docs.sparkSession, f"{name}-{slots}")
     begin, so_far = [0] * slots, [0] * slot_map.shards
     for v in range(slots):
         begin[v] = so_far[slot_map.shard_of[v]]
@@ -122,7 +153,8 @@ def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: SlotM
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = assign(read(spark, sf_dir, "documents").select("doc_id", "text"), 8, SLOTS, name="documents")
+    table = "documents-" + hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    out = assign(read(spark, sf_dir, "documents").select("doc_id", "text"), 8, SLOTS, name=table)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
