@@ -21,9 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Only a local session may go without: it gets one of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="annalum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -8,8 +8,8 @@ by size makes the sample a stratified one, so the words taken come near the targ
 The prefix sum is not a window over a source, which may hold a third of all rows. Rows are counted per (source,
 size), with pre-aggregation; offsets of these buckets are summed over the table of counts, which has a row per distinct
 size of a source, and only the rows of one bucket are numbered together. A bucket of more than `bucket_rows` rows (a
-2000th of all, 1000 at least) is split by ranges of doc_id, whose bounds come from a sample: they decide which task
-numbers a row, not its number. The offset is one of `draws` seeded draws: the one whose taken words are nearest the target.
+2000th of all, LEAST_BUCKET at least) is split by ranges of doc_id, whose bounds come from a sample: they decide which task
+numbers a row, not its number.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share all words by weight, none above `cap`
 times its own size. That is a water level: with sources in the order of cap / weight, those that reach the cap come
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalum.llm.common import hex_hash, join_hot, read, word_count, written
+from annalum.llm.common import hex_hash, join_hot, read, small, word_count, written
 
-WEIGHTS, CAP, SEED, DRAWS, LEAST_BUCKET, BUCKETS, SAMPLE = (1, 2, 3), 3, "mix", 32, 1000, 2000, 16
+WEIGHTS, CAP, SEED, LEAST_BUCKET, BUCKETS, SAMPLE = (1, 2, 3), 3, "mix", 128, 2000, 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return level.select("no_source", "src", "source_size", F.least(F.col("source_size") * cap, F.col("level") * F.col("weight")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draws: int = DRAWS, bucket_rows: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, bucket_rows: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
     size = word_count(F.col("text"))
     rows = written(docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), size.alias("size")), "mix-sizes")
@@ -68,31 +68,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, draw
     bucket = [*keys, "sub"]
     counts = bucketed.groupBy(*bucket).agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy("no_source", "src").orderBy("size", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    begin = counts.select(*bucket, before.alias("before")).join(by_source, ["no_source", "src"])
-    numbered = bucketed.select("doc_id", "source", *bucket, F.row_number().over(W.partitionBy(*bucket).orderBy(F.asc_nulls_last("doc_id"))).alias("place"))
-    ranked = written(numbered.join(begin, bucket).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "sub"), "mix-ranks")
-
-    offset = lambda j: hex_hash(F.concat(F.lit(f"{seed}:{j}:"), F.col("src"))) / F.lit(4294967296.0)
-    copies = lambda u: F.floor(F.col("rate") * F.col("rank") + u) - F.floor(F.col("rate") * (F.col("rank") - 1) + u)
-    tried = by_source.select("no_source", "src", "target", *[offset(j).alias(f"u{j}") for j in range(draws)])
-    sums = ranked.groupBy("no_source", "src").agg(*[F.sum(F.col("size") * copies(offset(j))).alias(f"w{j}") for j in range(draws)])
-    miss = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), F.col(f"u{j}").alias("u")) for j in range(draws)]))
-    chosen = written(sums.join(tried, ["no_source", "src"]).select("no_source", "src", miss[0]["u"].alias("u")), "mix-offsets")
-    chosen = chosen.join(sizes.groupBy("no_source", "src").agg(F.sum("n").alias("n")), ["no_source", "src"])
-    out = join_hot(ranked, chosen, ["no_source", "src"], "n", total).withColumn("copies", copies(F.col("u")))
+    begin = counts.select(*bucket, before.alias("before")).join(small(by_source), ["no_source", "src"])
+    place = F.row_number().over(W.partitionBy(*bucket).orderBy(F.asc_nulls_last("doc_id")))
+    ranked = bucketed.select("doc_id", "source", *bucket, place.alias("place")).join(begin, bucket).withColumn("rank", F.col("before") + F.col("place"))
+    offset = hex_hash(F.concat(F.lit(f"{seed}:"), F.col("src"))) / F.lit(4294967296.0)
+    copies = F.floor(F.col("rate") * F.col("rank") + offset) - F.floor(F.col("rate") * (F.col("rank") - 1) + offset)
+    out = ranked.withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it."""
-    copies = mix(docs, **options).select("doc_id", "copies")
-    times = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__times"), F.count("*").alias("__rows"))
-    found = docs.join(times.filter("__times > 0"), docs["doc_id"].eqNullSafe(F.col("__id")))
-    # An id on several rows: its copies go round them.
-    several = found.filter("__rows > 1").withColumn("__nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    share = F.floor((F.col("__times") + F.col("__rows") - F.col("__nth")) / F.col("__rows"))
-    share = found.filter("__rows = 1").withColumn("__n", F.col("__times").cast("int")).select(*docs.columns, "__n").unionByName(several.withColumn("__n", share.cast("int")).select(*docs.columns, "__n"))
-    return share.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """docs with every row repeated as often as the mix takes it. Rows that share id, source and size stand side by side
+    in the mix's order and are dealt their copies round, in the order of their texts."""
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("times"), F.count("*").alias("rows"))
+    name = _free(docs)
+    times = taken.filter("times > 0").select(*[F.col(c).alias(f"{name}_{c}") for c in ("doc_id", "source", "size", "times", "rows")])
+    sized = docs.withColumn(f"{name}_n", word_count(F.col("text")))
+    same = docs["doc_id"].eqNullSafe(F.col(f"{name}_doc_id")) & docs["source"].eqNullSafe(F.col(f"{name}_source")) & (F.col(f"{name}_n") == F.col(f"{name}_size"))
+    found = sized.join(times, same)
+    alone = found.filter(f"{name}_rows = 1").withColumn(f"{name}_nth", F.lit(1))
+    nth = F.row_number().over(W.partitionBy("doc_id", "source", f"{name}_size").orderBy("text"))
+    found = alone.unionByName(found.filter(f"{name}_rows > 1").withColumn(f"{name}_nth", nth))
+    share = F.floor((F.col(f"{name}_times") + F.col(f"{name}_rows") - F.col(f"{name}_nth")) / F.col(f"{name}_rows")).cast("int")
+    dealt = found.select(*docs.columns, share.alias(f"{name}_share")).filter(f"{name}_share > 0")
+    return dealt.withColumn(f"{name}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{name}_share")))).select(*docs.columns)
+
+
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    name = "_mix"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -100,7 +107,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-_U = lambda j: f"('0x' || substr(md5('{SEED}:{j}:' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 SQL = f"""
 WITH d AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src,
                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
@@ -112,9 +118,7 @@ v AS (SELECT max(height) AS level FROM l),
 t AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate
       FROM (SELECT no_source, src, source_size, least((source_size * {CAP})::DOUBLE, level * weight) AS target FROM l, v)),
 r AS (SELECT doc_id, no_source, src, size, row_number() OVER (PARTITION BY no_source, src ORDER BY size, doc_id) AS rank FROM d),
-u AS (SELECT no_source, src, j, u FROM ({' UNION ALL '.join(f"SELECT no_source, src, {j} AS j, {_U(j)} AS u FROM t" for j in range(DRAWS))})),
-m AS (SELECT no_source, src, j, u, abs(sum(size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u))) - any_value(target)) AS miss FROM r JOIN t USING (no_source, src) JOIN u USING (no_source, src) GROUP BY ALL),
-c AS (SELECT no_source, src, arg_min(u, (miss, j)) AS u FROM m GROUP BY ALL)
+u AS (SELECT no_source, src, ('0x' || substr(md5('{SEED}:' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t)
 SELECT doc_id, size, source_size, target, (size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u)))::BIGINT AS taken
-FROM r JOIN t USING (no_source, src) JOIN c USING (no_source, src)
+FROM r JOIN t USING (no_source, src) JOIN u USING (no_source, src)
 """
