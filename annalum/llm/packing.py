@@ -4,11 +4,10 @@ Texts are tokenised once, in Arrow batches. A document longer than a sequence is
 which takes the rest and so may be shorter; all other documents stay whole. Full pieces are sequences of their own.
 
 The rest is packed online with bounded space: a fixed number of open bins, listed by free space, and a bitset with
-one bit per free space in use. A piece goes to the bin with the least free space that holds it, found by one shift
-and one lowest-bit step. When too many bins are open, the fullest closes. At the end of a task the bins still open
-are merged by the same rule, the largest first. Tasks see pieces in the order of a hash, so that every task gets large and
-small ones; a bounded look-ahead hands them to the bins the longest first, which wastes a tenth of what plain arrival
-order does. Only ids and lengths are shuffled, never texts. A task holds its open bins and one look-ahead.
+one bit per free space in use. A piece goes, in the order of arrival, to the bin with the least free space that holds
+it, found by one shift and one lowest-bit step. When too many bins are open, the fullest closes. At the end of a task
+the bins still open are merged by the same rule, the largest first. Tasks see pieces in the order of a hash, so that
+every task gets large and small ones. Only ids and lengths are shuffled, never texts. A task holds its open bins.
 
 Tokens: words of the vocabulary's own pattern are looked up in a bounded memo per worker; others are encoded by
 tiktoken with the ranks of the same vocabulary, which gives the ids of the tokenizers file (the tests compare them).
@@ -20,6 +19,7 @@ are kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from annalum.llm.common import read, text_or_empty, written
 
-CAPACITY, END, OPEN_BINS, AHEAD, PIECES_PER_TASK = 1024, 2, 8192, 8192, 100_000
-VOCABULARY, RANKS, MEMO = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 300_000
+CAPACITY, END, OPEN_BINS, PIECES_PER_TASK = 1024, 2, 256, 100_000
+VOCABULARY, RANKS, MEMO = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 100_000
 
 
 def vocabulary_files() -> tuple[str, str]:
@@ -42,6 +42,19 @@ def vocabulary_files() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS)
 
 
+def special_tokens(json_file: str) -> list[str]:
+    """The added tokens of a tokenizers file, which lists them before its vocabulary."""
+    with open(json_file, encoding="utf-8") as f:
+        begun = ""
+        while (at := begun.find('"added_tokens"')) < 0 or "]" not in begun[at:]:
+            more = f.read(1 << 16)
+            if not more:
+                return []
+            begun += more
+    found, _ = json.JSONDecoder().raw_decode(begun[begun.index("[", at) :])
+    return [t["content"] for t in found]
+
+
 def encoder(files: tuple[str, str] | None = None) -> Callable[[str], bytes]:
     """Text -> its ids as little-endian unsigned 32-bit numbers."""
     import base64
@@ -50,15 +63,14 @@ def encoder(files: tuple[str, str] | None = None) -> Callable[[str], bytes]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     json_file, ranks_file = files or vocabulary_files()
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(json_file)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    special = special_tokens(json_file)
     memo: dict[str, bytes] = {}
+    whole = None
 
     def fresh(part: str) -> bytes:
         if len(memo) >= MEMO:
@@ -69,7 +81,12 @@ def encoder(files: tuple[str, str] | None = None) -> Callable[[str], bytes]:
         return ids
 
     def encode(text: str) -> bytes:
+        nonlocal whole
         if any(s in text for s in special):
+            if whole is None:  # few texts need it
+                from tokenizers import Tokenizer
+
+                whole = Tokenizer.from_file(json_file)
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         # Before a blank that a visible character follows, the pattern always begins a new match.
         first, *rest = text.split(" ")
@@ -160,8 +177,8 @@ class Bins:
                 self.close(b)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int, ahead: int) -> Iterator[pa.RecordBatch]:
-    base, made, done, waiting = TaskContext.get().partitionId() << 40, 0, [], []
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+    base, made, done = TaskContext.get().partitionId() << 40, 0, []
 
     def close(items: list) -> None:
         nonlocal made
@@ -174,13 +191,8 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int, ahea
     def out(schema: pa.Schema) -> pa.RecordBatch:
         columns = list(zip(*done, strict=True))
         done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*(f.type for f in schema), pa.int64(), pa.int64()], strict=True)], [*schema.names, "sequence_id", "offset"])
-
-    def place() -> None:
-        waiting.sort(key=lambda row: -row[3])
-        for row in waiting:
-            bins.add([(row, row[3])], row[3])
-        waiting.clear()
+        kinds = [*(f.type for f in schema), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*schema.names, "sequence_id", "offset"])
 
     bins, schema = Bins(capacity, open_bins, close), None
     for batch in batches:
@@ -189,23 +201,21 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int, ahea
             if row[3] == capacity:
                 close([(row, capacity)])
             else:
-                waiting.append(row)
-                if len(waiting) == ahead:
-                    place()
+                bins.add([(row, row[3])], row[3])
         if done:
             yield out(schema)
-    place()
     bins.finish()
     if done:
         yield out(schema)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ahead: int = AHEAD, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """parts (a written table of pieces) with sequence_id and offset."""
     parts = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
     tasks = max(1, parts.count() // pieces_per_task)
     dealt = parts.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(tasks, "h").sortWithinPartitions("h", "doc_id", "piece").drop("h")
-    return dealt.mapInArrow(partial(_pack, capacity=capacity, open_bins=open_bins, ahead=ahead), dealt.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint")
+    schema = dealt.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
+    return dealt.mapInArrow(partial(_pack, capacity=capacity, open_bins=open_bins), schema)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, files=None, open_bins: int = OPEN_BINS) -> DataFrame:
