@@ -7,8 +7,8 @@ what `quantile` of the language's fitted texts have, times `slack`, the text is
 language, as the only other answer, `und`, is for texts without a letter).
 
 Document frequencies are counted over all training rows, summed per task and then by dimension. Centroids are fitted on
-a bounded sample: PER_LANGUAGE rows of each language, those of the smallest hashes; a cut by hash goes before the
-ranking, so no language is gathered in one task. Predicting reads every row in Arrow batches and shuffles nothing.
+a bounded sample: PER_LANGUAGE distinct texts of each language, those of the smallest hashes, and SAMPLE_ROWS in all; a
+cut by hash goes before the ranking, so no language is gathered in one task. More than MOST_LANGUAGES are an error. Predicting reads every row in Arrow batches and shuffles nothing.
 
 Defined results: null texts and texts without a letter are `und` with score 0; null languages are not learned from; a
 table without training rows answers `und`; an empty table gives an empty result; rows repeated in full are predicted
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalum.llm.common import held_out, read, small, written
+from annalum.llm.common import held_out, read, written
 
-DIMENSIONS, PER_LANGUAGE, CENTROIDS, ROUNDS, QUANTILE, SLACK, SEED = 4096, 400, 4, 12, 0.99, 1.1, 5
+DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS, MOST_LANGUAGES, CENTROIDS, ROUNDS, QUANTILE, SLACK, SEED = 4096, 600, 8000, 500, 12, 12, 0.99, 1.1, 5
 _FACTORS = ((2654435761,), (2246822519, 3266489917), (668265263, 374761393, 2654435769))
 
 
@@ -114,14 +114,19 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
     for r in sums:
         df[r["dim"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # About four times as many rows of a language as are wanted are ranked, whatever its size: those of small hashes.
-    hashed = rows.select("lang", "doc_id", F.octet_length("text").alias("n")).withColumn("h", F.xxhash64("doc_id", "n"))
-    share = F.least(F.lit(1.0), 4.0 * per_language / F.col("count"))
-    some = hashed.join(small(hashed.groupBy("lang").count()), "lang").filter(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31)).select("lang", "doc_id", "h").distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = some.withColumn("r", rank).filter(F.col("r") <= per_language).select("lang", "doc_id").distinct()
-    sample = F.broadcast(written(picked, "language-sample"))  # per_language rows a language at most
-    got = rows.select("lang", "doc_id", "text").join(sample, ["lang", "doc_id"], "left_semi").select("lang", "text").mapInArrow(partial(_counted, dimensions=dimensions), "lang string, counts binary").toPandas()
+    # About four times as many texts of a language as are wanted are ranked, whatever its size: those of small hashes.
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    kinds = written(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "language-counts")
+    known = kinds.count()
+    if known > MOST_LANGUAGES:
+        raise ValueError(f"{known} languages, at most {MOST_LANGUAGES} are learned")
+    per_language = min(per_language, max(1, SAMPLE_ROWS // max(known, 1)))
+    share = F.least(F.lit(1.0), 4.0 * per_language / F.col("texts"))
+    some = hashed.join(F.broadcast(kinds), "lang").filter(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    picked = written(some.withColumn("r", rank).filter(F.col("r") <= per_language).select("lang", "text"), "language-sample")
+    got = picked.mapInArrow(partial(_counted, dimensions=dimensions), "lang string, counts binary").toPandas()  # SAMPLE_ROWS rows at most
     languages = tuple(sorted(set(got["lang"])))
     found, owner, limit = [], [], []
     for i, lang in enumerate(languages):
