@@ -208,6 +208,37 @@ def test_bins_are_best_fit():
     assert sorted(map(sum, closed)) == [8, 8, 9, 10]
 
 
+def test_bins_close_under_pressure():
+    """Plain best-fit in the order of arrival; whenever a bin too many is open, the fullest goes."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 101, 3000).tolist()
+    closed, forced, bins = [], 0, []
+    packer = packing.Bins(100, 8, lambda items: closed.append([n for _, n in items]))
+    want = []
+    for n in lengths:
+        packer.add([(None, n)], n)
+        fits = [b for b in bins if sum(b) + n <= 100]
+        into = max(fits, key=sum) if fits else []
+        if not fits:
+            bins.append(into)
+        into.append(n)
+        full = [b for b in bins if sum(b) == 100]
+        if not full and len(bins) > 8:
+            forced += 1
+            full = [max(bins, key=sum)]
+        for b in full:
+            bins = [x for x in bins if x is not b]
+            want.append(sum(b))
+    assert forced > 500 and [sum(b) for b in closed] == want and packer.n == len(bins) <= 8
+
+
+def test_special_tokens():
+    from tokenizers import Tokenizer
+
+    file = packing.vocabulary_files()[0]
+    assert sorted(packing.special_tokens(file)) == sorted(t.content for t in Tokenizer.from_file(file).get_added_tokens_decoder().values())
+
+
 def test_cut():
     assert list(packing.cut(5, 4)) == [(0, 1), (1, 4)] and list(packing.cut(8, 4)) == [(0, 4), (4, 4)] and list(packing.cut(3, 4)) == [(0, 3)]
 
@@ -336,7 +367,7 @@ def slow_loglik(model, ids):
 def test_scores_of_a_language_model(spark, docs, awkward):
     for df, head in ((docs, 500), (awkward, 4)):
         training = ~held_out(F.col("doc_id"), 7, 2)
-        counts = hmm_lm.written(hmm_lm.count_words(df.filter(training)), "test-counts")
+        counts = hmm_lm.written(hmm_lm.count_words(df, training), "test-counts")
         vocab = hmm_lm.vocabulary(counts, head)
         encoded = hmm_lm.encode(df, training, vocab)
         model = hmm_lm.baum_welch(encoded, vocab, 3, 2)
@@ -362,6 +393,77 @@ def test_scores_of_a_language_model(spark, docs, awkward):
             assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-3 and abs(a[5] - b[5]) < 1e-3
 
 
+def slow_expected(model, texts):
+    """Plain Baum-Welch counts in double precision, one text at a time."""
+    symbols, k = model.emit.shape
+    emitted, moves, start, loglik = np.zeros((symbols, k)), np.zeros((k, k)), np.zeros(k), 0.0
+    for ids in texts:
+        alpha, scale = np.zeros((len(ids), k)), np.zeros(len(ids))
+        for t, x in enumerate(ids):
+            alpha[t] = (alpha[t - 1] @ model.move if t else model.start) * model.emit[x]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        beta = np.ones((len(ids), k))
+        for t in range(len(ids) - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[ids[t + 1]] * beta[t + 1]) / scale[t + 1]
+            moves += model.move * np.outer(alpha[t], model.emit[ids[t + 1]] * beta[t + 1] / scale[t + 1])
+        for t, x in enumerate(ids):
+            emitted[x] += alpha[t] * beta[t]
+        start += alpha[0] * beta[0]
+        loglik += np.log(scale).sum()
+    return emitted, moves, start, loglik
+
+
+@pytest.mark.parametrize("segment", [1, 7, 300, 1 << 18])
+def test_expected_counts_of_whole_texts(segment):
+    """Whatever the checkpoints, counts of long and short texts are those of the plain recursions."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 1, 2, 5, 700, 3, 64, 64, 300)]
+    model = hmm_lm.Model(np.array([0.5, 0.3, 0.2]), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3).T)
+    found = hmm_lm.Expected(model, segment)
+    found.add(texts[:5])
+    found.add(texts[5:])
+    emitted, moves, start, loglik = slow_expected(model, texts)
+    assert np.allclose(found.emitted.T, emitted, rtol=1e-3, atol=1e-3) and np.allclose(found.moves, moves, rtol=1e-3, atol=1e-3)
+    assert np.allclose(found.start, start, atol=1e-3) and abs(found.loglik - loglik) < 1e-3 * abs(loglik)
+
+
+def test_training_is_plain_baum_welch(spark):
+    """Two rounds over a table with a text longer than any block, against the plain recursions; and rounds that gain nothing end."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(int(x), 30)}" for x in rng.exponential(6, n))) for i, n in enumerate([3000, 0, 10, 40, 1, 400] * 3)], "doc_id long, text string").repartition(3)
+    training = F.col("doc_id") % 5 != 2
+    counts = hmm_lm.written(hmm_lm.count_words(docs, training), "test-bw-counts")
+    vocab = hmm_lm.vocabulary(counts, 12)
+    encoded = hmm_lm.encode(docs, training, vocab)
+    got = hmm_lm.baum_welch(encoded, vocab, 3, 2)
+    texts = [np.frombuffer(r.ids, np.uint16) for r in encoded.filter("not held_out").collect()]
+    want, base = hmm_lm.Model.first(vocab, 3), vocab.base()
+    for _ in range(2):
+        emitted, moves, start, _ = slow_expected(want, texts)
+        want = hmm_lm.renewed(emitted, moves, start, base, hmm_lm.LEAST_MIXED)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-6) for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)))
+    one = hmm_lm.baum_welch(encoded, vocab, 3, 2, tolerance=-1.0)
+    assert np.allclose(one.emit, got.emit)
+    stopped, two = hmm_lm.baum_welch(encoded, vocab, 3, 50, tolerance=10.0), hmm_lm.baum_welch(encoded, vocab, 3, 2)
+    assert np.allclose(stopped.emit, two.emit)
+
+
+def test_words_that_only_held_out_texts_have(spark):
+    """A frequent word without training counts is scored where its text is, not by a join on it."""
+    docs = spark.createDataFrame([(i, "known " * 5 if i % 2 else "unknown " * 5 + f"rare{i}") for i in range(40)], "doc_id long, text string")
+    training = F.col("doc_id") % 2 == 1
+    counts = hmm_lm.written(hmm_lm.count_words(docs, training), "test-hot")
+    vocab = hmm_lm.vocabulary(counts, 10)
+    assert vocab.hot[b"unknown"] == 0 and b"known" not in vocab.hot and (vocab.total, vocab.distinct) == (120, 2)
+    encoded = hmm_lm.encode(docs, training, vocab)
+    rows = hmm_lm.score(encoded, counts, vocab, hmm_lm.baum_welch(encoded, vocab, 2, 2)).collect()
+    for r in rows:
+        known = 6 if r.doc_id % 2 else 1
+        base = 5 * math.log10(101 / 123) + math.log10(21 / 123) if r.doc_id % 2 else 6 * math.log10(1 / 123) + math.log10(21 / 123)
+        assert r.n_known == known and abs(r.base_score - base) < 1e-6
+
+
 def test_model_beats_the_base(docs, nothing):
     got = hmm_lm.lm_scores(docs, ~held_out(F.col("doc_id"), 7, 2))[0].filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
