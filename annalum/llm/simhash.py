@@ -13,7 +13,7 @@ not compared in a task: its members go through the plain ball of half radius 2,
 a group has at most 2,081 members by geometry, so that a star per group is exact.
 
 Components of links come from rounds of large-star and small-star, each written to the shared folder; a few numbers per
-round reach the driver. Documents look up their fingerprint's component; fingerprints that many documents share are
+round reach the driver. Before a round every task replaces its own edges, FLUSH at a time, by stars of what they connect. Documents look up their fingerprint's component; fingerprints that many documents share are
 few and broadcast in that join.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids never are a component's
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalum.llm.common import join_hot, read, text_or_empty, without, written
+from annalum.llm.common import join_hot, read, text_or_empty, written
 
 BITS, RADIUS, SHINGLE, MOST, SEED = 64, 4, 4, 4096, 42
+FLUSH = 500_000
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -176,27 +177,56 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> (node, smallest node that edges of the same batch of FLUSH connect it with)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = parent.setdefault(a, a), parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) >= FLUSH:
+            yield out()
+            parent.clear()
+    if parent:
+        yield out()
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) pairs -> node, root (the smallest node that is connected) of every node but roots."""
 
     def summed(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
+    def folded(edges: DataFrame) -> DataFrame:
+        return written(edges.mapInArrow(_contracted, "a long, b long").distinct(), "components")
+
     def star(edges: DataFrame, total: int) -> DataFrame:
         """edges (u, v) -> with the smallest of u and its neighbours as m."""
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         return join_hot(edges, least.select("u", F.least("u", "m").alias("m"), "n"), ["u"], "n", max(1, total))
 
-    now = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "components")
+    now = folded(pairs.select("a", "b"))
     state = summed(now)
     for _ in range(rounds):
         if not state[0]:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         large = written(star(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
-        small = star(large, large.count()).filter("u > v")
-        joined = small.select(F.col("u").alias("a"), F.col("m").alias("b")).union(small.filter("v <> m").select("v", "m")).distinct()
-        now, before = written(joined, "components"), state
+        lower = star(large, large.count()).filter("u > v")
+        joined = lower.select(F.col("u").alias("a"), F.col("m").alias("b")).union(lower.filter("v <> m").select("v", "m")).distinct()
+        now, before = folded(joined), state
         state = summed(now)
         if state == before:
             break
@@ -216,19 +246,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return join_hot(rows, written(of_fp, "simhash-components"), ["fp"], "n", max(1, rows.count())).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingles: tuple[int, ...] = (2, SHINGLE), radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group: that of the smallest id. Rows that share an id are one document.
-
-    Documents are linked if their fingerprints are close over shingles of any of the given widths: a changed word moves
-    half as many shingles of two words as of four, so that copies with a few edits are caught by the narrow ones.
-    """
-    stars = [near_duplicates(docs, k, radius).filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b")) for k in shingles]
-    pairs = stars[0]
-    for more in stars[1:]:
-        pairs = pairs.union(more)
-    return without(docs, written(components(pairs.distinct()).select(F.col("node").alias("doc_id")), "simhash-dropped"))
-
-
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

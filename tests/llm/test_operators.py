@@ -327,7 +327,6 @@ def test_near_duplicates(docs, awkward, nothing):
         expect = {raw[i][1]: min((x for x in members[c] if x is not None), default=None) for i, c in want.items()}
         assert all(r.component_id == expect[r.fp] for r in got)
     assert simhash.near_duplicates(nothing).count() == 0
-    assert simhash.drop_near_duplicates(awkward).columns == awkward.columns
 
 
 def test_fingerprint_by_the_book():

@@ -1,8 +1,8 @@
 """Stages of the pipeline against brute force on a small table."""
 
 import corpus_pipeline
-from annalum.llm import exact_dedup, mixing, quality_classifier, simhash
-from tests.llm.test_operators import slow_components
+from annalum.llm import exact_dedup, mixing, quality_classifier
+from tests.llm.test_similar import slow_groups
 
 
 def test_stages(spark, data):
@@ -26,22 +26,23 @@ def test_stages(spark, data):
         last[r.text] = max(r.doc_id, last.get(r.text, r.doc_id))
     assert sorted(r.doc_id for r in after) == sorted(last.values())
     before, after = seen["simhash_near_dedup"]
-    root = {r.doc_id: r.doc_id for r in before}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for width in (2, 4):  # close over either width of shingles
-        fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), width) for r in before}
-        for i, c in slow_components(fps).items():
-            x, y = find(i), find(c)
-            root[max(x, y)] = min(x, y)
-    assert sorted(r.doc_id for r in after) == sorted({find(i) for i in root})
+    expected = slow_groups({r.doc_id: r.text for r in before})
+    assert sorted(r.doc_id for r in after) == sorted(set(expected.values()))
     before, after = seen["mixing"]
     source = exact_dedup.written(spark.createDataFrame(before, docs.schema), "test-mix")
     assert len(after) == sum(r.copies for r in mixing.mix(source).collect())
     packed = corpus_pipeline.packed(spark, kept, data).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in after}
     assert sum(r.piece == 0 for r in packed) == len(after)
+
+
+def test_awkward_and_empty_tables(spark, awkward, nothing, data, tmp_path):
+    """The whole run on rows with nulls, repeats and clashing names, and on no rows; rows without labels stay."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    for name, docs in (("odd", awkward), ("none", nothing)):
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert got and {r.doc_id for r in got} <= {r.doc_id for r in awkward.collect()}
+    assert not {1, 2, 6, 8} & {r.doc_id for r in got}  # 4 and 3 are their copies
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
