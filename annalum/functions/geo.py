@@ -46,3 +46,15 @@ def wkt_point(text: Column) -> tuple[Column, Column]:
     """(latitude, longitude) of 'Point(lng lat)'; null if it is not one."""
     pattern = r"Point\(([-0-9.]+) ([-0-9.]+)\)"
     return F.regexp_extract(text, pattern, 2).try_cast("double"), F.regexp_extract(text, pattern, 1).try_cast("double")
+
+
+def hexagon(lat: Column, lng: Column, size: float) -> tuple[Column, Column]:
+    """Axial coordinates of the hexagon of a plane grid (side `size` degrees) that a point is in: cube coordinates are
+    rounded, and the one that rounding moved most is set from the other two."""
+    x, z = (0.5773502691896258 * lng - lat / 3.0) / size, lat * 2.0 / 3.0 / size
+    y = -x - z
+    rx, ry, rz = (F.floor(v + 0.5) for v in (x, y, z))
+    dx, dy, dz = F.abs(rx - x), F.abs(ry - y), F.abs(rz - z)
+    q = F.when((dx > dy) & (dx > dz), -ry - rz).otherwise(rx)
+    r = F.when((dx > dy) & (dx > dz), rz).when(dy > dz, rz).otherwise(-rx - ry)
+    return q.cast("long"), r.cast("long")

@@ -55,15 +55,15 @@ def nearest(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:
     across the date line too.
     """
     height, half = _degrees(F.col("latitude"), most_km)
-    size = max(1.0, height)
+    # The least width that covers the height and divides 360, so that columns close around the globe.
+    size = float(next(d for d in range(1, 361) if 360 % d == 0 and d >= height)) if height <= 360 else 360.0
+    around_globe = int(360 / size)
     row = F.explode(F.sequence(F.floor((F.col("latitude") - height) / size), F.floor((F.col("latitude") + height) / size)))
     around = points.select("id", "latitude", "longitude", half.alias("half"), row.alias("row"))
-    columns = F.array_distinct(F.transform(F.sequence(F.floor((F.col("longitude") - F.col("half")) / size), F.floor((F.col("longitude") + F.col("half")) / size)), lambda c: F.pmod(c * size + 180, F.lit(360.0)).cast("long")))
-    around = around.withColumn("col", F.explode(columns))
-    if size != 1.0:  # columns of another width do not close around the globe: rows alone are the key
-        around, place_col = around.withColumn("col", F.lit(0).cast("long")).distinct(), F.lit(0).cast("long")
-    else:
-        place_col = F.pmod(F.floor("longitude") + 180, F.lit(360)).cast("long")
+    at = lambda lng: F.floor((lng + 180) / size)
+    columns = F.sequence(at(F.col("longitude") - F.col("half")), at(F.col("longitude") + F.col("half")))
+    around = around.withColumn("col", F.explode(F.array_distinct(F.transform(columns, lambda c: F.pmod(c, F.lit(around_globe)).cast("long")))))
+    place_col = F.pmod(at(F.col("longitude")), F.lit(around_globe)).cast("long")
     spots = places.select(F.col("id").alias("place_id"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lng"), F.floor(F.col("latitude") / size).alias("row"), place_col.alias("col"))
     km = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("p_lat"), F.col("p_lng"))
     met = around.join(spots, ["row", "col"]).withColumn("km", km).filter(F.col("km") <= most_km)
@@ -73,15 +73,18 @@ def nearest(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:
 def neighbours_in_time(events: DataFrame, k: int, within: int) -> DataFrame:
     """For each event the k nearest before and the k nearest after, strictly, within so many years.
 
-    Candidates meet by block of years; an event looks at its own block and the next ones in its direction.
+    Events of one year have the same neighbours, so years are joined, not events: of each year its first k events stand
+    for it, and a year meets at most 2 * within others, by blocks of years. What that finds is joined back to the events.
     """
-    left = events.select(F.col("id").alias("id"), F.col("date_start").alias("year"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"), F.floor(F.col("date_start") / within).alias("own"))
-    left = left.withColumn("block", F.col("own") + F.col("d")).drop("own", "d")
-    right = events.select(F.col("id").alias("other_id"), F.col("date_start").alias("other_year"), F.floor(F.col("date_start") / within).alias("block"))
-    gap = F.col("other_year") - F.col("year")
-    met = left.join(right, "block").withColumn("gap", gap).filter((F.col("gap") != 0) & (F.abs("gap") <= within))
+    dated = events.select("id", F.col("date_start").alias("year")).filter("year is not null")
+    first = top_n(dated.select("year", F.col("id").alias("other_id")), ["year"], [F.asc("other_id")], k, "nth").drop("nth")
+    block = F.floor(F.col("year") / within)
+    left = dated.select("year").distinct().withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    right = first.select(F.col("year").alias("other_year"), "other_id").withColumn("block", F.floor(F.col("other_year") / within))
+    met = left.join(right, "block").withColumn("gap", F.col("other_year") - F.col("year")).filter((F.col("gap") != 0) & (F.abs("gap") <= within))
     side = F.when(F.col("gap") < 0, "before").otherwise("after")
-    return top_n(met.withColumn("side", side), ["id", "side"], [F.abs("gap").asc(), F.asc("other_id")], k).select("id", "side", "rank", "other_id", "gap")
+    best = top_n(met.withColumn("side", side), ["year", "side"], [F.abs("gap").asc(), F.asc("other_id")], k)
+    return dated.join(best.select("year", "side", "rank", "other_id", "gap"), "year").select("id", "side", "rank", "other_id", "gap")
 
 
 def blocked_pairs(a: DataFrame, b: DataFrame, keys_a: Column, keys_b: Column, most: int | None = None) -> DataFrame:
