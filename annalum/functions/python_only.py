@@ -4,44 +4,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: Elements without visible text, and those that end a line.
-HIDDEN = {"script", "style", "nav", "noscript", "header", "footer", "template"}
-BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth += 1
-        elif tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.depth = max(0, self.depth - 1)
-        elif tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
-
-
-def visible_text(html: str | None) -> str:
-    parser = _Visible()
-    parser.feed(html or "")
-    lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(parser.parts).split("\n"))
-    return "\n".join(x for x in lines if x)
+#: Elements without visible text, and those whose end ends a line.
+HIDDEN = ("script", "style", "nav", "header", "footer", "aside", "sup", "sub")
+LINE_ENDS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr")
+
+_RAW = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>]*?(/?)>")
+
+
+def visible_text(page: str | None) -> str:
+    """One pass over the tags that are left once raw elements and comments are out: text under a hidden element is
+    skipped, ends of blocks break the line, runs of blanks and blank lines shrink."""
+    page, kept, hidden, at = _RAW.sub("", page or ""), [], 0, 0
+    for tag in _TAG.finditer(page):
+        if not hidden:
+            kept.append(unescape(page[at : tag.start()]))
+        at, name = tag.end(), tag.group(2).lower()
+        ends, opens = bool(tag.group(1) or tag.group(3)), not tag.group(1)
+        if name in HIDDEN:
+            hidden = max(0, hidden + opens - ends)
+        if ends and name in LINE_ENDS:
+            kept.append("\n")
+    if not hidden:
+        kept.append(unescape(page[at:]))
+    text = re.sub(r"\n\s*\n", "\n\n", "".join(kept))
+    return re.sub(r"\n +", "\n", re.sub(r" +", " ", text)).strip()
 
 
 def slug(title: str | None, most: int = 200) -> str:

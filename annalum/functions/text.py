@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TITLES = ("sir ", "king ", "queen ", "dame ", "lord ", "lady ", "prince ", "princess ", "emperor ", "empress ")
 SUFFIXES = (" the great", " the brave", " the bold", " the fair", " of camelot", " of the lake", " of cornwall", " of orkney", " of britain", " of ireland", " de gaul")
 #: Accented letters and their plain forms.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
+ACCENTED, PLAIN = "āēīōūáéíóúàèìòùäëïöüâêîôûñç", "aeiouaeiouaeiouaeiouaeiounc"
 
 
 def collapsed(name: Column) -> Column:
@@ -28,6 +28,12 @@ def folded(name: Column) -> Column:
     return F.replace(F.translate(F.lower(name), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def place_key(name: Column) -> Column:
+    """Without accents and punctuation, single blanks."""
+    bare = F.regexp_replace(folded(name), r"[^\p{L}\p{N}_\x09-\x0D ]", " ")
+    return F.trim(F.regexp_replace(bare, r"[\x09-\x0D ]+", " "))
+
+
 def plain_name(name: Column) -> Column:
     """Lower case, without the first fitting title and the first fitting suffix."""
     low = F.trim(F.lower(name))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prefixes of names that are forms of address, not people.
-NOISE = ("Mr. ", "Mrs. ", "Miss ", "Ms. ", "Dr. ", "Sir ", "Lady ", "Lord ", "Captain ", "Colonel ", "General ", "Professor ")
+#: Prefixes of names that are forms of address, in any case, not people.
+NOISE = ("Mrs.", "Mrs ", "Miss ", "Mr. ", "Mr ", "Sig.", "Sig ", "Junr", "Senr", "Madame ", "Mme.", "Mlle.")
 
 
 def every(*conditions: Column | None) -> Column:
