@@ -129,3 +129,11 @@ def test_readers(spark, tmp_path):
     assert [r.id for r in files.tsv_first_wins(spark, str(tmp_path / "c.tsv"), "id int, name string, n int", "name", "id").collect()] == [1]
     (tmp_path / "d.json").write_text(json.dumps({"@graph": [{"id": "1", "title": "Roma", "reprPoint": [12.5, 41.9], "names": [{"romanized": "Rhome", "attested": None}]}, {"id": "2", "title": "X", "reprPoint": None, "names": None}]}))
     assert {(r.name, r.latitude) for r in files.json_ld_names(spark, str(tmp_path / "d.json")).collect()} == {("Roma", 41.9), ("Rhome", 41.9), ("X", None)}
+
+
+def test_visible_text():
+    from annalum.functions.python_only import visible_text
+
+    page = "<!DOCTYPE html><head><style>p {a: b < c}</style></head><nav>menu <b>x</b></nav><p>One<sup>1</sup> &amp;  two<br/>three</p><!-- <p>gone</p> --><script>if (a<b) {'</div>'}</script><div>\n\n  four<aside>no</aside></div>end<header>never closed"
+    assert visible_text(page) == "One & two\nthree\n\nfour\nend"
+    assert visible_text(None) == visible_text("") == "" and visible_text("<sub>a</sub>b<SUP>c</SUP>") == "b"
