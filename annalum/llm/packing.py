@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalum.llm.common import read, text_or_empty, written
+from annalum.llm.common import frugal, read, text_or_empty, written
 
 CAPACITY, END, OPEN_BINS, PIECES_PER_TASK = 1024, 2, 256, 100_000
 VOCABULARY, RANKS, MEMO = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 100_000
@@ -116,8 +116,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end: int, files, w
     encode, stop = encoder(files), np.array([end], np.uint32).tobytes()
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "") + stop
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = encode(text.as_py() or "") + stop
             for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
                 for col, value in zip(out, (doc_id, piece, start, length, zlib.crc32(own), own if with_ids else None), strict=True):
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, files=None
     """doc_id, piece, start, length, ids_crc32, ids of every document's pieces; with_ids=False leaves ids null."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, ids binary"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(partial(_pieces, capacity=capacity, end=end, files=files, with_ids=with_ids), schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(partial(_pieces, capacity=capacity, end=end, files=files, with_ids=with_ids)), schema)
 
 
 class Bins:
@@ -215,7 +215,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     tasks = max(1, parts.count() // pieces_per_task)
     dealt = parts.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(tasks, "h").sortWithinPartitions("h", "doc_id", "piece").drop("h")
     schema = dealt.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
-    return dealt.mapInArrow(partial(_pack, capacity=capacity, open_bins=open_bins), schema)
+    return dealt.mapInArrow(frugal(partial(_pack, capacity=capacity, open_bins=open_bins)), schema)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, files=None, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalum.llm.common import join_hot, read, text_or_empty, written
+from annalum.llm.common import frugal, join_hot, read, text_or_empty, written
 
 BITS, RADIUS, SHINGLE, MOST, SEED = 64, 4, 4, 4096, 42
 FLUSH = 500_000
@@ -66,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(frugal(partial(_fingerprints, shingle=shingle)), f"doc_id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -164,7 +164,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     if not 0 <= radius <= RADIUS:
         raise ValueError("the ball is built for radii up to 4")
     met = variants(fps, projected_ball()).repartition("variant").sortWithinPartitions("variant")
-    found = written(met.mapInArrow(partial(_links, radius=radius, most=most), "a long, b long").distinct(), "simhash-links")
+    found = written(met.mapInArrow(frugal(partial(_links, radius=radius, most=most)), "a long, b long").distinct(), "simhash-links")
     pairs = found.filter("b is not null")
     wide = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if not wide.isEmpty():
@@ -210,7 +210,7 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
     def folded(edges: DataFrame) -> DataFrame:
-        return written(edges.mapInArrow(_contracted, "a long, b long").distinct(), "components")
+        return written(edges.mapInArrow(frugal(_contracted), "a long, b long").distinct(), "components")
 
     def star(edges: DataFrame, total: int) -> DataFrame:
         """edges (u, v) -> with the smallest of u and its neighbours as m."""
