@@ -504,6 +504,44 @@ def test_languages_of_held_out_texts(docs, awkward, nothing):
     assert {r.lang_pred for r in language_id.identify(awkward, language_id.learn(nothing)).collect()} == {"und"}
 
 
+def test_languages_by_hand(spark, docs):
+    """Cosines with the centroids, and the cluster means, in plain Python."""
+    model = language_id.learn(docs, per_language=20, centroids=3)
+    rows = docs.filter("text is not null").limit(40).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in rows:
+        counts = language_id.ngrams(r.text)
+        v = [(1 + math.log(c)) * w if c else 0.0 for c, w in zip(counts.tolist(), model.idf.tolist(), strict=True)]
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        cosines = [sum(a * b for a, b in zip(v, c, strict=True)) / norm for c in model.centroids.tolist()]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        if got[r.doc_id].lang_pred != "und":
+            assert abs(got[r.doc_id].score - cosines[best]) < 1e-4
+            assert abs(cosines[best] - max(c for c, o in zip(cosines, model.owner, strict=True) if model.languages[o] == got[r.doc_id].lang_pred)) < 1e-4
+    points = np.array([[1.0, 0.1, 0], [1, 0, 0.1], [0.1, 1, 0], [0, 1, 0.1], [0, 0.1, 1]])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    centres = language_id.cluster(points, 3)
+    means = [points[:2].mean(0), points[2:4].mean(0), points[4]]
+    assert sorted(np.round(c, 6).tolist() for c in centres) == sorted(np.round(m / np.linalg.norm(m), 6).tolist() for m in means)
+
+
+def test_quality_by_hand():
+    """Weights at the least of the penalised logistic loss of the pairs' differences, by plain gradient descent."""
+    rng = np.random.default_rng(5)
+    x, width = rng.normal(size=(60, len(quality_classifier.features(b"")))), 2 * len(quality_classifier.features(b""))
+    good = (x[:, 0] + x[:, 1] + rng.normal(size=60) > 0).astype(int)
+    model = quality_classifier.fit(x, good, pairs=300, ridge=0.5, seed=2)
+    z, draw = model.expand(x), np.random.default_rng(2)
+    d = z[draw.choice(np.flatnonzero(good == 1), 300)] - z[draw.choice(np.flatnonzero(good == 0), 300)]
+    w = np.zeros(width)
+    for _ in range(4000):
+        w += 0.02 * (d.T @ (1 / (1 + np.exp(d @ w))) / 300 - 0.5 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)
+    strengths = sorted((z @ w).tolist())
+    bad = int((good == 0).sum())
+    assert abs(model.cut - (strengths[bad - 1] + strengths[bad]) / 2) < 1e-3
+
+
 # ---- URL filters
 
 def test_ranges_do_not_change_verdicts(spark):
