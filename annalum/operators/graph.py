@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import scores, years
-from annalum.operators.joins import co_mention_pairs
+from annalum.operators.joins import co_mention_pairs, join_hot
 from annalum.operators.windows import consecutive, top_n
+from annalum.sources.shared import kept
 
 
 def _scored(edges: DataFrame, layer: str) -> DataFrame:
@@ -60,46 +58,42 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"a_id": F.col("b_id"), "b_id": F.col("a_id")})).distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share: rounds of a traversal do not pile up lineage."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="annalum-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/annalum/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bfs(edges: DataFrame, start: int, depth: int, min_strength: float = 0.0, fan_out: int | None = 20) -> DataFrame:
     """node, depth of what can be reached from start: each node follows its strongest `fan_out` edges, both ways."""
     around = both_ways(edges.filter(F.col("strength") >= min_strength).select("a_id", "b_id", "strength"))
     if fan_out:
         around = top_n(around, ["a_id"], [F.desc("strength"), F.asc("b_id")], fan_out)
-    around = _kept(around.select(F.col("a_id").alias("node"), F.col("b_id").alias("next")))
-    seen = front = _kept(edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int"))
+    around = kept(around.select(F.col("a_id").alias("node"), F.col("b_id").alias("next")))
+    seen = front = kept(edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int"))
     for d in range(1, depth + 1):
-        front = _kept(front.join(around, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        front = kept(front.join(around, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node that is connected), by large-star and small-star rounds."""
+def components(edges: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """node, component (the smallest node that is connected), by large-star and small-star rounds.
+
+    The smallest node of a component gathers edges from round to round. Minima of nodes are broadcast while the counted
+    edges are `broadcast_rows` at most; beyond it only those of nodes with more than a 512th of the edges are, so that
+    no task gets a node's edges as a whole.
+    """
     nodes = edges.select(F.col("a_id").alias("node")).union(edges.select("b_id")).distinct()
-    now = _kept(edges.filter("a_id <> b_id").select(F.greatest("a_id", "b_id").alias("u"), F.least("a_id", "b_id").alias("v")).distinct())
+    now = kept(edges.filter("a_id <> b_id").select(F.greatest("a_id", "b_id").alias("u"), F.least("a_id", "b_id").alias("v")).distinct())
     summed = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     state, before = summed(now), None
     while state != before and state[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = _kept(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct())
+        few = 2 * state[0] <= broadcast_rows
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        met = both.join(F.broadcast(least), "u") if few else join_hot(both, least, ["u"], "k", 2 * state[0])
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if few else kept(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = large.join(F.broadcast(low), "u") if few else join_hot(large, low, ["u"], "k", 2 * state[0])
+        now = kept(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct())
         state, before = summed(now), state
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
@@ -113,10 +107,10 @@ def story_nodes(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 def follow(successors: DataFrame, start: int, steps: int) -> DataFrame:
     """A causal chain: from start, each step to the smallest successor. successors: id, next_id. step, id."""
-    one = _kept(successors.groupBy("id").agg(F.min("next_id").alias("next_id")))
+    one = kept(successors.groupBy("id").agg(F.min("next_id").alias("next_id")))
     now = edges = successors.sparkSession.createDataFrame([(0, start)], "step int, id long")
     for step in range(1, steps + 1):
-        now = _kept(now.join(one, "id").select(F.lit(step).alias("step"), F.col("next_id").alias("id")))
+        now = kept(now.join(one, "id").select(F.lit(step).alias("step"), F.col("next_id").alias("id")))
         if now.isEmpty():
             break
         edges = edges.unionByName(now)

@@ -96,6 +96,15 @@ def blocked_pairs(a: DataFrame, b: DataFrame, keys_a: Column, keys_b: Column, mo
     return left.join(right, "key").select("a_id", "b_id").distinct()
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, most: int = 512) -> DataFrame:
+    """rows joined with groups (one row per key). The weights sum to `total` at most, so fewer than `most` groups weigh
+    over total / most: these are broadcast, and their rows are not shuffled; all others meet in a shuffle."""
+    heavy = F.col(weight) > total / most
+    hot = F.broadcast(groups.filter(heavy))
+    cool = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(~heavy), keys)
+    return rows.join(hot, keys).unionByName(cool)
+
+
 def first_known(df: DataFrame, key: Column, lookups: list[tuple[DataFrame, Column, float]]) -> DataFrame:
     """A cascade of lookups (name, value) by different keys of a row: the first that knows it, with its confidence."""
     out, values, marks = df, [], []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, text, years
 from annalum.operators.filters import contains, not_noise
+from annalum.sources.shared import kept
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -23,11 +24,12 @@ def bm25(docs: DataFrame, key: str, body: Column, terms: list[str], k: int | Non
     """key, score of the best k documents; a term that the query repeats counts again.
 
     Only the query's terms are looked up: a document's tf of each is counted in its row, so no postings are shuffled;
-    sums over the corpus are one row.
+    sums over the corpus are one row. The counts are written once, so texts are read and cut into tokens once.
     """
     unique = sorted(set(terms))
     toks = text.tokens(F.coalesce(body, F.lit("")))
     rows = docs.select(key, toks.alias("_t")).select(key, F.size("_t").alias("_n"), *[(F.size("_t") - F.size(F.array_remove("_t", F.lit(q)))).alias(f"_f{i}") for i, q in enumerate(unique)])
+    rows = kept(rows, "counts")
     totals = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(unique))])
     idf = lambda i: F.ln((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
     part = lambda i: idf(i) * (F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))) * terms.count(unique[i])

@@ -44,7 +44,10 @@ def person_chain_edges(t: Tables) -> DataFrame:
     return graph.person_chain_edges(t.mentions("person"), t.mentions("event"), t.event).select("person_id", "a_id", "b_id", *_long("distance"), "direction", "strength")
 
 
-@query(f"""WITH s AS (SELECT location_id::BIGINT AS location_id, id AS a_id, date_start AS a_year, lead(id) OVER w AS b_id, lead(date_start) OVER w AS b_year FROM event WHERE location_id IS NOT NULL WINDOW w AS (PARTITION BY location_id ORDER BY date_start, id))
+_BUSY = "location_id IN (SELECT location_id FROM event WHERE location_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY count(*) DESC, location_id LIMIT 1000)"
+
+
+@query(f"""WITH s AS (SELECT location_id::BIGINT AS location_id, id AS a_id, date_start AS a_year, lead(id) OVER w AS b_id, lead(date_start) OVER w AS b_year FROM event WHERE {_BUSY} WINDOW w AS (PARTITION BY location_id ORDER BY date_start, id))
 SELECT location_id, a_id, b_id, {_chain_sql(5.0)} FROM s WHERE b_id IS NOT NULL""")
 def location_chain_edges(t: Tables) -> DataFrame:
     return graph.location_chain_edges(t.event).select(*_long("location_id"), "a_id", "b_id", *_long("distance"), "direction", "strength")
@@ -73,8 +76,8 @@ def neighbours(t: Tables) -> DataFrame:
     return placed.filter("id <> 7").crossJoin(F.broadcast(one)).filter(near | (F.abs(F.col("date_start") - F.col("year0")) < 50)).select("id", F.when(near, "spatial").otherwise("temporal").alias("kind"))
 
 
-_LOC_EDGES = """s AS (SELECT id AS a_id, lead(id) OVER (PARTITION BY location_id ORDER BY date_start, id) AS b_id, abs(lead(date_start) OVER (PARTITION BY location_id ORDER BY date_start, id) - date_start) AS gap FROM event WHERE location_id IS NOT NULL),
-g AS (SELECT a_id, b_id FROM s WHERE b_id IS NOT NULL AND gap <= {gap})"""
+_LOC_EDGES = f"""s AS (SELECT id AS a_id, lead(id) OVER (PARTITION BY location_id ORDER BY date_start, id) AS b_id, abs(lead(date_start) OVER (PARTITION BY location_id ORDER BY date_start, id) - date_start) AS gap FROM event WHERE {_BUSY}),
+g AS (SELECT a_id, b_id FROM s WHERE b_id IS NOT NULL AND gap <= {{gap}})"""
 
 
 def _near_chain(t: Tables, gap: int) -> DataFrame:

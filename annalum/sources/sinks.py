@@ -1,8 +1,11 @@
-"""Changes of tables, as functions of the old table and the new rows. replace() swaps a table's files in one rename."""
+"""Changes of tables, as functions of the old table and the new rows.
+
+publish() adds a version of a table and current() reads the last complete one; replace() swaps plain folders.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,7 +43,8 @@ def compact(entities: DataFrame, *edges: tuple[DataFrame, str]) -> tuple[DataFra
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes df beside the table at path, then puts it in its place; a reader sees the old or the new files."""
+    """Writes df beside the table at path, then renames the old files away and the new ones into their place. Between the
+    two renames there is no table; where readers must always find one, use publish()."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     new = f"{path}.new"
     df.write.mode("overwrite").parquet(new)
@@ -55,6 +59,34 @@ def replace(df: DataFrame, path: str) -> None:
     fs.delete(aside, True)
 
 
+def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions under path and whether each is complete: the marker of a finished write comes last, in one step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    return {n: fs.exists(hadoop.Path(f"{path}/v{n:09d}/_SUCCESS")) for n in numbers}
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Writes df as the next version of the table at path; readers see it once it is complete. Of two writers that take
+    the same number one fails. Returns the number."""
+    n = max(_versions(df.sparkSession, path), default=0) + 1
+    df.write.mode("errorifexists").parquet(f"{path}/v{n:09d}")
+    return n
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of the table at path; a broken write is passed over."""
+    done = [n for n, complete in _versions(spark, path).items() if complete]
+    if not done:
+        raise FileNotFoundError(f"no version of a table in {path}")
+    return spark.read.parquet(f"{path}/v{max(done):09d}")
+
+
 def json_report(df: DataFrame, path: str) -> None:
     """A small result as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalum.sources import shared
+
 
 def log(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     """A folder of files that only grows; its checkpoint remembers which are done."""
@@ -55,8 +55,7 @@ def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: in
 
 def drained(df: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
     """What a streaming aggregate holds after all files there are now, as a table in the shared folder."""
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalum-")).rstrip("/")
-    at = f"{folder}/annalum/stream-{uuid.uuid4().hex}"
+    at = shared.new_path(spark, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out")
