@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from annalum.functions import scores, text
 from annalum.operators.joins import blocked_pairs
+from annalum.operators.windows import top_n
 
 
 @pandas_udf(DoubleType())
@@ -143,3 +144,55 @@ def unify(**sources: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
 def longest_per_key(rows: DataFrame, key: str, body: str) -> DataFrame:
     """The longest text of every key; the smaller text of equals."""
     return rows.filter(F.col(body).isNotNull()).groupBy(key).agg(F.min_by(body, F.struct(-F.length(body), F.col(body))).alias(body))
+
+
+def registry_decisions(entities: DataFrame, least: float = 0.5) -> DataFrame:
+    """id, match_id, score, decision of every entity against those of smaller ids: the order of arrival is that of ids.
+
+    An equal name (case and outer blanks aside) links to its first owner, 0.95. Else the candidates are earlier names that
+    share a word of three letters with the name without its ordinal, have no other ordinal, and hold it, are held by it,
+    or share over `least` of the characters; decide() judges the best two. Names are made distinct before they meet.
+    A null name has no candidates. Ties go to the smallest id. entities: id, name.
+    """
+    key = F.lower(F.trim("name"))
+    names = entities.filter("name is not null").groupBy(key.alias("k")).agg(F.min("id").alias("first_id"), F.min(F.trim("name")).alias("spelled"))
+    base, ordinal = text.royal(F.col("spelled"))
+    names = names.select(F.col("k").alias("id"), "first_id", ordinal.alias("ordinal"), F.lower(F.when(ordinal != "", base).otherwise(F.col("spelled"))).alias("base"))
+    words = F.filter(F.split("base", r"\s+"), lambda w: F.length(w) >= 3)
+    side = lambda p: names.select(*[F.col(c).alias(f"{p}_{c}") for c in names.columns])
+    met = blocked_pairs(names, names, words, words).join(side("a"), "a_id").join(side("b"), "b_id").filter("b_first_id < a_first_id")
+    met = met.filter("a_ordinal = '' or b_ordinal = '' or a_ordinal = b_ordinal")
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    met = met.withColumn("s", text.char_jaccard(bare("a_id"), bare("b_id")))
+    met = met.filter((F.col("s") > least) | F.contains("b_id", "a_base") | F.contains("a_base", "b_id"))
+    two = top_n(met.select("a_id", "b_first_id", "s"), ["a_id"], [F.desc("s"), F.asc("b_first_id")], 2)
+    nth = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    judged = two.groupBy(F.col("a_id").alias("k")).agg(nth(1, "s").alias("best"), nth(2, "s").alias("second"), nth(1, "b_first_id").alias("near_id"))
+    known = names.select(F.col("id").alias("k"), "first_id").join(judged, "k", "left")
+    out = entities.select("id", key.alias("k")).join(known, "k", "left")
+    again = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
+    decision = F.when(again, "LINK").otherwise(decide(F.col("best"), F.col("second"), F.lit(False)))
+    match = F.when(again, F.col("first_id")).when(decision == "LINK", F.col("near_id"))
+    return out.select("id", match.alias("match_id"), F.when(again, 0.95).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), decision.alias("decision"))
+
+
+def five_stage_match(queries: DataFrame, names: DataFrame, aliases: DataFrame, keys: DataFrame, near: DataFrame, sure: float = 0.95, doubtful: float = 0.9) -> DataFrame:
+    """id, match_id, stage, confidence: equal name (1.0), alias (0.95), outside key (0.98), nearest vector from `sure` on,
+    a verified vector from `doubtful` on (both by their similarity), else none (0). Of several the smallest id.
+
+    queries: id, name, key; names: id, name; aliases: entity_id, alias; keys: entity_id, key; near: id, match_id,
+    similarity, verified, as many candidates of a query as there are. Nulls match nothing.
+    """
+    first = lambda df, k, c, out: df.groupBy(k.alias(f"_{out}")).agg(F.min(c).alias(out))
+    found = queries.join(first(names, F.lower("name"), "id", "by_name"), F.lower("name") == F.col("_by_name"), "left")
+    found = found.join(first(aliases, F.lower("alias"), "entity_id", "by_alias"), F.lower("name") == F.col("_by_alias"), "left")
+    found = found.join(first(keys, F.col("key"), "entity_id", "by_key"), F.col("key") == F.col("_by_key"), "left")
+    nearest = lambda ok, out: F.max(F.when(ok, F.struct("similarity", (-F.col("match_id")).alias("minus")))).alias(out)
+    best = near.groupBy("id").agg(nearest(F.col("similarity") >= sure, "surest"), nearest((F.col("similarity") >= doubtful) & F.col("verified"), "checked"))
+    found = found.join(best, "id", "left")
+    stages = [
+        ("exact", F.col("by_name"), F.lit(1.0)), ("alias", F.col("by_alias"), F.lit(0.95)), ("key", F.col("by_key"), F.lit(0.98)),
+        ("vector", -F.col("surest.minus"), F.col("surest.similarity")), ("verified", -F.col("checked.minus"), F.col("checked.similarity"))]
+    stage = F.coalesce(*[F.when(m.isNotNull(), F.lit(name)) for name, m, _ in stages], F.lit("none"))
+    confidence = F.coalesce(*[F.when(m.isNotNull(), c) for _, m, c in stages], F.lit(0.0))
+    return found.select("id", F.coalesce(*[m for _, m, _ in stages]).alias("match_id"), stage.alias("stage"), confidence.alias("confidence"))

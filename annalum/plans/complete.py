@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, text
-from annalum.operators import filters, search, windows
+from annalum.operators import filters, resolve, search, windows
 from annalum.plans.catalog import ORACLE_SQL, query
 from annalum.plans.knowledge import location_chain_edges, person_chain_edges
 from annalum.plans.queries import _long
@@ -298,3 +298,47 @@ def visible_texts(t: Tables) -> DataFrame:
 
     return t.pages.select("page_id", F.md5(html_text("html")).alias("digest"))
 
+
+
+# ---- decisions on candidates
+
+_NAMED = "SELECT id::BIGINT AS id, CASE id % 5 WHEN 1 THEN title || ' II' WHEN 2 THEN title || ' III' ELSE title END AS name FROM event"
+_CHARS = lambda c: f"list_distinct(string_split(replace({c}, ' ', ''), ''))"
+
+
+@query(f"""WITH q AS ({_NAMED}), n AS (SELECT lower(trim(name)) AS k, min(id) AS first_id, min(trim(name)) AS spelled FROM q WHERE name IS NOT NULL GROUP BY 1),
+w AS (SELECT k, first_id, o, lower(CASE WHEN o <> '' THEN regexp_extract(spelled, '^(.{{3,}}?)\\s+([IVXLCDM]+)$', 1) ELSE spelled END) AS base FROM (SELECT *, regexp_extract(spelled, '^(.{{3,}}?)\\s+([IVXLCDM]+)$', 2) AS o FROM n)),
+x AS (SELECT *, list_filter(string_split_regex(base, '\\s+'), lambda y: length(y) >= 3) AS words, {_CHARS('k')} AS chars FROM w),
+p AS (SELECT a.k, b.first_id AS b_id, len(list_intersect(a.chars, b.chars)) / greatest(len(list_distinct(a.chars || b.chars)), 1)::DOUBLE AS s, contains(b.k, a.base) OR contains(a.base, b.k) AS held
+ FROM x a JOIN x b ON b.first_id < a.first_id AND list_has_any(a.words, b.words) AND (a.o = '' OR b.o = '' OR a.o = b.o)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, b_id) AS rank FROM p WHERE s > 0.5 OR held),
+j AS (SELECT k, max(s) FILTER (rank = 1) AS best, max(s) FILTER (rank = 2) AS second, max(b_id) FILTER (rank = 1) AS near_id FROM r GROUP BY 1),
+d AS (SELECT q.id, n.first_id, best, near_id, CASE WHEN q.id > n.first_id THEN 'LINK' WHEN best > 0.85 AND coalesce(second, 0) <= 0.8 THEN 'LINK' WHEN best > 0.6 THEN 'PENDING' ELSE 'CREATE' END AS decision
+ FROM q LEFT JOIN n ON n.k = lower(trim(q.name)) LEFT JOIN j ON j.k = n.k)
+SELECT id, CASE WHEN id > first_id THEN first_id WHEN decision = 'LINK' THEN near_id END AS match_id, CASE WHEN id > first_id THEN 0.95::DOUBLE ELSE round(coalesce(best, 0), 6)::DOUBLE END AS score, decision FROM d""")
+def registry_decisions(t: Tables) -> DataFrame:
+    """Every event's name against those registered before it: link, create, or leave pending."""
+    name = F.when(F.col("id") % 5 == 1, F.concat("title", F.lit(" II"))).when(F.col("id") % 5 == 2, F.concat("title", F.lit(" III"))).otherwise(F.col("title"))
+    out = resolve.registry_decisions(t.event.select(*_long("id"), name.alias("name")))
+    return out.select("id", "match_id", F.round("score", 6).alias("score"), "decision")
+
+
+@query("""WITH q AS (SELECT vec_id AS id, CASE vec_id % 6 WHEN 0 THEN title WHEN 1 THEN category WHEN 2 THEN NULL ELSE 'unknown ' || vec_id END AS name, CASE WHEN vec_id % 6 = 3 THEN vec_id % 997 END AS key FROM embeddings LEFT JOIN event ON event.id = vec_id),
+n AS (SELECT lower(title) AS k, min(id) AS m FROM event GROUP BY 1), a AS (SELECT lower(category) AS k, min(id) AS m FROM event GROUP BY 1), y AS (SELECT id % 997 AS k, min(id) AS m FROM event GROUP BY 1),
+v AS (SELECT x.vec_id AS id, z.vec_id AS match_id, list_cosine_similarity(x.embedding::DOUBLE[], z.embedding::DOUBLE[]) AS s, z.vec_id % 2 = 0 AS verified FROM embeddings x JOIN embeddings z ON x.label = z.label AND x.vec_id <> z.vec_id),
+b AS (SELECT id, max(struct_pack(s := round(s, 6), m := -match_id)) FILTER (s >= 0.3) AS surest, max(struct_pack(s := round(s, 6), m := -match_id)) FILTER (s >= 0.2 AND verified) AS checked FROM v GROUP BY 1)
+SELECT q.id, coalesce(n.m, a.m, y.m, -surest.m, -checked.m)::BIGINT AS match_id,
+CASE WHEN n.m IS NOT NULL THEN 'exact' WHEN a.m IS NOT NULL THEN 'alias' WHEN y.m IS NOT NULL THEN 'key' WHEN surest IS NOT NULL THEN 'vector' WHEN checked IS NOT NULL THEN 'verified' ELSE 'none' END AS stage,
+CASE WHEN n.m IS NOT NULL THEN 1.0 WHEN a.m IS NOT NULL THEN 0.95 WHEN y.m IS NOT NULL THEN 0.98 ELSE coalesce(surest.s, checked.s, 0) END::DOUBLE AS confidence
+FROM q LEFT JOIN n ON n.k = lower(name) LEFT JOIN a ON a.k = lower(name) LEFT JOIN y ON y.k = key LEFT JOIN b USING (id)""")
+def five_stage_match(t: Tables) -> DataFrame:
+    """Names, aliases, outside keys, sure vectors, then vectors that a check confirms."""
+    events = t.event.select(*_long("id"), "title", "category")
+    kind = F.col("vec_id") % 6
+    name = F.when(kind == 0, F.col("title")).when(kind == 1, F.col("category")).when(kind == 2, F.lit(None)).otherwise(F.concat(F.lit("unknown "), F.col("vec_id")))
+    asked = t.embeddings.join(events, F.col("id") == F.col("vec_id"), "left").select(F.col("vec_id").alias("id"), name.alias("name"), F.when(kind == 3, F.col("vec_id") % 997).alias("key"))
+    side = lambda p: t.embeddings.select("label", F.col("vec_id").alias(f"{p}id"), F.col("embedding").alias(f"{p}v"))
+    met = side("").join(side("match_"), "label").filter("id <> match_id").select("id", "match_id", scores.cosine(F.col("v"), F.col("match_v")).alias("s")).filter("s >= 0.2")
+    near = met.select("id", "match_id", F.round("s", 6).alias("similarity"), (F.col("match_id") % 2 == 0).alias("verified"))
+    keys = events.select(F.col("id").alias("entity_id"), (F.col("id") % 997).alias("key"))
+    return resolve.five_stage_match(asked, events.select("id", F.col("title").alias("name")), events.select(F.col("id").alias("entity_id"), F.col("category").alias("alias")), keys, near, 0.3, 0.2)

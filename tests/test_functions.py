@@ -137,3 +137,38 @@ def test_visible_text():
     page = "<!DOCTYPE html><head><style>p {a: b < c}</style></head><nav>menu <b>x</b></nav><p>One<sup>1</sup> &amp;  two<br/>three</p><!-- <p>gone</p> --><script>if (a<b) {'</div>'}</script><div>\n\n  four<aside>no</aside></div>end<header>never closed"
     assert visible_text(page) == "One & two\nthree\n\nfour\nend"
     assert visible_text(None) == visible_text("") == "" and visible_text("<sub>a</sub>b<SUP>c</SUP>") == "b"
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, path)
+    assert sinks.publish(spark.range(2), path) == 1 and sinks.publish(sinks.current(spark, path).filter("id > 0"), path) == 2
+    (tmp_path / "t" / "v000000003").mkdir()  # a writer that died
+    assert [r.id for r in sinks.current(spark, path).collect()] == [1]
+    assert sinks.publish(spark.range(5), path) == 4 and sinks.current(spark, path).count() == 5
+
+
+def test_components_with_a_hub(spark):
+    star = [(0, i) for i in range(1, 700)] + [(i, i + 1000) for i in range(1, 700)] + [(5000, 5001), (7, 7), (8000, 8000)]
+    for most in (0, 200_000):
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(star, "a_id long, b_id long"), most).collect()}
+        assert len(got) == 700 + 699 + 2 + 1 and got[8000] == 8000 and got[5001] == 5000
+        assert {c for n, c in got.items() if n < 5000} == {0}
+    assert graph.components(spark.createDataFrame([], "a_id long, b_id long")).count() == 0
+
+
+def test_registry_decisions(spark):
+    rows = [(1, "Louis XIV"), (2, " louis xiv"), (3, "Louis XV"), (4, None), (5, "Louis"), (6, "Louise"), (7, "abc def"), (8, "abc defg"), (9, "")]
+    got = {r.id: (r.match_id, round(r.score, 3), r.decision) for r in resolve.registry_decisions(spark.createDataFrame(rows, "id long, name string")).collect()}
+    assert got[1] == got[3] == (None, 0.0, "CREATE") and got[2] == (1, 0.95, "LINK") and got[4] == got[9] == (None, 0.0, "CREATE")
+    assert got[5][2] == "PENDING" and got[6] == (None, 0.0, "CREATE") and got[8] == (7, 0.857, "LINK")
+
+
+def test_five_stages(spark):
+    asked = spark.createDataFrame([(1, "Rome", None), (2, "urbs", "Q1"), (3, "x", "Q2"), (4, "y", None), (5, "z", None), (6, None, None)], "id long, name string, key string")
+    near = spark.createDataFrame([(4, 8, 0.96, False), (4, 7, 0.96, False), (5, 9, 0.92, True), (5, 3, 0.94, False), (6, 9, 0.89, True)], "id long, match_id long, similarity double, verified boolean")
+    names, aliases = spark.createDataFrame([(20, "rome"), (10, "ROME")], "id long, name string"), spark.createDataFrame([(30, "Urbs")], "entity_id long, alias string")
+    keys = spark.createDataFrame([(40, "Q2"), (41, "Q1")], "entity_id long, key string")
+    got = {r.id: (r.match_id, r.stage, r.confidence) for r in resolve.five_stage_match(asked, names, aliases, keys, near).collect()}
+    assert got == {1: (10, "exact", 1.0), 2: (30, "alias", 0.95), 3: (40, "key", 0.98), 4: (7, "vector", 0.96), 5: (9, "verified", 0.92), 6: (None, "none", 0.0)}
