@@ -74,16 +74,10 @@ def _evidence(t: Tables, some: DataFrame) -> DataFrame:
     return met.select("person_id", "event_id", F.when(F.col("date_start").between(F.col("low"), F.col("high")), "in_period").otherwise("other").alias("evidence"))
 
 
-@query("""WITH m AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event' WHERE p.entity_id < 20)
-SELECT person_id, event_id, CASE WHEN date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 30 THEN 'in_period' ELSE 'other' END AS evidence FROM m JOIN person p ON p.id = person_id JOIN event e ON e.id = event_id""")
-def person_evidence(t: Tables) -> DataFrame:
-    return _evidence(t, t.mentions("person").filter("entity_id < 20"))
-
-
 @query("""WITH m AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.entity_type = 'person' AND e.entity_type = 'event')
 SELECT person_id, event_id, CASE WHEN date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 30 THEN 'in_period' ELSE 'other' END AS evidence FROM m JOIN person p ON p.id = person_id JOIN event e ON e.id = event_id""")
-def person_evidence_all(t: Tables) -> DataFrame:
-    """The same for every person."""
+def person_evidence(t: Tables) -> DataFrame:
+    """Events that share a source with a person, in the person's period or not."""
     return _evidence(t, t.mentions("person"))
 
 
@@ -122,16 +116,9 @@ def _strength(t: Tables, mentions: DataFrame) -> DataFrame:
     return pairs.join(place("a"), "a_id").join(place("b"), "b_id").select("a_id", "b_id", F.round(F.greatest(scores.source_factor(F.col("sources")) + 2.0 * shared, F.lit(0.1)), 6).alias("strength"))
 
 
-@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person' AND entity_id < 40), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
-SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
-def strength_recomputed(t: Tables) -> DataFrame:
-    return _strength(t, t.mentions("person").filter("entity_id < 40"))
-
-
 @query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person'), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
 SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
-def strength_recomputed_all(t: Tables) -> DataFrame:
-    """The same for every person."""
+def strength_recomputed(t: Tables) -> DataFrame:
     return _strength(t, t.mentions("person"))
 
 
