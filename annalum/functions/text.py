@@ -48,6 +48,13 @@ def royal(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
 
 
+def base_name(name: Column) -> Column:
+    """Without a last Roman number to X or of X alone, then an Arabic ordinal, then 'the great', 'the elder', 'the younger'."""
+    for last in (r"(?i)\s+(i{1,3}|iv|vi{0,3}|ix|x{1,3})$", r"(?i)\s+\d+(st|nd|rd|th)?$", r"(?i)\s+the\s+(great|elder|younger)$"):
+        name = F.regexp_replace(name, last, "")
+    return F.trim(name)
+
+
 def word_ngrams(text: Column, least: int, most: int, min_chars: int = 5) -> Column:
     """Distinct n-grams of a text's words, joined by blanks, of at least min_chars."""
     def of(w: Column) -> Column:  # w: the words, bound once for all positions

@@ -69,3 +69,24 @@ def mentioned(text: Column) -> Column:
     """The first year that a text names as 'N BCE', 'N BC' (negative) or 'N CE', 'N AD'; else null."""
     number, mark = F.regexp_extract(text, r"\b(\d{1,4}) ?(BCE|BC|CE|AD)\b", 1), F.regexp_extract(text, r"\b(\d{1,4}) ?(BCE|BC|CE|AD)\b", 2)
     return F.when(mark.startswith("B"), -number.try_cast("int")).when(mark != "", number.try_cast("int"))
+
+
+def in_text(text: Column) -> tuple[Column, Column]:
+    """(year, mark) of the first year with a mark before our era; without one, of our era; without one, the number of
+    the first century, marked 'century'. Nulls if there is none."""
+    forms = ((r"(?i)\b(\d{1,4})\s*(BCE|BC|B\.C\.(?:E\.)?)", -1), (r"(?i)\b(\d{1,4})\s*(CE|AD|A\.D\.)", 1))
+    number = lambda pattern: F.regexp_extract(text, pattern, 1).try_cast("int")
+    century = number(r"(?i)\b(\d{1,4})(?:th|st|nd|rd)\s*century")
+    year = F.coalesce(*[number(p) * sign for p, sign in forms], century)
+    mark = F.coalesce(*[F.when(number(p).isNotNull(), F.upper(F.regexp_extract(text, p, 2))) for p, _ in forms], F.when(century.isNotNull(), F.lit("century")))
+    return year, mark
+
+
+def lifespan_in_text(text: Column, within: int = 500) -> tuple[Column, Column]:
+    """(birth, death) of the first form that the beginning of a text holds: (1769-1821), (c. 1412 - 1431), (born 1950),
+    (106 BC - 43 BC)."""
+    dash = r"\s*[\u2013-]\s*"
+    forms = ((r"\((\d{1,4})" + dash + r"(\d{1,4})\)", 1), (r"\(c\.\s*(\d{1,4})" + dash + r"(\d{1,4})\)", 1), (r"\(born\s+(\d{4})()", 1), (r"\((\d{1,4})\s*BC" + dash + r"(\d{1,4})\s*BC\)", -1))
+    start = F.substring(text, 1, within)
+    part = lambda i: F.coalesce(*[F.when(start.rlike(p), F.struct((F.regexp_extract(start, p, i).try_cast("int") * sign).alias("y"))) for p, sign in forms])["y"]
+    return part(1), part(2)

@@ -196,3 +196,25 @@ def five_stage_match(queries: DataFrame, names: DataFrame, aliases: DataFrame, k
     stage = F.coalesce(*[F.when(m.isNotNull(), F.lit(name)) for name, m, _ in stages], F.lit("none"))
     confidence = F.coalesce(*[F.when(m.isNotNull(), c) for _, m, c in stages], F.lit(0.0))
     return found.select("id", F.coalesce(*[m for _, m, _ in stages]).alias("match_id"), stage.alias("stage"), confidence.alias("confidence"))
+
+
+def match_confidence(name_score: Column, name_type: Column, lifespan: Column) -> tuple[Column, Column, Column]:
+    """(confidence, reason, action) of a candidate from its name and its lifespan.
+
+    name_type: exact, alias or fuzzy. lifespan: 0 to 1, null where a date is missing. A lifespan of 0 rejects any name,
+    one to 0.3 leaves 0.4 of its score, none leaves the name alone, one from 0.8 on confirms exact names and aliases and
+    lifts others by 0.15 to 0.95 at most, one between leaves 0.9. Actions: auto from 0.95, review from 0.6, low from 0.3.
+    """
+    lifted = F.least(name_score + 0.15, F.lit(0.95))
+    sure = F.when(name_type == "exact", 1.0).when(name_type == "alias", 0.98).otherwise(lifted)
+    sure_reason = F.when(name_type.isin("exact", "alias"), F.concat(name_type, F.lit("_lifespan_confirmed"))).otherwise("fuzzy_lifespan_boosted")
+    cases = [
+        (lifespan.isNull(), name_score, F.concat(name_type, F.lit("_no_lifespan_data"))),
+        (lifespan == 0, F.lit(0.0), F.concat(name_type, F.lit("_but_lifespan_mismatch"))),
+        (lifespan <= 0.3, name_score * 0.4, F.concat(name_type, F.lit("_lifespan_suspicious"))),
+        (lifespan >= 0.8, sure, sure_reason)]
+    confidence, reason = name_score * 0.9, F.concat(name_type, F.lit("_lifespan_partial"))
+    for fits, value, why in reversed(cases):
+        confidence, reason = F.when(fits, value).otherwise(confidence), F.when(fits, why).otherwise(reason)
+    action = F.when(confidence >= 0.95, "auto").when(confidence >= 0.6, "review").when(confidence >= 0.3, "low").otherwise("none")
+    return confidence, reason, action

@@ -7,7 +7,8 @@ import annalum.plans.extensions
 import annalum.plans.knowledge
 import annalum.plans.more
 import annalum.plans.queries
-import annalum.plans.rest  # noqa: F401
+import annalum.plans.rest
+import annalum.plans.stories  # noqa: F401
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import rows_of, rows_of_sql
 
