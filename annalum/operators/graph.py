@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,51 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"a_id": F.col("b_id"), "b_id": F.col("a_id")})).distinct()
 
 
-def bfs(edges: DataFrame, start: int, depth: int, min_strength: float = 0.0, fan_out: int | None = 20) -> DataFrame:
-    """node, depth of what can be reached from start: each node follows its strongest `fan_out` edges, both ways."""
-    around = both_ways(edges.filter(F.col("strength") >= min_strength).select("a_id", "b_id", "strength"))
+def bfs(edges: DataFrame, start: int, depth: int, min_strength: float = 0.0, fan_out: int | None = 20, way: str = "both", limit: int | None = None) -> DataFrame:
+    """node, depth of what can be reached from start: each node follows its strongest `fan_out` edges.
+
+    way: out along edges, in against them, both. With a limit the walk ends at the depth that reaches it, and the nodes
+    of least depth and then id stay. A layer is a filter of the edges.
+    """
+    strong = edges.filter(F.col("strength") >= min_strength).select("a_id", "b_id", "strength")
+    turned = strong.withColumns({"a_id": F.col("b_id"), "b_id": F.col("a_id")})
+    around = {"out": strong.distinct(), "in": turned.distinct()}[way] if way != "both" else both_ways(strong)
     if fan_out:
         around = top_n(around, ["a_id"], [F.desc("strength"), F.asc("b_id")], fan_out)
     around = kept(around.select(F.col("a_id").alias("node"), F.col("b_id").alias("next")))
     seen = front = kept(edges.sparkSession.createDataFrame([(start, 0)], "node long, depth int"))
+    met = 1
     for d in range(1, depth + 1):
         front = kept(front.join(around, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+        found = front.count()
+        seen, met = seen.unionByName(front), met + found
+        if not found or (limit and met >= limit):
             break
-        seen = seen.unionByName(front)
-    return seen
+    return seen.orderBy("depth", "node").limit(limit) if limit else seen
+
+
+def two_ways(edges: DataFrame, strength: float = 2.0, confidence: float = 0.5) -> DataFrame:
+    """a_id, b_id both ways, each once, with fixed strength and confidence; no edge to itself."""
+    plain = both_ways(edges.select("a_id", "b_id").filter("a_id <> b_id"))
+    return plain.withColumns({"strength": F.lit(strength), "confidence": F.lit(confidence)})
+
+
+def absorbed(pairs: DataFrame) -> DataFrame:
+    """id, keep_id of what is absorbed when ids are taken in order and each one still there takes in its larger partners.
+
+    pairs: a_id < b_id. An id without smaller undecided partners stays and its partners go; then those whose smaller
+    partners all went stay, and so on, one round for each such step. keep_id is the smallest partner that stays.
+    """
+    each = now = kept(pairs.select("a_id", "b_id").distinct())
+    gone = []
+    while not now.isEmpty():
+        stays = now.select("a_id").distinct().join(now.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
+        hit = kept(now.join(stays, "a_id").select("b_id").distinct())
+        gone.append(hit)
+        now = kept(now.join(hit, "b_id", "left_anti").join(hit.withColumnRenamed("b_id", "a_id"), "a_id", "left_anti"))
+    all_gone = reduce(DataFrame.unionByName, gone) if gone else each.select("b_id").limit(0)
+    left = each.join(all_gone.withColumnRenamed("b_id", "a_id"), "a_id", "left_anti")
+    return left.groupBy(F.col("b_id").alias("id")).agg(F.min("a_id").alias("keep_id"))
 
 
 def components(edges: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:

@@ -88,6 +88,22 @@ def fuzzy_reconcile(a: DataFrame, b: DataFrame, auto: int = 85, review: int = 60
     return out.withColumn("decision", F.when(F.col("score") >= auto, "AUTO").when(F.col("score") >= review, "REVIEW").otherwise("NONE"))
 
 
+def reconcile_top(a: DataFrame, b: DataFrame, n: int = 3, least: float = 40) -> DataFrame:
+    """a_id, b_id, score, rank: the best n titles of b for each of a that share a word and score `least` or more.
+
+    Titles weigh 70% and years 30%, titles all where a year is missing; equal years add 10, 100 at most. Ties go to the
+    smallest id. No word is too frequent; titles without a common word do not meet. a, b: id, title, year.
+    """
+    side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), text.unpunctuated(F.col("title")).alias(f"{s}_name"), F.col("year").alias(f"{s}_year"))
+    met = _title_pairs(a, b, "title").join(side(a, "a"), "a_name").join(side(b, "b"), "b_name")
+    both = F.col("a_year").isNotNull() & F.col("b_year").isNotNull()
+    near, title = scores.year_proximity(F.col("a_year"), F.col("b_year")), 100 * F.col("ratio")
+    bonus = F.when(F.col("a_year") == F.col("b_year"), 10).otherwise(0)
+    score = F.when(both, F.least(F.lit(100.0), 0.7 * title + 0.3 * near + bonus)).otherwise(title)
+    good = met.select("a_id", "b_id", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+    return top_n(good, ["a_id"], [F.desc("score"), F.asc("b_id")], n)
+
+
 def best_person_match(a: DataFrame, b: DataFrame, least: float = 70) -> DataFrame:
     """a_id, b_id, score, kind for every person of a: the best of b with another id that shares a word of the name.
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import text, wiki, years
-from annalum.operators import questions, resolve, stories
-from annalum.plans.catalog import query
+from annalum.operators import graph, questions, resolve, search, stories
+from annalum.plans.catalog import ORACLE_SQL, query
 from annalum.plans.complete import _OTHER, _YEAR, _candidates
+from annalum.plans.knowledge import _LOC_EDGES, _near_chain
+from annalum.plans.more import page_link_edges
 from annalum.plans.queries import _long
 from annalum.schema import Tables
 
@@ -152,3 +154,41 @@ def candidate_confidence(t: Tables) -> DataFrame:
     judged = _candidates(t).select("id", kind.alias("kind"), name.alias("name_score"), lifespan.alias("lifespan"))
     confidence, reason, action = resolve.match_confidence(F.col("name_score"), F.col("kind"), F.col("lifespan"))
     return judged.select(*_long("id"), F.round(confidence, 6).alias("confidence"), reason.alias("reason"), action.alias("action"))
+
+
+@query()
+def reconcile_candidates(t: Tables) -> DataFrame:
+    """The three best known titles for each event."""
+    events = t.event.select("id", "title", F.col("date_start").alias("year"))
+    known = t.event.groupBy("title").agg(F.min("id").alias("id"), F.min("date_start").alias("year"))
+    return resolve.reconcile_top(events, known).select("a_id", "b_id", "score", *_long("rank"))
+
+
+@query()
+def absorbed_vectors(t: Tables) -> DataFrame:
+    """Similar vectors of one label, taken in by the first in the order of ids."""
+    return graph.absorbed(search.similarity_pairs(t.embeddings, "vec_id", "label", "embedding", 0.3))
+
+
+# ---- walks and links
+
+def _walk_sql(step: str, limit: int) -> str:
+    return "WITH RECURSIVE " + _LOC_EDGES.format(gap=400) + f""",
+w AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT {step} AND depth < 5) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1 ORDER BY depth, node LIMIT {limit}"""
+
+
+@query(_walk_sql("g.b_id, depth + 1 FROM w JOIN g ON g.a_id = w.node", 4))
+def bfs_forward(t: Tables) -> DataFrame:
+    """The first four nodes reached along edges."""
+    return graph.bfs(_near_chain(t, 400), 7, 5, way="out", limit=4)
+
+
+@query(_walk_sql("g.a_id, depth + 1 FROM w JOIN g ON g.b_id = w.node", 100))
+def bfs_backward(t: Tables) -> DataFrame:
+    return graph.bfs(_near_chain(t, 400), 7, 5, way="in", limit=100)
+
+
+@query(f"""WITH l AS (SELECT id AS a, target_id AS b FROM ({ORACLE_SQL['page_link_edges']}) WHERE id <> target_id)
+SELECT DISTINCT a_id, b_id, 2.0::DOUBLE AS strength, 0.5::DOUBLE AS confidence FROM (SELECT a AS a_id, b AS b_id FROM l UNION ALL SELECT b, a FROM l)""")
+def two_way_page_links(t: Tables) -> DataFrame:
+    return graph.two_ways(page_link_edges(t).select(F.col("id").alias("a_id"), F.col("target_id").alias("b_id")))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalum.functions import text, wiki, years
-from annalum.operators import questions, resolve, stories
+from annalum.operators import graph, questions, resolve, stories
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +118,56 @@ def test_match_confidence(spark, name, kind, life, confidence, action):
     c, _, a = resolve.match_confidence(F.col("n"), F.col("k"), F.col("l"))
     r = spark.createDataFrame([(name, kind, life)], "n double, k string, l double").select(F.round(c, 6).alias("c"), a.alias("a")).first()
     assert (r.c, r.a) == (confidence, action)
+
+
+def test_absorbed_against_plain_order(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(60, 68)}
+    expected, near = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    for a in sorted(near):
+        if a not in expected:
+            for b in near[a]:
+                expected.setdefault(b, a)
+    got = graph.absorbed(spark.createDataFrame([*pairs, *list(pairs)[:9]], "a_id long, b_id long"))
+    assert {r.id: r.keep_id for r in got.collect()} == expected
+    assert graph.absorbed(spark.createDataFrame([], "a_id long, b_id long")).count() == 0
+
+
+def test_walks(spark):
+    edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 5.0), (4, 1, 5.0), (2, 5, 1.0), (3, 6, 5.0)], "a_id long, b_id long, strength double")
+    walk = lambda **k: [tuple(r) for r in graph.bfs(edges, 1, 3, **k).orderBy("depth", "node").collect()]
+    assert walk(way="out") == [(1, 0), (2, 1), (3, 2), (5, 2), (6, 3)]
+    assert walk(way="in") == [(1, 0), (4, 1)]
+    assert walk(min_strength=2.0) == [(1, 0), (2, 1), (4, 1), (3, 2), (6, 3)]
+    assert walk(limit=2) == [(1, 0), (2, 1)] and walk(way="out", limit=3) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_two_ways(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (1, 4)], "a_id long, b_id long")
+    assert sorted(tuple(r) for r in graph.two_ways(edges).collect()) == [(a, b, 2.0, 0.5) for a, b in ((1, 2), (1, 4), (2, 1), (4, 1))]
+
+
+def test_reconcile_top_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    b = [(i, f"battle of x{i % 7} north{i % 9}", i % 50 if i % 5 else None) for i in range(120)] + [(120, "red sea", 5)]
+    a = [(0, "Battle, of north3", 3), (1, "x2 battle north8", None), (2, "The RED one", 5), (3, "nothing", 5), (4, None, 1), (5, "red sea", 5)]
+    words = lambda s: {w for w in s.split() if len(w) >= 3}
+    expected = set()
+    for i, title, year in a:
+        s, found = (title or "").lower().replace(",", ""), []
+        for j, other, y in b:
+            if words(s) & words(other):
+                ratio = 100 * SequenceMatcher(None, s, other).ratio()
+                if year is not None and y is not None:
+                    ratio = min(100, 0.7 * ratio + 0.3 * max(0, 100 - 10 * abs(year - y)) + 10 * (year == y))
+                if round(ratio, 6) >= 40:
+                    found.append((-round(ratio, 6), j))
+        expected |= {(i, j, -s) for s, j in sorted(found)[:3]}
+    schema = "id long, title string, year int"
+    got = resolve.reconcile_top(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
+    assert {(r.a_id, r.b_id, round(r.score, 6)) for r in got} == expected and {i for i, _, _ in expected} == {0, 1, 2, 5}
