@@ -40,7 +40,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/annalum/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _PATHS.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def rewritten(old: DataFrame, df: DataFrame, tag: str) -> DataFrame:
+    """df, made from `old` (a written table), written; then old is deleted: nothing reads it any more."""
+    made = written(df, tag)
+    _PATHS.remove(old.written_to)
+    _delete(df.sparkSession, old.written_to)
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,10 +65,8 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this process has written to the shared folder. Results that read them must be saved first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _PATHS.pop())
 
 
 def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

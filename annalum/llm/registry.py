@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalum.llm import exact_dedup, hmm_lm, language_id, mixing, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
+from annalum.llm import ball_kmeans, exact_dedup, fill_in_middle, hmm_lm, language_id, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_mixing": mixing.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op12_licenses": licenses.query,
+    "op13_ball_kmeans": ball_kmeans.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_url_filters": url_filters.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op13_ball_kmeans": ball_kmeans.SQL,
 }
