@@ -53,6 +53,20 @@ def rewritten(old: DataFrame, df: DataFrame, tag: str) -> DataFrame:
     return made
 
 
+def held() -> int:
+    """How many tables this process has in the shared folder: a mark for settled()."""
+    return len(_PATHS)
+
+
+def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """df, written; then the tables written since the mark, of which df was made, are deleted."""
+    made = written(df, tag)
+    for path in _PATHS[since:-1]:
+        _delete(df.sparkSession, path)
+    del _PATHS[since:-1]
+    return made
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,16 +6,18 @@ shingles themselves, so that no pair is linked that is not alike.
 1. SimHash: fingerprints over the shingles that differ in at most 4 bits, by meet-in-the-middle ball hashing (simhash).
    Fingerprints alone cannot do it: at a Jaccard of 0.8 two of them differ in ten of 64 bits on average.
 2. Heads: a set of n shingles stands in one order for all texts; two sets of that similarity share a shingle among the
-   first n - ceil(0.8 n) + 1 of each. The order puts shingles that are frequent in a sample of texts last, so that heads
-   hold rare ones; the sample decides what is compared, never what is linked. Nodes that meet in a shingle of their
-   heads are compared with one of them, picked by hash for every shingle.
+   first n - ceil(0.8 n) + 1 of each. The order puts frequent shingles last, so that heads hold rare ones: first those
+   that are frequent in a sample of texts, then those that are found in over CROWD heads of the whole table, for which
+   the texts that hold them are read again. The order decides what is compared, never what is linked. Nodes that meet
+   in a shingle of their heads are compared with one of them, picked by hash for every shingle.
 3. What that has not connected is compared pair by pair within the groups of three and more that hold several
-   components. This makes the result exact.
+   components; a pair has a node outside the group's largest component. Groups of over CELL nodes are cut into blocks,
+   and pairs of blocks are dealt as tasks are. This makes the result exact.
 
 Pairs are dropped by exact bounds first: by size, then by parity bits of each set, two and more a shingle, of which at
 most as many differ as the sets do. Emitted rows grow with the groups in stages 1 and 2 and with what the bounds leave
-in stage 3; the comparisons of stage 3 grow with the square of a group that is not alike, in blocks, over n / 4 bytes a
-node. Shingles are told apart by 64 bits of XXH64.
+in stage 3; the comparisons of stage 3 grow with the square of a group that is not alike and whose texts consist of
+frequent passages for the most part, over n / 4 bytes a node. Shingles are told apart by 64 bits of XXH64.
 
 Defined results: null texts and texts without words are alike; a text of under five words is one shingle; null ids
 connect others but are no component's id unless it has no other; an empty table gives an empty result. Of a component
@@ -37,7 +39,8 @@ from annalum.llm.simhash import components, links
 
 #: Similarity NUM / DEN; Jaccard i / (x + y - i) >= NUM / DEN is i * (NUM + DEN) >= NUM * (x + y).
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
-LEAST_BITS, SAMPLE, FREQUENT, MOST_FREQUENT, BLOCK, SLICE = 1024, 10_000, 4, 100_000, 1024, 256
+LEAST_BITS, SAMPLE, FREQUENT, MOST_FREQUENT, BLOCK, SLICE = 1024, 10_000, 4, 100_000, 1024, 128
+CROWD, GUARDS, CELL = 4096, 3, 2048
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -149,8 +152,19 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node, n) -> (null, centre, other) of every group, and (token, node, null) of groups of over two."""
-    for starts, (token, node, n) in groups(batches):
+    """Sorted (token, node, n) -> (null, centre, other) of every group, and (token, node, null) of groups of over two.
+    A group's first node is its centre. The first two rows of a group that goes on in the next batch are put before it,
+    so no group is held as a whole; what they give twice counts once later."""
+    held = [np.empty(0, np.int64)] * 3
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if len(held[0]) and held[0][0] == cols[0][0]:
+            cols = [np.r_[h, c] for h, c in zip(held, cols, strict=True)]
+        token, node, n = cols
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        held = [c[starts[-1] : starts[-1] + 2].copy() for c in cols]
         size = np.diff(np.r_[starts, len(token)])
         centre, of_many = np.repeat(starts, size), np.repeat(size, size) > 2
         other = (centre != np.arange(len(token))) & (DEN * np.minimum(n, n[centre]) >= NUM * np.maximum(n, n[centre]))
@@ -160,38 +174,62 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["token", "a", "b"])
 
 
-def close_pairs(root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js) of different roots that the bounds leave. Sizes differ by a quarter at most, so widths by one doubling."""
+def close_pairs(root: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of different roots that the bounds leave. Sizes differ by a quarter at most, so widths by one doubling.
+    Nodes of one side are not compared, but for side -1. One of a pair is outside the largest root."""
+    roots, members = np.unique(root, return_counts=True)
+    major = root == roots[members.argmax()]
     width = np.array([len(b) for b in bits])
-    for w in np.unique(width).tolist():
-        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-        order = np.r_[own, twice]
-        held = np.vstack([np.stack(bits[own]), *([np.stack([b[:w] ^ b[w:] for b in bits[twice]])] if len(twice) else [])])
-        r, m = root[order], n[order]
-        for i in range(len(own)):
-            for at in range(i + 1, len(order), BLOCK):
-                j = np.arange(at, min(len(order), at + BLOCK))
-                j = j[(r[j] != r[i]) & (DEN * np.minimum(m[j], m[i]) >= NUM * np.maximum(m[j], m[i]))]
+
+    def near(i: int, row: np.ndarray, js: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(js), BLOCK):
+            j = js[at : at + BLOCK]
+            ok = (root[j] != root[i]) & ((side[j] != side[i]) | (side[j] < 0)) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))
+            j = j[ok]
+            if len(j):
+                differ = np.bitwise_count((rows[at : at + BLOCK][ok] ^ row).view(np.uint64)).sum(1, dtype=np.int64)
+                j = j[differ * (NUM + DEN) <= (DEN - NUM) * (n[j] + n[i])]
                 if len(j):
-                    differ = np.bitwise_count((held[j] ^ held[i]).view(np.uint64)).sum(1, dtype=np.int64)
-                    j = j[differ * (NUM + DEN) <= (DEN - NUM) * (m[j] + m[i])]
-                    if len(j):
-                        yield order[i], order[j]
+                    yield i, j
+
+    for w in np.unique(width).tolist():
+        own, twice = (np.flatnonzero(width == x) for x in (w, 2 * w))
+        own, twice = own[np.argsort(major[own], kind="stable")], twice[np.argsort(major[twice], kind="stable")]  # the largest root comes last
+        rows = np.stack(bits[own])
+        few = int((~major[own]).sum())
+        for i in range(few):
+            yield from near(own[i], rows[i], own[i + 1 :], rows[i + 1 :])
+        if len(twice):
+            folded = np.stack([b[:w] ^ b[w:] for b in bits[twice]])
+            for i in range(few):
+                yield from near(own[i], rows[i], twice, folded)
+            for i in range(int((~major[twice]).sum())):
+                yield from near(twice[i], folded[i], own[few:], rows[few:])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node, root, n, bits) -> pairs of different roots that the bounds leave, each once a task."""
-    for starts, (_, node, root, n, bits) in groups(batches):
+    """Sorted (cell, node, root, n, side, bits) -> pairs of different roots that the bounds leave, each once a batch."""
+    for starts, (_, node, root, n, side, bits) in groups(batches):
         found = set()
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
             own = node[lo:hi]
-            for i, js in close_pairs(root[lo:hi], n[lo:hi], bits[lo:hi]):
+            for i, js in close_pairs(root[lo:hi], n[lo:hi], bits[lo:hi], side[lo:hi]):
                 found |= {(min(own[i], x), max(own[i], x)) for x in own[js].tolist()}
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def cells(many: DataFrame, cell: int = CELL) -> DataFrame:
+    """cell, node, root, side of (token, node, root) for tokens of several roots: the groups to compare pair by pair."""
+    sizes = written(many.groupBy("token").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"), "similar-several")
+    sizes = sizes.select("token", "k", F.ceil(F.col("k") / cell).cast("int").alias("blocks"))
+    met = join_hot(many, sizes, ["token"], "k", max(1, sizes.agg(F.sum("k")).first()[0] or 0)).filter("blocks is not null")
+    own = met.withColumn("own", F.pmod(F.xxhash64("node", "token"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long")
+    return own.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "root", side.alias("side"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct (a, b): those of the similarity. Bounds first; only texts of what is left are cut into shingles again."""
 
@@ -229,28 +267,69 @@ def text_hash() -> Column:
     return F.xxhash64(text_or_empty().cast("binary"))
 
 
+def _headed(texts: DataFrame, frequent: dict[int, int]) -> DataFrame:
+    """doc_id, text_hash, node, fp, n, head, bits of every row; frequent: shingles that come last, with their ranks."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    order = sorted(frequent.items())
+    shingle, ranks = np.array([h for h, _ in order], np.uint64), np.array([k for _, k in order], np.int64)
+    schema = f"doc_id {kind}, text_hash long, node long, fp long, n long, head array<long>, bits array<long>"
+    return texts.mapInArrow(frugal(partial(_heads, frequent=shingle, ranks=ranks)), schema)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    tokens = nodes.select(F.explode("head").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", F.xxhash64("token", "node"))
+    return written(tokens.mapInArrow(frugal(_stars), "token long, a long, b long"), "similar-met")
+
+
+def _most(counts: DataFrame, least: int) -> dict[int, int]:
+    """The most frequent of (h, k), MOST_FREQUENT at most."""
+    rows = counts.filter(F.col("k") >= least).orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
+    return {r.h % (1 << 64): r.k for r in rows}
+
+
+def _uncrowded(nodes: DataFrame, met: DataFrame, texts: DataFrame, frequent: dict[int, int], every: int) -> tuple[DataFrame, DataFrame]:
+    """nodes and met after shingles that crowd heads, and that the sample did not show, have gone to the end of the order.
+
+    Heads without such a shingle stay as they are, so only texts with one are read again, once to count what else they
+    share and once for their new heads."""
+
+    def of(ids: DataFrame) -> DataFrame:
+        wanted = written(nodes.join(ids, "node", "left_semi").select("text_hash"), "similar-wanted")
+        return texts.join(small(wanted), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("doc_id", "text_hash", "text")
+
+    for _ in range(GUARDS):
+        counts = met.filter("token is not null").groupBy(F.col("token").alias("h")).agg(F.count("*").alias("k"))
+        crowded = {h: k for h, k in _most(counts, CROWD + 1).items() if h not in frequent}
+        if not crowded:
+            break
+        signed = lambda found: texts.sparkSession.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in found], "token long")
+        holders = lambda found: nodes.select("node", F.explode("head").alias("token")).join(F.broadcast(signed(found)), "token").select("node").distinct()
+        shared = of(holders(crowded)).select("text").mapInArrow(frugal(_sampled), "h long").groupBy("h").agg(F.count("*").alias("k"))
+        new = {h: max(1, k // every) for h, k in _most(shared, CROWD + 1).items() if h not in frequent} or dict.fromkeys(crowded, 1)
+        frequent = frequent | new
+        again = written(holders(new), "similar-again")
+        heads = _headed(of(again), frequent).drop("doc_id").dropDuplicates(["node"]).select(*nodes.columns)
+        nodes = written(nodes.join(small(again), "node", "left_anti").unionByName(heads), "similar-nodes")
+        met = _met(nodes)
+    return nodes, met
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root, component_id of every row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_hash().alias("text_hash"), text_or_empty().cast("binary").alias("text"))
     every = max(1, docs.count() // SAMPLE)
     some = texts.filter(F.pmod("text_hash", F.lit(every)) == 0).select("text").mapInArrow(frugal(_sampled), "h long")
-    often = some.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
-    often = sorted((r.h % (1 << 64), r.k) for r in often)
-    frequent, ranks = np.array([h for h, _ in often], np.uint64), np.array([k for _, k in often], np.int64)
-    schema = f"doc_id {kind}, text_hash long, node long, fp long, n long, head array<long>, bits array<long>"
-    rows = written(texts.mapInArrow(frugal(partial(_heads, frequent=frequent, ranks=ranks)), schema), "similar-rows")
+    frequent = _most(some.groupBy("h").agg(F.count("*").alias("k")), FREQUENT)
+    rows = written(_headed(texts, frequent), "similar-rows")
     nodes = written(rows.drop("doc_id").dropDuplicates(["node"]), "similar-nodes")
+    nodes, met = _uncrowded(nodes, _met(nodes), texts, frequent, every)
 
-    tokens = nodes.select(F.explode("head").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", F.xxhash64("token", "node"))
-    met = written(tokens.mapInArrow(frugal(_stars), "token long, a long, b long"), "similar-met")
     first = _verified(met.filter("token is null").select("a", "b").union(simhash_pairs(nodes)).distinct(), nodes, texts)
     roots = components(first)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     many = met.filter("token is not null").select("token", F.col("a").alias("node")).join(rooted, "node")
-    several = many.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    apart = many.join(several, "token", "left_semi").join(nodes.select("node", "n", "bits"), "node")
-    apart = apart.select("token", "node", "root", "n", "bits").repartition("token").sortWithinPartitions("token")
+    apart = cells(many).join(nodes.select("node", "n", "bits"), "node")
+    apart = apart.select("cell", "node", "root", "n", "side", "bits").repartition("cell").sortWithinPartitions("cell")
     second = _verified(written(apart.mapInArrow(frugal(_apart), "a long, b long").distinct(), "similar-apart"), nodes, texts)
 
     roots = components(first.union(second))

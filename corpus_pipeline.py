@@ -1,6 +1,10 @@
 """From raw documents to packed sequences: quality, copies, near-copies, mix, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results: a null text is empty everywhere; the classifier judges rows without an id like others; rows repeated in
+full are copies, of which one stays; a null source is a source of its own in the mix; without labels nothing is
+rejected; an empty table gives an empty result; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annalum.llm import exact_dedup, mixing, packing, quality_classifier, similar
-from annalum.llm.common import read, written
+from annalum.llm.common import held, read, settled
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents. What a stage has kept in the shared folder goes when its result is written."""
+    docs, since = read(spark, sf_dir, "documents"), held()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}", since)
     return STAGES[-1][1](spark, docs, sf_dir)
