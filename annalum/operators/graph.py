@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalum.functions import scores, years
 from annalum.operators.joins import co_mention_pairs, join_hot
+from annalum.operators.pairs import between
 from annalum.operators.windows import consecutive, top_n
 from annalum.sources.shared import kept
 
@@ -30,8 +31,9 @@ def causal_edges(mentions: DataFrame, events: DataFrame) -> DataFrame:
 def person_chain_edges(person_mentions: DataFrame, event_mentions: DataFrame, events: DataFrame) -> DataFrame:
     """Consecutive events of a person's sources, by date; an edge that several people give stays with the one who has
     most events (the smallest id of equals)."""
-    of_person = person_mentions.select("source_id", F.col("entity_id").alias("person_id")).distinct().join(event_mentions.select("source_id", F.col("entity_id").alias("id")).distinct(), "source_id")
-    own = of_person.select("person_id", "id").distinct()
+    people = person_mentions.select("source_id", F.col("entity_id").alias("person_id")).distinct()
+    happened = event_mentions.select("source_id", F.col("entity_id").alias("id")).distinct()
+    own = between(people, happened, ["source_id"], ["person_id"], ["id"]).select("person_id", "id").distinct()
     counted = own.groupBy("person_id").agg(F.count("*").alias("events"))
     dated = own.join(events.select("id", "date_start"), "id")
     steps = consecutive(dated, "person_id", ["date_start", "id"], ["id", "date_start"])

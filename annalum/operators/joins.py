@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import geo
+from annalum.operators import pairs
 from annalum.operators.windows import top_n
 
 
@@ -21,14 +22,13 @@ def polymorphic(mentions: DataFrame, **entities: DataFrame) -> DataFrame:
 def co_mentions(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, sources: how many distinct sources mention both. Pairs of one source stay within its mentions."""
     left, right = a.select("source_id", F.col("entity_id").alias("a_id")).distinct(), b.select("source_id", F.col("entity_id").alias("b_id")).distinct()
-    return left.join(right, "source_id").groupBy("a_id", "b_id").agg(F.count("*").alias("sources"))
+    return pairs.between(left, right, ["source_id"], ["a_id"], ["b_id"]).groupBy("a_id", "b_id").agg(F.count("*").alias("sources"))
 
 
 def co_mention_pairs(mentions: DataFrame, least: int = 1) -> DataFrame:
-    """Unordered pairs (a_id < b_id) of entities and their number of shared sources."""
-    own = mentions.select("source_id", "entity_id").distinct()
-    pairs = own.select("source_id", F.col("entity_id").alias("a_id")).join(own.select("source_id", F.col("entity_id").alias("b_id")), "source_id").filter("a_id < b_id")
-    return pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("sources")).filter(F.col("sources") >= least)
+    """Unordered pairs (a_id < b_id) of entities and their number of shared sources; busy sources are split."""
+    own = mentions.select("source_id", F.col("entity_id").alias("id")).distinct()
+    return pairs.within(own, ["source_id"], "id").groupBy("a_id", "b_id").agg(F.count("*").alias("sources")).filter(F.col("sources") >= least)
 
 
 def in_lifetime(persons: DataFrame, events: DataFrame, n: int, assumed: int = 80, width: int = 100) -> DataFrame:
@@ -105,6 +105,12 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, t
     return rows.join(hot, keys).unionByName(cool)
 
 
+def first_columns(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """keys and the columns of each key's first row by `order`, then by the columns; partial results go before the shuffle."""
+    first = F.min(F.struct(*order, *columns)).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in columns])
+
+
 def first_known(df: DataFrame, key: Column, lookups: list[tuple[DataFrame, Column, float]]) -> DataFrame:
     """A cascade of lookups (name, value) by different keys of a row: the first that knows it, with its confidence."""
     out, values, marks = df, [], []

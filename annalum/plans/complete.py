@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, text
-from annalum.operators import filters, resolve, search, windows
+from annalum.operators import bm25_index, filters, resolve, search, windows
 from annalum.plans.catalog import ORACLE_SQL, query
 from annalum.plans.knowledge import location_chain_edges, person_chain_edges
 from annalum.plans.queries import _long
@@ -113,7 +113,8 @@ def multi_search(t: Tables, words: list[str], limit: int = 20, kind: str | None
     if kind not in (None, "all", *tables):
         raise ValueError(f"unknown type {kind}")
     asked = tables if kind in (None, "all") else {kind: tables[kind]}
-    return _union([search.bm25(df, "id", F.col(name), words, limit).select(F.lit(k).alias("kind"), *_long("id"), "score") for k, (df, name) in asked.items()])
+    found = lambda k, df, name: bm25_index.index_of(df.select("id", name), "id", name, k).search(words, limit).withColumnRenamed("key", "id")
+    return _union([found(k, df, name).select(F.lit(k).alias("kind"), *_long("id"), "score") for k, (df, name) in asked.items()])
 
 
 @query(f"WITH {_BM25('event', 'event', 'title')}, {_BM25('person', 'person', 'name')}, {_BM25('location', 'location', 'name')} SELECT * FROM event_b UNION ALL SELECT * FROM person_b UNION ALL SELECT * FROM location_b")

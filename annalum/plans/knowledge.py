@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import scores, text, years
-from annalum.operators import graph, joins, resolve, search
+from annalum.operators import bm25_index, graph, joins, pairs, resolve, search
 from annalum.operators.windows import top_n
 from annalum.plans.catalog import query
 from annalum.plans.queries import _long
@@ -109,10 +109,9 @@ def causal_follow(t: Tables) -> DataFrame:
 @query("""SELECT a.id AS a_id, b.id AS b_id, CASE WHEN high - low >= 20 THEN 10 WHEN high - low >= 10 THEN 7 WHEN high >= low THEN 5 WHEN low - high <= 50 THEN 2 WHEN low - high <= 100 THEN 0 ELSE -5 END::BIGINT AS score, greatest(low - high, 0)::BIGINT AS apart
 FROM (SELECT a.id AS aid, b.id AS bid, greatest(a.birth_year, b.birth_year) AS low, least(coalesce(a.death_year, a.birth_year + 70), coalesce(b.death_year, b.birth_year + 70)) AS high FROM person a JOIN person b ON a.nation_id = b.nation_id AND a.id < b.id) x JOIN person a ON a.id = aid JOIN person b ON b.id = bid""")
 def relationship_strength(t: Tables) -> DataFrame:
-    a = t.person.select("nation_id", F.col("id").alias("a_id"), F.col("birth_year").alias("ab"), F.col("death_year").alias("ad"))
-    b = t.person.select("nation_id", F.col("id").alias("b_id"), F.col("birth_year").alias("bb"), F.col("death_year").alias("bd"))
-    score, apart = scores.lifetime_overlap(F.col("ab"), F.col("ad"), F.col("bb"), F.col("bd"))
-    return a.join(b, "nation_id").filter("a_id < b_id").select("a_id", "b_id", score.cast("long").alias("score"), apart.cast("long").alias("apart"))
+    met = pairs.within(t.person, ["nation_id"], "id", ["birth_year", "death_year"])
+    score, apart = scores.lifetime_overlap(F.col("a_birth_year"), F.col("a_death_year"), F.col("b_birth_year"), F.col("b_death_year"))
+    return met.select("a_id", "b_id", score.cast("long").alias("score"), apart.cast("long").alias("apart"))
 
 
 # ---- search and texts
@@ -130,7 +129,13 @@ _TERMS = ["the", "worthless", "idiot", "the"]
 
 @query(f"WITH {_bm25_sql(_TERMS, 20)} SELECT doc_id, score FROM bt")
 def bm25_topk(t: Tables) -> DataFrame:
-    return search.bm25(t.documents.select("doc_id", "text"), "doc_id", F.col("text"), _TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
+    """By the stored index of the documents, made when they are first searched."""
+    return _searched(t, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _searched(t: Tables, k: int) -> DataFrame:
+    found = bm25_index.index_of(t.documents.select("doc_id", "text"), "doc_id", "text", "documents")
+    return found.search(_TERMS, k).withColumnRenamed("key", "doc_id")
 
 
 _VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
@@ -149,7 +154,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
 
     ranked = lambda df, score: df.withColumn("rank", F.row_number().over(W.orderBy(F.round(score, 9).desc(), F.asc("doc_id"))))
-    lexical = ranked(search.bm25(t.documents.select("doc_id", "text"), "doc_id", F.col("text"), _TERMS, 20), "score")
+    lexical = ranked(_searched(t, 20), "score")
     near = ranked(search.vector_topk(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "embedding", _VECTOR, 20, 0.0), "similarity")
     return search.rrf("doc_id", lexical, near).select("doc_id", F.round("score", 6).alias("score"), "lists")
 

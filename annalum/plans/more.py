@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, text, years
-from annalum.operators import filters, graph, joins, resolve, search, windows
+from annalum.operators import filters, graph, joins, mentions, resolve, search, windows
 from annalum.plans.catalog import query
 from annalum.plans.queries import _long
 from annalum.schema import Tables
@@ -17,13 +17,13 @@ from annalum.schema import Tables
 
 @query("""SELECT p.id, l.id AS location_id FROM (SELECT id, split_part(CASE WHEN id % 2 = 0 THEN name || ' of NATION_' || (id % 25)::VARCHAR ELSE name END, ' of ', 2) AS place FROM person) p JOIN location l ON p.place <> '' AND contains(lower(l.name), lower(p.place))""")
 def people_by_place_name(t: Tables) -> DataFrame:
-    """The place after ' of ', found in names of places. Names without it match none. Places are a small gazetteer of a
-    country's names here; their words of the looked-up length are the key, so no nested loop is needed."""
-    named = t.person.select("id", F.split_part(F.when(F.col("id") % 2 == 0, F.concat("name", F.lit(" of NATION_"), (F.col("id") % 25).cast("string"))).otherwise(F.col("name")), F.lit(" of "), F.lit(2)).alias("place")).filter("place <> ''")
-    parts = t.location.select(F.col("id").alias("location_id"), F.lower("name").alias("n"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.transform(F.sequence(F.lit(1), F.length("n") - i + 1), lambda k: F.substring(F.col("n"), i, k))))
-    pieces = parts.select("location_id", F.explode(F.array_distinct(spans)).alias("piece"))
-    return named.join(pieces, F.lower("place") == F.col("piece")).select("id", "location_id")
+    """The place after ' of ', found in names of places as a part of them. Names without it match none. All that people
+    are of is one automaton, which reads every place's name once."""
+    shown = F.when(F.col("id") % 2 == 0, F.concat("name", F.lit(" of NATION_"), (F.col("id") % 25).cast("string"))).otherwise(F.col("name"))
+    named = t.person.select("id", F.lower(F.split_part(shown, F.lit(" of "), F.lit(2))).alias("place")).filter("place <> ''")
+    places = t.location.select(F.col("id").alias("location_id"), F.col("name").alias("body"))
+    met = mentions.name_counts(places, ["location_id"], "body", named.select(F.col("place").alias("name")))
+    return named.join(met, F.col("place") == F.col("name")).select("id", "location_id")
 
 
 @query("SELECT a.id AS a_id, b.id AS b_id FROM location a JOIN location b ON a.id < b.id AND substr(lower(a.name), 1, 3) = substr(lower(b.name), 1, 3)")
@@ -243,9 +243,11 @@ def enrichment_filled(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, len(list_distinct(list_filter(['worthless', 'idiot', 'copyright'], lambda k: contains(lower(coalesce(text, '')), k))))::BIGINT AS keywords FROM documents")
 def keyword_books(t: Tables) -> DataFrame:
-    """How many of a list of keywords a text holds."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return t.documents.select("doc_id", sum((F.contains(low, F.lit(k)).cast("long") for k in ("worthless", "idiot", "copyright")), F.lit(0)).cast("long").alias("keywords"))
+    """How many of a list of keywords a text holds; a text without any has 0."""
+    listed = t.spark.createDataFrame([("copyright",), ("idiot",), ("worthless",)], "name string")
+    own = t.documents.select("doc_id", "text")
+    met = mentions.name_counts(own, ["doc_id"], "text", listed).groupBy("doc_id").agg(F.count("*").alias("k"))
+    return own.select("doc_id").join(met, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(0)).alias("keywords"))
 
 
 @query()

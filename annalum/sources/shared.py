@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -21,6 +22,23 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unique() -> str:
+    """A name that nothing else has."""
+    return uuid.uuid4().hex
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Of the files that df reads: their names, sizes and times of change."""
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    marks = []
+    for name in sorted(df.inputFiles()):
+        place = fs.Path(spark._jvm.java.net.URI(name))
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        marks.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(marks).encode()).hexdigest()[:16]
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else has; release() deletes it."""
     path = f"{folder(spark)}/annalum/{tag}-{uuid.uuid4().hex}"

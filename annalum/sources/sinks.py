@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalum.sources import shared
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str, ...] = ()) -> DataFrame:
     """New rows replace old ones of their key; columns in keep_old only fill what was null. new has one row per key."""
@@ -59,23 +61,43 @@ def replace(df: DataFrame, path: str) -> None:
     fs.delete(aside, True)
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no folder."""
+    fs, place = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write has come to its end: the marker comes last, in one step."""
+    fs, place = _at(spark, f"{path}/_SUCCESS")
+    return fs.exists(place)
+
+
 def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
-    """The versions under path and whether each is complete: the marker of a finished write comes last, in one step."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return {}
-    names = [f.getPath().getName() for f in fs.listStatus(root)]
-    numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
-    return {n: fs.exists(hadoop.Path(f"{path}/v{n:09d}/_SUCCESS")) for n in numbers}
-
-
-def publish(df: DataFrame, path: str) -> int:
-    """Writes df as the next version of the table at path; readers see it once it is complete. Of two writers that take
-    the same number one fails. Returns the number."""
-    n = max(_versions(df.sparkSession, path), default=0) + 1
-    df.write.mode("errorifexists").parquet(f"{path}/v{n:09d}")
+    """The versions under path and whether each is complete."""
+    numbers = [int(n[1:]) for n in children(spark, path) if n[:1] == "v" and n[1:].isdigit()]
+    return {n: finished(spark, f"{path}/v{n:09d}") for n in numbers}
+
+
+def publish(df: DataFrame, path: str, number: int | None = None) -> int:
+    """Writes df as the next version of the table at path, or as version `number`; readers see it once it is there, whole.
+
+    It is written under a name of its own and then renamed, so of two writers of one number one fails and their files
+    never mix. Returns the number.
+    """
+    spark = df.sparkSession
+    n = number or max(_versions(spark, path), default=0) + 1
+    fs, made = _at(spark, f"{path}/.new-{shared.unique()}")
+    df.write.parquet(made.toString())
+    _, target = _at(spark, f"{path}/v{n:09d}")
+    if fs.exists(target) or not fs.rename(made, target):
+        fs.delete(made, True)
+        raise FileExistsError(f"version {n} of {path} is there already")
     return n
 
 

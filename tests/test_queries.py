@@ -2,10 +2,12 @@
 
 import pytest
 
+import annalum.plans.alike
 import annalum.plans.complete
 import annalum.plans.extensions
 import annalum.plans.knowledge
 import annalum.plans.more
+import annalum.plans.names
 import annalum.plans.queries
 import annalum.plans.rest
 import annalum.plans.stories  # noqa: F401
