@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import scores, text, years
-from annalum.operators import bm25_index, graph, joins, pairs, resolve, search
+from annalum.operators import bm25_index, graph, joins, pairs, resolve, search, vector_index
 from annalum.operators.windows import top_n
 from annalum.plans.catalog import query
 from annalum.plans.queries import _long
@@ -144,7 +144,20 @@ _VECTOR_SQL = f"vt AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[]
 
 @query(f"WITH {_VECTOR_SQL} SELECT vec_id, round(s, 6) AS similarity FROM vt WHERE s >= 0.1 ORDER BY round(s, 9) DESC, vec_id LIMIT 15")
 def vector_topk(t: Tables) -> DataFrame:
-    return search.vector_topk(t.embeddings, "vec_id", "embedding", _VECTOR, 15, 0.1).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    """By the stored index of the vectors, the exact way."""
+    return _vectors(t).topk(_VECTOR, 15, 0.1).select(F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def _vectors(t: Tables) -> vector_index.VectorIndex:
+    return vector_index.index_of(t.embeddings, "vec_id", "embedding", 64, "embeddings")
+
+
+@query("""SELECT id, candidate_id, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, candidate_id) AS rank FROM
+ (SELECT a.vec_id AS id, b.vec_id AS candidate_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE s >= 0.3) WHERE rank <= 10""")
+def vector_neighbours(t: Tables) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 20, among all vectors, through the index, the exact way."""
+    found = _vectors(t).candidates(t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, 0.3)
+    return found.select("id", "candidate_id", *_long("rank"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {_bm25_sql(_TERMS, 20)}, {_VECTOR_SQL}, vr AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS rank FROM vt WHERE s >= 0 QUALIFY rank <= 20)
@@ -155,7 +168,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
 
     ranked = lambda df, score: df.withColumn("rank", F.row_number().over(W.orderBy(F.round(score, 9).desc(), F.asc("doc_id"))))
     lexical = ranked(_searched(t, 20), "score")
-    near = ranked(search.vector_topk(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "embedding", _VECTOR, 20, 0.0), "similarity")
+    near = ranked(_vectors(t).topk(_VECTOR, 20, 0.0).withColumnRenamed("key", "doc_id"), "similarity")
     return search.rrf("doc_id", lexical, near).select("doc_id", F.round("score", 6).alias("score"), "lists")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalum.operators import bm25_index, search
 from annalum.operators.bm25_index import Bm25Index
+from annalum.operators.vector_index import VectorIndex
 from annalum.sources import shared
 
 
@@ -84,3 +85,75 @@ def test_the_index_of_a_table_is_made_once(spark, data, monkeypatch):
     first = bm25_index.index_of(docs, "doc_id", "text", "twice")
     monkeypatch.setattr(Bm25Index, "add", lambda *a: pytest.fail("made again"))
     assert bm25_index.index_of(docs, "doc_id", "text", "twice") == first
+
+
+# ---- vectors
+
+def clustered(rng, n, size=16, groups=12):
+    centres = rng.normal(size=(groups, size))
+    return [(i, (centres[rng.integers(groups)] + 0.5 * rng.normal(size=size)).tolist()) for i in range(n)]
+
+
+def nearest(rows, q, k, least, own=None):
+    import numpy as np
+
+    keys = np.array([i for i, _ in rows if i != own])
+    v = np.array([x for i, x in rows if i != own])
+    s = v @ np.array(q) / np.linalg.norm(v, axis=1) / np.linalg.norm(q)
+    order = [i for i in np.lexsort((keys, -np.round(s, 9))) if s[i] >= least][:k]
+    return [(int(keys[i]), round(float(s[i]), 6)) for i in order]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    import numpy as np
+
+    rows = clustered(np.random.default_rng(4), 1500)
+    index = VectorIndex.build(spark.createDataFrame(rows, "id long, v array<double>").repartition(4), "id", "v", 16, shared.new_path(spark, "vectors"), list_rows=40)
+    return rows, index
+
+
+def test_exact_search(spark, vectors):
+    rows, index = vectors
+    assert index.parts.max() > 1 and len(index.centroids) == 38
+    again = VectorIndex.open(spark, index.path)
+    assert (again.centroids == index.centroids).all() and (again.parts == index.parts).all()
+    for q in (rows[3][1], [1.0] * 16, [-x for x in rows[9][1]]):
+        for k, least in ((10, -1.0), (5, 0.6), (3000, 0.2)):
+            assert [(r.key, round(r.similarity, 6)) for r in again.topk(q, k, least).collect()] == nearest(rows, q, k, least)
+
+
+def test_candidates_of_rows_and_recall(spark, vectors):
+    rows, index = vectors
+    asked = spark.createDataFrame([r for r in rows if r[0] % 20 == 0], "id long, v array<double>")
+    exact = index.candidates(asked, "id", "v", 10, 0.5)
+    by = {}
+    for r in exact.orderBy("id", "rank").collect():
+        by.setdefault(r.id, []).append((r.candidate_id, round(r.similarity, 6)))
+    want = {i: nearest(rows, v, 10, 0.5, i) for i, v in rows if i % 20 == 0}
+    assert by == {i: x for i, x in want.items() if x}
+    probed = index.candidates(asked, "id", "v", 10, 0.5, probe=8).collect()
+    hits = sum((r.candidate_id, round(r.similarity, 6)) in want[r.id] for r in probed)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [-2.0, 0.0]), (9, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = VectorIndex.build(df, "id", "v", 2, shared.new_path(spark, "vectors"))
+    assert [tuple(r) for r in index.topk([2.0, 0.0], 5).collect()] == [(1, 1.0), (9, 1.0), (8, -1.0)]
+    assert [(r.id, r.candidate_id) for r in index.candidates(df, "id", "v", 1, 0.0).orderBy("id").collect()] == [(1, 9), (9, 1)]
+    empty = VectorIndex.build(df.limit(0), "id", "v", 2, shared.new_path(spark, "vectors"))
+    assert empty.topk([1.0, 0.0], 3).count() == 0 and empty.candidates(df, "id", "v", 1, 0.0).count() == 0
+
+
+def test_recall_on_the_embeddings(spark, data):
+    """These vectors hardly cluster: the number of lists to probe comes from other queries' exact answers."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    index = VectorIndex.build(df, "vec_id", "embedding", 64, shared.new_path(spark, "vectors"))
+    probe = index.probe_for(df.filter("vec_id % 20 in (5, 10, 15)"), "vec_id", "embedding", 5, 0.2)
+    assert 1 < probe < len(index.centroids)
+    asked = df.filter("vec_id % 20 = 0")
+    exact = {(r.id, r.candidate_id) for r in index.candidates(asked, "vec_id", "embedding", 5, 0.2).collect()}
+    probed = {(r.id, r.candidate_id) for r in index.candidates(asked, "vec_id", "embedding", 5, 0.2, probe=probe).collect()}
+    assert len(exact) > 50 and len(exact & probed) >= 0.9 * len(exact)
