@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import scores, years
-from annalum.operators.joins import co_mention_pairs, join_hot
+from annalum.operators.joins import co_mention_pairs, join_hot, near_pairs
 from annalum.operators.pairs import between
 from annalum.operators.windows import consecutive, top_n
 from annalum.sources.shared import kept
@@ -109,6 +109,21 @@ def absorbed(pairs: DataFrame) -> DataFrame:
     return left.groupBy(F.col("b_id").alias("id")).agg(F.min("a_id").alias("keep_id"))
 
 
+def greedy_places(rows: DataFrame, km: float = 500.0) -> DataFrame:
+    """id, seed of every row: in the order of ids, a row that no seed has taken is a seed and takes all others within km.
+
+    Rows at one place always go together, so places are compared, not rows: a place stands under its smallest id. Seeds
+    are found in rounds by absorbed(), and no group is a task of its own. Rows without a place, or with a coordinate of 0,
+    are one batch, with a null seed. rows: id, latitude, longitude.
+    """
+    placed = rows.select("id", "latitude", "longitude").withColumn("_ok", F.coalesce((F.col("latitude") != 0) & (F.col("longitude") != 0), F.lit(False)))
+    places = kept(placed.filter("_ok").groupBy("latitude", "longitude").agg(F.min("id").alias("id")), "places")
+    taken = absorbed(near_pairs(places, km).select("a_id", "b_id"))
+    seeds = places.join(taken, "id", "left").select("latitude", "longitude", F.coalesce("keep_id", "id").alias("seed"))
+    found = placed.filter("_ok").join(seeds, ["latitude", "longitude"]).select("id", "seed")
+    return found.unionByName(placed.filter("not _ok").select("id", F.lit(None).cast(found.schema["seed"].dataType).alias("seed")))
+
+
 def components(edges: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """node, component (the smallest node that is connected), by large-star and small-star rounds.
 

@@ -70,6 +70,22 @@ def nearest(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct("km", "place_id")).alias("best")).select("id", "best.place_id", "best.km")
 
 
+def near_pairs(points: DataFrame, km: float) -> DataFrame:
+    """a_id, b_id (a_id < b_id), km of any two points within km of each other; crowded cells are split. points: id,
+    latitude, longitude. A point lies in one cell of a grid and looks into those that the radius covers there."""
+    height, half = _degrees(F.col("latitude"), km)
+    size = float(next(d for d in range(1, 361) if 360 % d == 0 and d >= height)) if height <= 360 else 360.0
+    around_globe = int(360 / size)
+    at = lambda lng: F.floor((lng + 180) / size)
+    own = points.select(F.col("id").alias("b_id"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lng"), F.floor(F.col("latitude") / size).alias("row"), F.pmod(at(F.col("longitude")), F.lit(around_globe)).cast("long").alias("col"))
+    rows = F.explode(F.sequence(F.floor((F.col("latitude") - height) / size), F.floor((F.col("latitude") + height) / size)))
+    columns = F.sequence(at(F.col("longitude") - half), at(F.col("longitude") + half))
+    look = points.select(F.col("id").alias("a_id"), F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lng"), rows.alias("row"), columns.alias("columns"))
+    look = look.withColumn("col", F.explode(F.array_distinct(F.transform("columns", lambda c: F.pmod(c, F.lit(around_globe)).cast("long"))))).drop("columns")
+    met = pairs.between(look, own, ["row", "col"], ["a_id", "a_lat", "a_lng"], ["b_id", "b_lat", "b_lng"]).filter("a_id < b_id")
+    return met.select("a_id", "b_id", geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")).alias("km")).filter(F.col("km") <= km)
+
+
 def neighbours_in_time(events: DataFrame, k: int, within: int) -> DataFrame:
     """For each event the k nearest before and the k nearest after, strictly, within so many years.
 

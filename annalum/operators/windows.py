@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,24 +63,3 @@ def anchored_batches(df: DataFrame, by: str, year: str, key: str, gap: int) -> D
         return F.struct(first.alias("first"), F.concat(acc["out"], F.array(F.struct(y.alias("y"), first.alias("f")))).alias("out"))
     table = steps.select(by, F.explode(F.aggregate("ys", start, step)["out"]).alias("p")).select(F.col(by).alias("_by"), F.col("p.y").alias("_y"), F.col("p.f").alias("batch_start"))
     return df.join(table, df[by].eqNullSafe(F.col("_by")) & (df[year] == F.col("_y"))).drop("_by", "_y")
-
-
-def greedy_clusters(df: DataFrame, by: str, key: str, km: float) -> DataFrame:
-    """Greedy clusters of a group's places in order of key: a place joins the first seed within km, else it is a seed.
-
-    The order matters, so a group is one task: meant for groups of distinct places, such as those of a country.
-    """
-    import numpy as np
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        lat, lng, seeds, seed_of = np.radians(pdf["latitude"].to_numpy(float)), np.radians(pdf["longitude"].to_numpy(float)), [], []
-        for i in range(len(pdf)):
-            at = np.array(seeds, int)
-            h = np.sin((lat[at] - lat[i]) / 2) ** 2 + np.cos(lat[at]) * np.cos(lat[i]) * np.sin((lng[at] - lng[i]) / 2) ** 2
-            near = np.flatnonzero(2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= km)
-            seeds += [] if len(near) else [i]
-            seed_of.append(seeds[near[0]] if len(near) else i)
-        return pdf.assign(seed=pdf[key].to_numpy()[seed_of])[[by, key, "seed"]]
-
-    return df.select(by, key, "latitude", "longitude").groupBy(by).applyInPandas(cluster, f"{by} {df.schema[by].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, seed {df.schema[key].dataType.simpleString()}")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, years
-from annalum.operators import aggregates, filters, joins, windows
+from annalum.operators import aggregates, filters, graph, joins, windows
 from annalum.plans.catalog import query
 from annalum.schema import Tables
 from annalum.sources import sinks
@@ -367,7 +367,10 @@ def era_batches(t: Tables) -> DataFrame:
 
 @query()
 def greedy_spatial_clusters(t: Tables) -> DataFrame:
-    return windows.greedy_clusters(t.location, "country", "id", 4000.0)
+    """All customers' places in the order of keys, each spread around its nation's; seeds take what is within 500 km."""
+    at = t.location.select(F.col("id").alias("c_nationkey"), "latitude", "longitude")
+    shift = lambda by, most: F.pmod(F.xxhash64("c_custkey", F.lit(by)), F.lit(most)) / 10 - most / 20
+    return graph.greedy_places(t.customer.join(at, "c_nationkey").select(F.col("c_custkey").alias("id"), (F.col("latitude") + shift(1, 80)).alias("latitude"), (F.col("longitude") + shift(2, 300)).alias("longitude")))
 
 
 @query("""SELECT location_id::BIGINT AS location_id, min(date_start)::BIGINT AS first_year, max(coalesce(date_end, date_start))::BIGINT AS last_year, count(*) AS n FROM event WHERE location_id IS NOT NULL GROUP BY 1""")

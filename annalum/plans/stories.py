@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import text, wiki, years
-from annalum.operators import graph, questions, resolve, search, stories
+from annalum.operators import graph, pairs, questions, resolve, search, stories
 from annalum.plans.catalog import ORACLE_SQL, query
 from annalum.plans.complete import _OTHER, _YEAR, _candidates
 from annalum.plans.knowledge import _LOC_EDGES, _near_chain
@@ -23,18 +23,16 @@ def _story(df: DataFrame, *keys: str) -> DataFrame:
 
 # ---- stories
 
-@query(f"""WITH link AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.chunk_index = e.chunk_index AND p.entity_type = 'person' AND e.entity_type = 'event'
-  JOIN source s ON s.id = p.source_id WHERE s.status = 'P' AND p.chunk_index = 7),
+@query(f"""WITH link AS (SELECT DISTINCT p.entity_id AS person_id, e.entity_id AS event_id FROM mention p JOIN mention e ON p.source_id = e.source_id AND p.chunk_index = e.chunk_index AND p.entity_type = 'person' AND e.entity_type = 'event'),
 d AS (SELECT person_id, e.id AS event_id, title, date_start, 'linked' AS origin, row_number() OVER (PARTITION BY person_id ORDER BY date_start, e.id) AS segment FROM link JOIN event e ON e.id = event_id),
 f AS (SELECT p.id, e.id, e.title, e.date_start, 'lifetime', row_number() OVER (PARTITION BY p.id ORDER BY importance DESC, date_start, e.id) FROM person p JOIN event e ON date_start BETWEEN birth_year - 20 AND coalesce(death_year, birth_year + 80) + 10
   WHERE p.id NOT IN (SELECT person_id FROM d)), a AS (SELECT * FROM d UNION ALL SELECT * FROM f)
 SELECT person_id::BIGINT AS person_id, origin, {_STORY}, 'In ' || {_YEAR} || ', ' || name || ' was involved in ' || title || '.' AS narrative, CASE WHEN segment > 1 THEN 'follows' END AS connection
 FROM a JOIN person p ON p.id = person_id WHERE segment <= 10""")
 def person_stories(t: Tables) -> DataFrame:
-    """Every person's story from the last chunks of open sources, else from the person's time."""
-    opened = t.source.filter("status = 'P'").select(F.col("id").alias("source_id"))
-    last = lambda kind: t.mentions(kind).filter("chunk_index = 7").select("source_id", F.col("entity_id").alias(f"{kind}_id"))
-    links = last("person").join(opened, "source_id").join(last("event"), "source_id")
+    """Every person's story from the events that share a chunk of a source with them, else from the person's time."""
+    mentioned = lambda kind: t.mentions(kind).select("source_id", "chunk_index", F.col("entity_id").alias(f"{kind}_id")).distinct()
+    links = pairs.between(mentioned("person"), mentioned("event"), ["source_id", "chunk_index"], ["person_id"], ["event_id"])
     found = stories.person_segments(t.person, t.event, links)
     named = found.join(t.person.select(F.col("id").alias("person_id"), "name"), "person_id")
     return _story(stories.told("person", named, "name"), *_long("person_id"), "origin")

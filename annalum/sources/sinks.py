@@ -109,6 +109,67 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{max(done):09d}")
 
 
+def publish_all(tables: dict[str, DataFrame], path: str, number: int | None = None) -> int:
+    """Writes several tables as one version of the folder at path: readers see all of them before, or all after. One rename
+    makes the version; a write that breaks off before it leaves nothing that a reader sees. Returns the number."""
+    spark = next(iter(tables.values())).sparkSession
+    n = number or max(_versions_of_all(spark, path), default=0) + 1
+    fs, made = _at(spark, f"{path}/.new-{shared.unique()}")
+    for name, df in tables.items():
+        df.write.parquet(f"{made.toString()}/{name}")
+    _, target = _at(spark, f"{path}/v{n:09d}")
+    if fs.exists(target) or not fs.rename(made, target):
+        fs.delete(made, True)
+        raise FileExistsError(f"version {n} of {path} is there already")
+    return n
+
+
+def _versions_of_all(spark: SparkSession, path: str) -> list[int]:
+    return [int(n[1:]) for n in children(spark, path) if n[:1] == "v" and n[1:].isdigit()]
+
+
+def current_of(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the last version that publish_all() made."""
+    return spark.read.parquet(f"{path}/v{max(_versions_of_all(spark, path)):09d}/{name}")
+
+
+def history_of(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The rows of a table in all versions together, for versions that only add; None before the first."""
+    found = [f"{path}/v{n:09d}/{name}" for n in sorted(_versions_of_all(spark, path))]
+    return spark.read.parquet(*found) if found else None
+
+
+def cascade(tables: dict[str, DataFrame], keys: dict[str, list[str]], references: list[tuple[str, str, str, str]], start: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(rows left, rows deleted) of every table after rows are deleted with all that refers to them, to any depth.
+
+    references: (child, its column, parent, its column); a table may refer to itself, and tables to each other in a
+    circle. start: the first rows to go, by table, at least with its key columns. keys: the columns that tell a table's
+    rows apart. A null reference refers to nothing. Rounds walk the references until nothing new goes; each writes the
+    keys that it found, so no plan grows with the depth.
+    """
+    unknown = {name for child, _, parent, _ in references for name in (child, parent)} - tables.keys()
+    if unknown:
+        raise ValueError(f"references to unknown tables: {sorted(unknown)}")
+    gone = {name: shared.kept(rows.select(*keys[name]).distinct(), "deleted") for name, rows in start.items()}
+    last = dict(gone)
+    while last:
+        found: dict[str, DataFrame] = {}
+        for child, column, parent, target in references:
+            if parent not in last:
+                continue
+            ids = tables[parent].join(last[parent], keys[parent], "left_semi").select(F.col(target).alias(column)).distinct()
+            hit = tables[child].join(ids, column, "left_semi").select(*keys[child])
+            found[child] = found[child].union(hit) if child in found else hit
+        last = {}
+        for name, hit in found.items():
+            hit = hit.distinct() if name not in gone else hit.distinct().join(gone[name], keys[name], "left_anti")
+            hit = shared.kept(hit, "deleted")
+            if not hit.isEmpty():
+                last[name] = hit
+                gone[name] = gone[name].union(hit) if name in gone else hit
+    return {name: (df.join(gone[name], keys[name], "left_anti"), df.join(gone[name], keys[name], "left_semi")) if name in gone else (df, df.limit(0)) for name, df in tables.items()}
+
+
 def json_report(df: DataFrame, path: str) -> None:
     """A small result as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -53,6 +53,47 @@ def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: in
     return stream.select(key, time).groupBy(key).applyInPandasWithState(count, f"{key} {kind}, {time} timestamp, refused boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
+def recent_counts(stream: DataFrame, key: str, time: str, row: str, limit: int, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """row, key, time, recent, refused: how many rows of its key the last `seconds` up to a row's second hold, and whether
+    that is over `limit`; each once, when the watermark has passed its second, in whatever order rows arrived.
+
+    State: of a key its rows that wait for the watermark, and counts by second within the window before it. A timer in
+    event time takes waiting rows out and drops the key once its window has passed. Rows later than the watermark are
+    not counted: Spark passes them over. Rows without a key or a time are left out.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, time)}
+
+    def count(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, micros, recent, times = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for pdf in [] if state.hasTimedOut else batches:
+            ids += pdf[row].astype("int64").tolist()
+            micros += pdf[time].astype("datetime64[us]").astype("int64").tolist()
+        passed = state.getCurrentWatermarkMs() // 1000  # every row before this second is here
+        waiting = sorted(zip(micros, ids, strict=True))
+        done = [(t, i) for t, i in waiting if t // 1_000_000 < passed]
+        rest = waiting[len(done) :]
+        held = dict(zip(recent, times, strict=True))
+        for t, _ in done:
+            held[t // 1_000_000] = held.get(t // 1_000_000, 0) + 1
+        out = [(i, t, sum(n for s, n in held.items() if t // 1_000_000 - seconds < s <= t // 1_000_000)) for t, i in done]
+        held = {s: n for s, n in held.items() if s > passed - seconds}
+        if rest or held:
+            state.update(([i for _, i in rest], [t for t, _ in rest], list(held), list(held.values())))
+            first = rest[0][0] // 1_000_000 + 1 if rest else max(held) + seconds
+            state.setTimeoutTimestamp(max(first, passed + 1) * 1000)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({row: [i for i, _, _ in out], key: [keys[0]] * len(out), time: pd.to_datetime([t for _, t, _ in out], unit="us"), "recent": [n for _, _, n in out], "refused": [n > limit for _, _, n in out]})
+
+    marked = stream.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late).select(F.col(row).cast("long").alias(row), key, time)
+    out = f"{row} long, {key} {kinds[key]}, {time} {kinds[time]}, recent long, refused boolean"
+    held = "ids array<bigint>, micros array<bigint>, seconds array<bigint>, counts array<bigint>"
+    return marked.groupBy(key).applyInPandasWithState(count, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(df: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
     """What a streaming aggregate holds after all files there are now, as a table in the shared folder."""
     at = shared.new_path(spark, "stream")

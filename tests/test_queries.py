@@ -3,6 +3,7 @@
 import pytest
 
 import annalum.plans.alike
+import annalum.plans.changes
 import annalum.plans.complete
 import annalum.plans.extensions
 import annalum.plans.knowledge
