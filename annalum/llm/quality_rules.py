@@ -6,9 +6,11 @@ kept per (language, source), and the limit comes from its quantiles: for shares
 distance of the quartiles beyond them; for symbols, which most texts have none of, the quantile `TAIL` of all rows; for
 repeated lines and windows the same of the rows that have any. Floors only keep a limit from having no width. The sketch
 has a bucket per power of `base`, so its quantiles have a relative error of base - 1; sketches merge by adding counts, in
-any order, with the same result. Merging gives the sketches of languages and of the whole corpus, which serve where a
-source has fewer than `least_rows` rows to take the quantile of; where nothing has, there is no limit. Every row goes into a sketch; the tables of sketches and fences have a few hundred
-rows per (language, source) at most and are joined back to the rows.
+any order, with the same result. Merging gives the sketches of languages and of the whole corpus. A source's sketch is
+merged with its language's, scaled to weigh `prior` rows, and a language's so with the corpus'. So small sources lean on
+what is known of their language, large ones on themselves, and there is no size at which a limit jumps. Where the
+corpus has no row to take a quantile of, there is no limit. Every row goes into a sketch; the tables of sketches and
+fences have a few hundred rows per (language, source) at most and are joined back to the rows.
 
 Within a text, repeated windows are found on an array of 64-bit hashes: only texts in which some hash repeats sort
 it (n log n, in the row), so no word leaves its row and no text is shuffled.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalum.llm.common import join_hot, read, text_or_empty, words, written
+from annalum.llm.common import join_hot, read, small, text_or_empty, words, written
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class Rule:
 
 
 RULES = {"symbols": Rule(floor=20.0), "dup_lines": Rule(some=True), "repeats": Rule(some=True), "capitals": Rule(reach=3.0), "word_length": Rule(reach=2.2, below=True)}
-BASE, TAIL, LEAST_ROWS, SYMBOLS = 1.05, 0.95, 100, "#*$%&|<>"
+BASE, TAIL, PRIOR, UNITS, SYMBOLS = 1.05, 0.95, 20, 1000, "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
@@ -76,23 +78,32 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
+def blended(own: DataFrame, by: list[str], above: DataFrame, up: list[str], prior: int, everywhere: bool = False) -> DataFrame:
+    """The sketches of groups, in units of a row's UNITS-th part, with those of `above` scaled to weigh `prior` rows.
+    own: by, rule, bucket, n, with n 0 for groups that must not be missing."""
+    share = F.floor(F.lit(float(prior * UNITS)) * F.col("n") / F.sum("n").over(W.partitionBy(*up, "rule"))).cast("long")
+    parts = above.filter("n > 0").select(*up, "rule", "bucket", share.alias("n"))
+    groups = own.select(*by, "rule").distinct()
+    # Of the corpus there are at most some 900 buckets a rule.
+    added = groups.join(F.broadcast(parts) if everywhere else small(parts), [*up, "rule"]).select(*by, "rule", "bucket", "n")
+    return own.unionByName(added).groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
+
+
 def quantiles(sketch: DataFrame, by: list[str], levels: tuple[float, ...] = (0.25, 0.75, TAIL)) -> DataFrame:
-    """rows and the quantiles q1, q2, ... per group and rule, each the upper end of its bucket."""
-    some = [name for name, rule in RULES.items() if rule.some]
-    counted = sketch.filter(~(F.col("rule").isin(some) & (F.col("bucket") == 0)))
+    """The quantiles q1, q2, ... per group and rule, each the upper end of its bucket."""
     up_to = F.sum("n").over(W.partitionBy(*by, "rule").orderBy("bucket"))
     all_n = F.sum("n").over(W.partitionBy(*by, "rule"))
-    ranked = counted.select("*", up_to.alias("up_to"), all_n.alias("all_n"))
+    ranked = sketch.filter("n > 0").select("*", up_to.alias("up_to"), all_n.alias("all_n"))
 
     def value(level: float) -> Column:
         bucket = F.min(F.when(F.col("up_to") >= F.col("all_n") * level, F.col("bucket")))
         return F.when(bucket == 0, F.lit(0.0)).otherwise(F.pow(F.lit(BASE), bucket - 1))
 
-    return ranked.groupBy(*by, "rule").agg(F.max("all_n").alias("rows"), *[value(x).alias(f"q{i + 1}") for i, x in enumerate(levels)])
+    return ranked.groupBy(*by, "rule").agg(*[value(x).alias(f"q{i + 1}") for i, x in enumerate(levels)])
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """rows, low, high per group and rule."""
+    """low, high per group and rule."""
     low = high = F.lit(None).cast("double")
     for name, rule in RULES.items():
         this = F.col("rule") == name
@@ -103,37 +114,29 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
         high = F.when(this, F.col("q2") + width).otherwise(high)
         if rule.below:
             low = F.when(this, F.col("q1") - width).otherwise(low)
-    return quantiles(sketch, by).select(*by, "rule", "rows", low.alias("low"), high.alias("high"))
-
-
-def thresholds(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """lang_key, source_key, n and <rule>_low, <rule>_high that hold there: of the source, else of the language, else of all."""
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.withColumnsRenamed({c: prefix + c for c in ("rows", "low", "high")})
-
-    groups = sketch.groupBy("lang_key", "source_key", "rule").agg(F.sum("n").alias("n"))
-    own = named(fences(sketch, ["lang_key", "source_key"]), "a_")
-    lang = named(fences(merged(sketch, ["lang_key"]), ["lang_key"]), "b_")
-    every = fences(merged(sketch.withColumn("all_key", F.lit(0)), ["all_key"]), ["all_key"]).collect()  # a row per rule
-    met = groups.join(own, ["lang_key", "source_key", "rule"], "left").join(lang, ["lang_key", "rule"], "left")
-
-    def chosen(side: str) -> Column:
-        last = F.lit(None).cast("double")
-        for r in every:
-            last = F.when(F.col("rule") == r["rule"], F.lit(r[side]).cast("double")).otherwise(last)
-        return F.when(F.col("a_rows") >= least_rows, F.col(f"a_{side}")).when(F.col("b_rows") >= least_rows, F.col(f"b_{side}")).otherwise(last)
-
-    met = met.select("lang_key", "source_key", "rule", "n", chosen("low").alias("low"), chosen("high").alias("high"))
+    return quantiles(sketch, by).select(*by, "rule", low.alias("low"), high.alias("high"))
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang_key, source_key, n and <rule>_low, <rule>_high that hold there."""
+    keys = ["lang_key", "source_key"]
+    # Of rules over rows that have any, the rows that have none keep their group, without weight.
+    some = F.col("rule").isin([name for name, rule in RULES.items() if rule.some])
+    own = sketch.withColumn("n", F.when(some & (F.col("bucket") == 0), 0).otherwise(F.col("n") * UNITS))
+    every = merged(own, [])
+    lang = blended(merged(own, ["lang_key"]), ["lang_key"], every, [], prior, everywhere=True)
+    limits = fences(written(blended(own, keys, lang, ["lang_key"], prior), "rules-blended"), keys)
+    groups = sketch.groupBy(*keys, "rule").agg(F.sum("n").alias("n"))
+    met = groups.join(limits, [*keys, "rule"], "left")
     of = lambda name, side: F.max(F.when(F.col("rule") == name, F.col(side))).alias(f"{name}_{side}")
-    return met.groupBy("lang_key", "source_key").agg(F.max("n").alias("n"), *[of(name, side) for name in RULES for side in ("low", "high")])
+    return met.groupBy(*keys).agg(F.max("n").alias("n"), *[of(name, side) for name in RULES for side in ("low", "high")])
 
 
-def judge(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The base measures, base_failed, and kept: no base failure and no share beyond its limit."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     rows = written(measures(docs).withColumns({"lang_key": key(F.col("lang")), "source_key": key(F.col("source"))}), "rules-measures")
-    limits = written(thresholds(written(sketches(rows, ["lang_key", "source_key"]), "rules-sketches"), least_rows), "rules-fences")
+    limits = written(thresholds(written(sketches(rows, ["lang_key", "source_key"]), "rules-sketches"), prior), "rules-fences")
     judged = join_hot(rows, limits, ["lang_key", "source_key"], "n", max(1, rows.count()))
     kept = ~F.col("base_failed")
     for name in RULES:
@@ -147,20 +150,22 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    def choose(by: str, name: str) -> str:
-        """CTEs of the limits of a grouping."""
-        quantile = lambda level: f"CASE WHEN min(bucket) FILTER (u >= a * {level}) = 0 THEN 0 ELSE pow({BASE}::DOUBLE, min(bucket) FILTER (u >= a * {level}) - 1) END"
-        tails = " ".join(f"WHEN '{n}' THEN greatest(q3, {r.floor}::DOUBLE)" for n, r in RULES.items() if r.reach is None)
-        highs = " ".join(f"WHEN '{n}' THEN q2 + greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.reach)
-        lows = " ".join(f"WHEN '{n}' THEN q1 - greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.below)
+    def blend(name: str, own: str, by: str, above: str, up: str) -> str:
+        """A CTE: own sketches by `by` with those of `above` by `up`, scaled."""
+        using = ", ".join([*up.split(", "), "rule"] if up else ["rule"])
+        over = f"PARTITION BY {using}"
         return f"""
-{name}q AS (SELECT {by}rule, max(a) AS m, {quantile(0.25)} AS q1, {quantile(0.75)} AS q2, {quantile(TAIL)} AS q3 FROM
-  (SELECT *, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {by}rule) AS a FROM (SELECT {by}rule, bucket, sum(n) AS n FROM kc GROUP BY ALL)) GROUP BY ALL),
-{name} AS (SELECT {by}rule, m, CASE rule {lows} END AS low, CASE rule {tails} {highs} END AS high FROM {name}q)"""
-
+{name} AS (SELECT {by}, rule, bucket, sum(n) AS n FROM (SELECT {by}, rule, bucket, n FROM {own} UNION ALL
+  SELECT {by}, rule, bucket, p.n FROM (SELECT DISTINCT {by}, rule FROM {own}) JOIN
+    (SELECT {using}, bucket, floor({float(PRIOR * UNITS)}::DOUBLE * n / sum(n) OVER ({over}))::BIGINT AS n FROM {above} WHERE n > 0) p USING ({using})) GROUP BY ALL)"""
+
+    quantile = lambda level: f"CASE WHEN min(bucket) FILTER (u >= a * {level}) = 0 THEN 0 ELSE pow({BASE}::DOUBLE, min(bucket) FILTER (u >= a * {level}) - 1) END"
+    tails = " ".join(f"WHEN '{n}' THEN greatest(q3, {r.floor}::DOUBLE)" for n, r in RULES.items() if r.reach is None)
+    highs = " ".join(f"WHEN '{n}' THEN q2 + greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.reach)
+    lows = " ".join(f"WHEN '{n}' THEN q1 - greatest(q2 - q1, {r.floor}::DOUBLE) * {r.reach}::DOUBLE" for n, r in RULES.items() if r.below)
+    lang, both = "lang, ln", "lang, ln, source, sn"
     some = ", ".join(f"'{n}'" for n, r in RULES.items() if r.some)
     inside = " AND ".join(f"coalesce({r} >= low['{r}'], TRUE) AND coalesce({r} <= high['{r}'], TRUE)" for r in RULES)
-    pick = lambda side: f"CASE WHEN fa.m >= {LEAST_ROWS} THEN fa.{side} WHEN fb.m >= {LEAST_ROWS} THEN fb.{side} ELSE fc.{side} END AS {side}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(lang, '') AS lang, lang IS NULL AS ln, coalesce(source, '') AS source, source IS NULL AS sn, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
@@ -173,13 +178,15 @@ m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
         1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_capitals // greatest(word_chars, 1) AS capitals, 100 * word_chars // greatest(n_words, 1) AS word_length FROM b),
 k AS (SELECT lang, ln, source, sn, rule, CASE WHEN x <= 0 THEN 0 ELSE 1 + ceil(ln(x) / ln({BASE}::DOUBLE)) END::INT AS bucket, count(*) AS n
         FROM (UNPIVOT (SELECT lang, ln, source, sn, {', '.join(f'{r}::BIGINT AS {r}' for r in RULES)} FROM m) ON {', '.join(RULES)} INTO NAME rule VALUE x) GROUP BY ALL),
-kc AS (SELECT * FROM k WHERE NOT (rule IN ({some}) AND bucket = 0)),
-{choose('lang, ln, source, sn, ', 'fa')},
-{choose('lang, ln, ', 'fb')},
-{choose('', 'fc')},
-z AS (SELECT lang, ln, source, sn, map_from_entries(list((rule, low))) AS low, map_from_entries(list((rule, high))) AS high FROM
-  (SELECT g.*, {pick('low')}, {pick('high')} FROM (SELECT DISTINCT lang, ln, source, sn, rule FROM k) g
-   LEFT JOIN fa USING (lang, ln, source, sn, rule) LEFT JOIN fb USING (lang, ln, rule) LEFT JOIN fc USING (rule)) GROUP BY ALL)
+ko AS (SELECT {both}, rule, bucket, CASE WHEN rule IN ({some}) AND bucket = 0 THEN 0 ELSE n * {UNITS} END AS n FROM k),
+kl AS (SELECT {lang}, rule, bucket, sum(n) AS n FROM ko GROUP BY ALL),
+ke AS (SELECT rule, bucket, sum(n) AS n FROM ko GROUP BY ALL),
+{blend('bl', 'kl', lang, 'ke', '')},
+{blend('bs', 'ko', both, 'bl', lang)},
+q AS (SELECT {both}, rule, {quantile(0.25)} AS q1, {quantile(0.75)} AS q2, {quantile(TAIL)} AS q3 FROM
+  (SELECT *, sum(n) OVER (PARTITION BY {both}, rule ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY {both}, rule) AS a FROM bs WHERE n > 0) GROUP BY ALL),
+z AS (SELECT {both}, map_from_entries(list((rule, low))) AS low, map_from_entries(list((rule, high))) AS high FROM
+  (SELECT g.*, CASE rule {lows} END AS low, CASE rule {tails} {highs} END AS high FROM (SELECT DISTINCT {both}, rule FROM k) g LEFT JOIN q USING ({both}, rule)) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM m JOIN z USING (lang, ln, source, sn)
 """
