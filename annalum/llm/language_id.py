@@ -7,8 +7,11 @@ what `quantile` of the language's fitted texts have, times `slack`, the text is
 language, as the only other answer, `und`, is for texts without a letter).
 
 Document frequencies are counted over all training rows, summed per task and then by dimension. Centroids are fitted on
-a bounded sample: PER_LANGUAGE distinct texts of each language, those of the smallest hashes, and SAMPLE_ROWS in all; a
-cut by hash goes before the ranking, so no language is gathered in one task. More than MOST_LANGUAGES are an error. Predicting reads every row in Arrow batches and shuffles nothing.
+a bounded sample, language by language in tasks: PER_LANGUAGE distinct texts of each language, those of the smallest
+hashes, about SAMPLE_ROWS in all and one at least; a cut by hash goes before the ranking, so no language is gathered in
+one task. Fitted centroids are written. Predicting reads every row in Arrow batches and shuffles nothing; a model holds
+MOST_CENTROIDS, and where there are more, the languages are cut into ranges, rows go through one range after the
+other, and the best of all stays.
 
 Defined results: null texts and texts without a letter are `und` with score 0; null languages are not learned from; a
 table without training rows answers `und`; an empty table gives an empty result; rows repeated in full are predicted
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annalum.llm.common import held_out, read, written
+from annalum.llm.common import frugal, held_out, read, small, written
 
-DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS, MOST_LANGUAGES, CENTROIDS, ROUNDS, QUANTILE, SLACK, SEED = 4096, 600, 8000, 500, 12, 12, 0.99, 1.1, 5
+DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS, MOST_CENTROIDS, CENTROIDS, ROUNDS, QUANTILE, SLACK = 4096, 600, 8000, 6000, 12, 12, 0.99, 1.1
 _FACTORS = ((2654435761,), (2246822519, 3266489917), (668265263, 374761393, 2654435769))
 
 
@@ -106,8 +109,51 @@ def _counted(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngrams(t, dimensions).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "counts"])
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, dimensions: int = DIMENSIONS) -> Model:
-    """A model from the texts and languages of rows that are not held out."""
+def _fitted(batches: Iterator[pa.RecordBatch], idf: np.ndarray, centroids: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (lang, counts) -> (lang, centroid, limit): the centroids of every language, in their order."""
+
+    def of(lang: str, raw: list[bytes]) -> pa.RecordBatch:
+        v = vectors(np.stack([np.frombuffer(b, np.float32) for b in raw]), idf)
+        c = cluster(v, centroids).astype(np.float32)
+        limit = float(np.quantile(1 - (v @ c.T).max(1), QUANTILE)) * SLACK
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(range(len(c)), pa.int32()), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([limit] * len(c), pa.float64())], ["lang", "nth", "centroid", "limit"])
+
+    now, raw = None, []
+    for batch in batches:
+        for lang, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if lang != now and raw:
+                yield of(now, raw)
+                raw = []
+            now = lang
+            raw.append(counts)
+    if raw:
+        yield of(now, raw)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """What is learned: inverse document frequencies, and a written table of centroids with the ranges of languages."""
+
+    idf: np.ndarray
+    table: DataFrame | None
+    ranges: tuple[tuple[str, str], ...]  # first and last language of each
+
+    def models(self) -> Iterator[Model]:
+        """One model a range, MOST_CENTROIDS centroids each; an empty one if nothing was learned."""
+        if not self.ranges:
+            yield Model(self.idf, (), np.zeros((0, len(self.idf)), np.float32), np.array([], int), np.array([]))
+        for first, last in self.ranges:
+            rows = self.table.filter(F.col("lang").between(first, last)).orderBy("lang", "nth").collect()
+            languages = tuple(sorted({r.lang for r in rows}))
+            at = {lang: i for i, lang in enumerate(languages)}
+            limit = np.zeros(len(languages))
+            for r in rows:
+                limit[at[r.lang]] = r.limit
+            yield Model(self.idf, languages, np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]), np.array([at[r.lang] for r in rows], int), limit)
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, dimensions: int = DIMENSIONS, most_centroids: int = MOST_CENTROIDS) -> Fitted:
+    """From the texts and languages of rows that are not held out."""
     rows = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sums = rows.select("text").mapInArrow(partial(_frequencies, dimensions=dimensions), "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(dimensions + 1)
@@ -118,42 +164,46 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
     hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
     kinds = written(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "language-counts")
     known = kinds.count()
-    if known > MOST_LANGUAGES:
-        raise ValueError(f"{known} languages, at most {MOST_LANGUAGES} are learned")
     per_language = min(per_language, max(1, SAMPLE_ROWS // max(known, 1)))
     share = F.least(F.lit(1.0), 4.0 * per_language / F.col("texts"))
-    some = hashed.join(F.broadcast(kinds), "lang").filter(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31))
+    some = hashed.join(small(kinds), "lang").filter(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31))
     some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     picked = written(some.withColumn("r", rank).filter(F.col("r") <= per_language).select("lang", "text"), "language-sample")
-    got = picked.mapInArrow(partial(_counted, dimensions=dimensions), "lang string, counts binary").toPandas()  # SAMPLE_ROWS rows at most
-    languages = tuple(sorted(set(got["lang"])))
-    found, owner, limit = [], [], []
-    for i, lang in enumerate(languages):
-        raw = sorted(got["counts"][got["lang"] == lang].map(bytes))  # whatever order they came in
-        v = vectors(np.stack([np.frombuffer(b, np.float32) for b in raw]), idf)
-        c = cluster(v, centroids)
-        found.append(c)
-        owner += [i] * len(c)
-        limit.append(float(np.quantile(1 - (v @ c.T).max(1), QUANTILE)) * SLACK)
-    return Model(idf, languages, np.vstack(found) if found else np.zeros((0, dimensions), np.float32), np.array(owner, int), np.array(limit))
+    counted = picked.mapInArrow(partial(_counted, dimensions=dimensions), "lang string, counts binary")
+    dealt = counted.repartition("lang").sortWithinPartitions("lang", "counts")  # whatever order they came in
+    table = written(dealt.mapInArrow(frugal(partial(_fitted, idf=idf, centroids=centroids)), "lang string, nth int, centroid binary, limit double"), "language-centroids")
+    each = max(1, most_centroids // centroids)  # languages a range
+    languages = [r.lang for r in table.select("lang").distinct().orderBy("lang").collect()]
+    return Fitted(idf, table, tuple((languages[i], languages[min(i + each, len(languages)) - 1]) for i in range(0, len(languages), each)))
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], model: Model, last: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang_pred, score, rejected, lettered, text) with what this model says where that is better; the last
+    model gives the first four alone."""
     for batch in batches:
-        texts, lettered = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lang, score, rejected, lettered, texts = (batch.column(i).to_pylist() for i in range(1, 6))
         at = [i for i, x in enumerate(lettered) if x]
-        lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         for i, *got in zip(at, *model.predict([texts[i] for i in at]), strict=True):
-            lang[i], score[i], rejected[i] = got
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            if lang[i] == "und" or got[1] > score[i]:
+                lang[i], score[i], rejected[i] = got
+        columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), batch.column(4), batch.column(5)]
+        n = 4 if last else 6
+        yield pa.RecordBatch.from_arrays(columns[:n], batch.schema.names[:n])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every row."""
+def identify(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of every row. Of equal cosines the language that sorts first stays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return docs.select("text", lettered, "doc_id").mapInArrow(partial(_predicted, model=model), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    rows = docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), lettered, "text")
+    schema, n = f"doc_id {kind}, lang_pred string, score double, rejected boolean", max(1, len(fitted.ranges))
+    for i, model in enumerate(fitted.models()):
+        # Between ranges rows are written: a task never holds two models.
+        last = i == n - 1
+        made = rows.mapInArrow(frugal(partial(_predicted, model=model, last=last)), schema if last else f"{schema}, lettered boolean, text string")
+        rows = made if last else written(made, "language-so-far")
+    return rows
 
 
 def query(spark, sf_dir: str) -> DataFrame:
