@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED, buck
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("subs", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-counts")
     # At most total / bucket_rows of them are split.
     some = rows.join(F.broadcast(sizes.filter("subs > 1")), keys).filter(F.col("doc_id").isNotNull() & (hex_hash(F.col("doc_id")) % F.col("n") < SAMPLE * F.col("subs")))
-    ids = some.groupBy(*keys).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    ids = some.groupBy(*keys).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     cuts = ids.filter(F.size("ids") >= SAMPLE).select(*keys, F.expr(f"transform(sequence({SAMPLE}, size(ids), {SAMPLE}), i -> ids[i - 1])").alias("cuts"))
     sizes = written(sizes.join(F.broadcast(cuts), keys, "left"), "mix-sizes-cut")
     by_source = targets(sizes.groupBy("no_source", "src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
