@@ -11,8 +11,8 @@ shingles themselves, so that no pair is linked that is not alike.
    the texts that hold them are read again. The order decides what is compared, never what is linked. Nodes that meet
    in a shingle of their heads are compared with one of them, picked by hash for every shingle.
 3. What that has not connected is compared pair by pair within the groups of three and more that hold several
-   components; a pair has a node outside the group's largest component. Groups of over CELL nodes are cut into blocks,
-   and pairs of blocks are dealt as tasks are. This makes the result exact.
+   components; a pair has a node outside the group's largest component. Groups are cut into blocks of about CELL nodes,
+   and pairs of blocks are dealt like keys. This makes the result exact.
 
 Pairs are dropped by exact bounds first: by size, then by parity bits of each set, two and more a shingle, of which at
 most as many differ as the sets do. Emitted rows grow with the groups in stages 1 and 2 and with what the bounds leave
@@ -40,7 +40,7 @@ from annalum.llm.simhash import components, links
 #: Similarity NUM / DEN; Jaccard i / (x + y - i) >= NUM / DEN is i * (NUM + DEN) >= NUM * (x + y).
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
 LEAST_BITS, SAMPLE, FREQUENT, MOST_FREQUENT, BLOCK, SLICE = 1024, 10_000, 4, 100_000, 1024, 128
-CROWD, GUARDS, CELL = 4096, 3, 2048
+CROWD, GUARDS, CELL = 4096, 3, 512
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -221,13 +221,27 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cells(many: DataFrame, cell: int = CELL) -> DataFrame:
-    """cell, node, root, side of (token, node, root) for tokens of several roots: the groups to compare pair by pair."""
-    sizes = written(many.groupBy("token").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"), "similar-several")
-    sizes = sizes.select("token", "k", F.ceil(F.col("k") / cell).cast("int").alias("blocks"))
-    met = join_hot(many, sizes, ["token"], "k", max(1, sizes.agg(F.sum("k")).first()[0] or 0)).filter("blocks is not null")
-    own = met.withColumn("own", F.pmod(F.xxhash64("node", "token"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long")
-    return own.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "root", side.alias("side"))
+    """cell, node, root, side of (token, node, root) for tokens of several roots: the groups to compare pair by pair.
+
+    A pair has a node outside the token's largest root. So the members of that root lie in one cell for each block of
+    the others, mostly once, and the others meet each other in a triangle of their blocks. A block holds about `cell`."""
+    by_root = many.groupBy("token", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("token").agg(F.sum("n").alias("k"), F.max(F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+    blocks = lambda n: F.ceil(n / cell).cast("int")
+    sizes = written(sizes.select("token", "k", F.col("major.root").alias("major"), blocks(F.col("major.n")).alias("rows"), blocks(F.col("k") - F.col("major.n")).alias("others")), "similar-several")
+    met = join_hot(many, sizes, ["token"], "k", max(1, sizes.agg(F.sum("k")).first()[0] or 0)).filter("major is not null")
+    block = lambda n: F.pmod(F.xxhash64("node", "token"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    in_major = met.filter("root = major").withColumn("i", block(F.col("rows"))).withColumn("j", each("others"))
+    outside = met.filter("root <> major").withColumn("own", block(F.col("others")))
+    across = outside.withColumn("i", each("rows"))
+    among = outside.withColumn("other", each("others"))
+
+    def dealt(df: DataFrame, kind: int, i: str, j: str, side: Column) -> DataFrame:
+        return df.select(F.xxhash64("token", F.lit(kind), F.expr(i), F.expr(j)).alias("cell"), "node", "root", side.cast("long").alias("side"))
+
+    rectangle = dealt(in_major, 0, "i", "j", F.lit(0)).unionByName(dealt(across, 0, "i", "own", F.lit(1)))
+    return rectangle.unionByName(dealt(among, 1, "least(own, other)", "greatest(own, other)", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
