@@ -183,7 +183,7 @@ def test_sketches_merge(spark):
 
 
 def test_limits_follow_their_group(spark):
-    """Groups of different shares get different limits, small groups those of their language, and none where nothing was seen."""
+    """Groups of different shares get different limits, small groups about those of their language, and none where nothing was seen."""
     rows = [("=a", f"={s}", 10 * s * (i % 10), 100 * s if i % 4 else 0, 0, 10 + s * (i % 20), 400 + s * (i % 30)) for s in (1, 2, 3) for i in range(400)] + [("=a", "=few", 5, 5, 0, 12, 410)]
     df = spark.createDataFrame(rows, f"lang_key string, source_key string, {', '.join(f'{r} int' for r in quality_rules.RULES)}")
     keys = ["lang_key", "source_key"]
@@ -193,7 +193,22 @@ def test_limits_follow_their_group(spark):
         assert len({got[f"={s}"][limit] for s in (1, 2, 3)}) == 3, limit
     assert all(r.repeats_high is None for r in got.values())
     whole = quality_rules.thresholds(quality_rules.sketches(df.withColumn("source_key", F.lit("=x")), keys)).first()
-    assert got["=few"].capitals_high == whole.capitals_high and got["=few"].symbols_high == whole.symbols_high
+    for limit in ("capitals_high", "symbols_high"):  # its own row weighs one in 21
+        assert abs(got["=few"][limit] / whole[limit] - 1) < 0.1
+
+
+def test_limits_do_not_jump_with_size(spark):
+    """A source that is unlike its language moves from its language's limit to its own, step by step, as it grows."""
+    names = list(quality_rules.RULES)
+    lang = [("=a", "=big", *(10 * (i % 10) for _ in names)) for i in range(1000)]
+    keys, limits = ["lang_key", "source_key"], []
+    for n in (1, 20, 60, 99, 100, 101, 140, 400):
+        rows = lang + [("=a", "=own", *(1000 + 10 * (i % 10) for _ in names)) for i in range(n)]
+        df = spark.createDataFrame(rows, f"lang_key string, source_key string, {', '.join(f'{r} int' for r in names)}")
+        limits.append({r.source_key: r for r in quality_rules.thresholds(quality_rules.sketches(df, keys)).collect()}["=own"])
+    widths = [r.word_length_high for r in limits]
+    assert widths[0] < 400 and widths[-1] > 1000
+    assert abs(widths[3] - widths[5]) / widths[4] < 0.1 and abs(limits[3].capitals_high - limits[5].capitals_high) / limits[4].capitals_high < 0.1
 
 
 # ---- packing
@@ -506,9 +521,10 @@ def test_languages_of_held_out_texts(docs, awkward, nothing):
 
 def test_languages_by_hand(spark, docs):
     """Cosines with the centroids, and the cluster means, in plain Python."""
-    model = language_id.learn(docs, per_language=20, centroids=3)
+    fitted = language_id.learn(docs, per_language=20, centroids=3)
+    model = next(fitted.models())
     rows = docs.filter("text is not null").limit(40).select("doc_id", "text").collect()
-    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    got = {r.doc_id: r for r in language_id.identify(docs, fitted).collect()}
     for r in rows:
         counts = language_id.ngrams(r.text)
         v = [(1 + math.log(c)) * w if c else 0.0 for c, w in zip(counts.tolist(), model.idf.tolist(), strict=True)]
@@ -525,6 +541,52 @@ def test_languages_by_hand(spark, docs):
     assert sorted(np.round(c, 6).tolist() for c in centres) == sorted(np.round(m / np.linalg.norm(m), 6).tolist() for m in means)
 
 
+def plain_ngrams(text, dimensions=4096):
+    """The hashed counts with Python's integers."""
+    out, b, m = [0] * dimensions, text.lower().encode("utf-8", "replace"), 2**32
+    for factors in ((2654435761,), (2246822519, 3266489917), (668265263, 374761393, 2654435769)):
+        for i in range(len(b) - len(factors) + 1):
+            h = sum((b[i + j] + 1) * f for j, f in enumerate(factors)) % m
+            h = (h ^ h >> 15) * 2246822519 % m
+            out[(h >> 8) % dimensions] += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "Ab", "Grüße, 中文!", "x" * 300, "The end\n\t."])
+def test_ngrams_in_plain_python(text):
+    assert language_id.ngrams(text).tolist() == plain_ngrams(text)
+
+
+def test_many_languages(spark):
+    """501 languages, in one range and in many: the same answers, and texts of few languages are told apart."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    rows = [(i, f"{letters[i % 20]}a{letters[i // 20 % 20]}o{letters[i // 400 % 20]}i " * (4 + j % 2), f"l{i % 501:03d}") for j in range(3) for i in range(501)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    whole, cut = language_id.learn(docs, dimensions=256, centroids=2), language_id.learn(docs, dimensions=256, centroids=2, most_centroids=150)
+    assert len(whole.ranges) == 1 and len(cut.ranges) == 7
+    got = [sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in language_id.identify(docs, f).collect()) for f in (whole, cut)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert sum(lang == rows[k][2] for k, lang, _ in got[0]) > 0.9 * len(rows)
+
+
+def test_features_in_plain_python():
+    """Every feature of a text by a plain count."""
+    text = "The CAT sat. The CAT sat. 12 a b!\n\nline é\nline é\n"
+    raw = text.encode()
+    got = quality_classifier.features(raw)
+    share = lambda ok: sum(map(ok, raw)) / len(raw)
+    kinds = [share(lambda c, k=k: c in k) for k in quality_classifier.KINDS]
+    words = raw.split()
+    grams = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / len(lengths)
+    want = [*kinds, math.log(1 + len(words)), mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths)), max(lengths), len(set(words)) / len(words), max(Counter(words).values()) / len(words),
+            1 - len(set(grams)) / len(grams), 1 - len(set(lines)) / len(lines), math.log(1 + len(words) / len(lines)), sum(chr(w[-1]).isalpha() or w[-1] >= 128 for w in words) / len(words),
+            sum(w.decode().isupper() for w in words) / len(words), sum(len(w) == 1 for w in words) / len(words)]
+    assert np.allclose(got, want)
+
+
 def test_quality_by_hand():
     """Weights at the least of the penalised logistic loss of the pairs' differences, by plain gradient descent."""
     rng = np.random.default_rng(5)
