@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import scores, years
-from annalum.operators.joins import co_mention_pairs, join_hot, near_pairs
+from annalum.operators.joins import co_mention_pairs, first_columns, join_hot, near_pairs
 from annalum.operators.pairs import between
 from annalum.operators.windows import consecutive, top_n
 from annalum.sources.shared import kept
 
 
+FOLD = 500_000
+
+
 def _scored(edges: DataFrame, layer: str) -> DataFrame:
     """edges (a_id, b_id, a_year, b_year, sources, ...) with distance, direction and strength. Year 0 is a year."""
     distance = F.abs(F.col("b_year") - F.col("a_year"))
@@ -124,29 +129,62 @@ def greedy_places(rows: DataFrame, km: float = 500.0) -> DataFrame:
     return found.unionByName(placed.filter("not _ok").select("id", F.lit(None).cast(found.schema["seed"].dataType).alias("seed")))
 
 
-def components(edges: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """node, component (the smallest node that is connected), by large-star and small-star rounds.
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> (u, v): a star, to the smallest, of what each FOLD edges of a task connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in root if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["u", "v"])
 
-    The smallest node of a component gathers edges from round to round. Minima of nodes are broadcast while the counted
-    edges are `broadcast_rows` at most; beyond it only those of nodes with more than a 512th of the edges are, so that
-    no task gets a node's edges as a whole.
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(x, y)] = min(x, y)
+        if len(root) >= FOLD:
+            yield stars()
+            root.clear()
+    if root:
+        yield stars()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (the smallest node that is connected).
+
+    In a round each task replaces its own edges by stars, FOLD edges at a time; then large-star and small-star hang nodes
+    lower. The smallest node of a component gathers edges from round to round: minima of nodes with over a 512th of the
+    edges are broadcast (fewer than 512), so no task gets such a node's edges as a whole. Rounds end when nothing changes.
     """
-    nodes = edges.select(F.col("a_id").alias("node")).union(edges.select("b_id")).distinct()
-    now = kept(edges.filter("a_id <> b_id").select(F.greatest("a_id", "b_id").alias("u"), F.least("a_id", "b_id").alias("v")).distinct())
+    kind = edges.schema["a_id"].dataType.simpleString()
+    long = edges.select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b"))
+    nodes = long.select(F.col("a").alias("node")).union(long.select("b")).distinct()
     summed = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    state, before = summed(now), None
-    while state != before and state[0]:
-        both = now.union(now.select("v", "u"))
-        few = 2 * state[0] <= broadcast_rows
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        met = both.join(F.broadcast(least), "u") if few else join_hot(both, least, ["u"], "k", 2 * state[0])
-        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large if few else kept(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-        small = large.join(F.broadcast(low), "u") if few else join_hot(large, low, ["u"], "k", 2 * state[0])
-        now = kept(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct())
-        state, before = summed(now), state
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    fold = lambda df: kept(df.mapInArrow(_folded, "u long, v long").distinct())
+
+    def star(df: DataFrame, total: int) -> DataFrame:
+        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        return join_hot(df, least, ["u"], "k", total)
+
+    now = fold(long.filter("a <> b"))
+    state = summed(now)
+    for _ in range(rounds):
+        if not state[0]:
+            break
+        large = kept(star(now.union(now.select("v", "u")), 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = star(large, 2 * state[0])
+        now, before = fold(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m")).distinct()), state
+        state = summed(now)
+        if state == before:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    found = nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    return found.select(F.col("node").cast(kind).alias("node"), F.coalesce("root", "node").cast(kind).alias("component"))
 
 
 def story_nodes(edges: DataFrame, events: DataFrame) -> DataFrame:
@@ -178,6 +216,37 @@ def link_edges(pages: DataFrame, people: DataFrame, events: DataFrame, places: D
     return each.select("id", "target", kind.alias("kind"), F.coalesce(*[F.col(f"{k}_id") for k in tables]).alias("target_id")).filter("kind is not null")
 
 
+def typed_links(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """from_kind, from_id, to_kind, to_id of links between pages of people, events and places, each pair once.
+
+    A link is to the person of that title, else the event, else the place; of one kind's equal titles the largest id. A
+    person's links to people, events and places, an event's to people, events and places and a place's to people and
+    events count; nobody links to itself. Pairs stand as person-person, event-event (the smaller id first), event-person,
+    event-location and person-location. pages: kind, id, links; names: kind, id, name.
+    """
+    known = names.groupBy("kind", F.lower("name").alias("name")).agg(F.max("id").alias("id"))
+    rank = F.when(F.col("kind") == "person", 0).when(F.col("kind") == "event", 1).otherwise(2)
+    target = first_columns(known.withColumn("_r", rank), ["name"], ["_r"], ["kind", "id"]).select(F.col("name").alias("_link"), F.col("kind").alias("to_kind"), F.col("id").alias("to_id"))
+    each = pages.select(F.col("kind").alias("from_kind"), F.col("id").alias("from_id"), F.explode(F.array_distinct(F.transform("links", F.lower))).alias("_link"))
+    met = each.join(target, "_link").filter("not (from_kind = to_kind and (from_id = to_id or from_kind = 'location'))").drop("_link")
+    order = lambda c: F.when(F.col(c) == "event", 0).when(F.col(c) == "person", 1).otherwise(2)
+    turn = (order("from_kind") > order("to_kind")) | ((F.col("from_kind") == F.col("to_kind")) & (F.col("from_id") > F.col("to_id")))
+    pick = lambda c: [F.when(turn, F.col(f"to_{c}")).otherwise(F.col(f"from_{c}")).alias(f"from_{c}"), F.when(turn, F.col(f"from_{c}")).otherwise(F.col(f"to_{c}")).alias(f"to_{c}")]
+    return met.select(*pick("kind"), *pick("id")).distinct()
+
+
+def follow_all(successors: DataFrame, seeds: DataFrame, steps: int = 10) -> DataFrame:
+    """seed, segment, id: the causal chain of every seed, `steps` rows at most, each step to the smallest successor. A
+    chain ends where there is none. One join a step for all seeds together. successors: id, next_id; seeds: id."""
+    one = kept(successors.groupBy("id").agg(F.min("next_id").alias("next_id")))
+    now = kept(seeds.select(F.col("id").alias("seed"), F.lit(1).alias("segment"), "id").distinct())
+    told = [now]
+    for step in range(2, steps + 1):
+        now = kept(now.join(one, "id").select("seed", F.lit(step).alias("segment"), F.col("next_id").alias("id")))
+        told.append(now)
+    return reduce(DataFrame.unionByName, told)
+
+
 def edges_without(edges: DataFrame, false_ids: DataFrame) -> DataFrame:
     """Edges neither end of which is listed."""
     ids = false_ids.select("id")

@@ -136,14 +136,30 @@ def repointed(edges: DataFrame, mapping: DataFrame, *cols: str) -> DataFrame:
     return out.distinct()
 
 
+#: What is no name, whatever its case, and words that are none by themselves; Roman numbers of rulers.
+NOISE = r"(?i)^([A-Z]|[0-9]+|[0-9]+\s*[&,]\s*[0-9]+|[A-Z]{2,4}|[0-9]+\s*(st|nd|rd|th))$"
+NO_NAMES = (
+    "the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "by", "with", "mr", "mrs", "ms", "dr", "st", "ltd", "co", "inc", "son", "sons", "limited", "company", "brother", "brothers", "works", "factory",
+    "street", "road", "lane", "square", "court", "place", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "oak", "ash", "elm", "pine", "walnut", "mahogany", "brass", "iron", "steel")
+ROYAL = r"(?i)^(.{3,}?)\s+(I{1,3}|IV|VI{0,3}|IX|XI{0,3}|XIV|XV|XVI{0,3}|XIX|XX)$"
+
+
 def tier1(rows: DataFrame) -> DataFrame:
-    """Rules in order: noise, royal names apart, equal names merge into the one of most mentions, else pass. id, name, mentions."""
-    base, ordinal = text.royal(F.col("name"))
-    noise = (F.length("name") < 2) | (F.length("name") > 100) | ~F.col("name").rlike(r"\p{L}")
-    best = rows.groupBy(F.lower("name").alias("_k")).agg(F.max(F.struct("mentions", (-F.col("id")).alias("minus"))).alias("best"), F.count("*").alias("_n"))
-    out = rows.join(best, F.lower("name") == F.col("_k"), "left")
-    rule = F.when(noise, "NOISE").when(ordinal != "", "SEPARATE").when(F.col("_n") > 1, "MERGE").otherwise("PASS")
-    return out.select("id", rule.alias("rule"), F.when(rule == "MERGE", -F.col("best.minus")).otherwise(F.col("id")).alias("primary_id"), F.when(ordinal != "", base).alias("royal_base"))
+    """Rules in order: noise, royal names apart, equal names merge into the one of most mentions, else pass. id, name,
+    mentions. Names are equal in lower case, without outer blanks, with 'St.' and 'Mt.' written out and single blanks;
+    noise and royal names do not take part in a merge. A null name passes."""
+    name = F.trim("name")
+    noise = (F.length("name") < 2) | (F.length("name") > 100) | name.rlike(NOISE) | F.lower(name).isin(*NO_NAMES) | ~F.col("name").rlike("[a-zA-Z]")
+    base, ordinal = F.regexp_extract(name, ROYAL, 1), F.upper(F.regexp_extract(name, ROYAL, 2))
+    royal = (F.length(F.trim(base)) >= 3) & (ordinal != "")
+    written_out = F.regexp_replace(F.regexp_replace(name, r"\bSt\.\s*", "Saint "), r"\bMt\.\s*", "Mount ")
+    key = F.trim(F.lower(F.regexp_replace(written_out, r"\s+", " ")))
+    marked = rows.withColumn("_k", F.when(~noise & ~royal, key))
+    best = marked.filter("_k is not null").groupBy("_k").agg(F.max(F.struct("mentions", (-F.col("id")).alias("minus"))).alias("best"), F.count("*").alias("_n"))
+    out = marked.join(best, "_k", "left")
+    rule = F.when(noise, "NOISE").when(royal, "SEPARATE").when(F.col("_n") > 1, "MERGE").otherwise("PASS")
+    return out.select("id", rule.alias("rule"), F.when(rule == "MERGE", -F.col("best.minus")).otherwise(F.col("id")).alias("primary_id"), F.when(~noise & royal, F.trim(base)).alias("royal_base"))
 
 
 def quality_label(verified: Column, name: Column, sourced: Column) -> Column:
@@ -162,10 +178,11 @@ def longest_per_key(rows: DataFrame, key: str, body: str) -> DataFrame:
     return rows.filter(F.col(body).isNotNull()).groupBy(key).agg(F.min_by(body, F.struct(-F.length(body), F.col(body))).alias(body))
 
 
-def registry_decisions(entities: DataFrame, least: float = 0.5) -> DataFrame:
-    """id, match_id, score, decision of every entity against those of smaller ids: the order of arrival is that of ids.
+def registry_decisions(entities: DataFrame, least: float = 0.5, aliases: DataFrame | None = None) -> DataFrame:
+    """id, match_id, score, decision, reason of every entity against those of smaller ids: the order of arrival is that of ids.
 
-    An equal name (case and outer blanks aside) links to its first owner, 0.95. Else the candidates are earlier names that
+    An equal name (case and outer blanks aside) links to its first owner, 0.95; else an equal alias of an earlier entity
+    to the first that has it, 0.90 (aliases: entity_id, alias). Else the candidates are earlier names that
     share a word of three letters with the name without its ordinal, have no other ordinal, and hold it, are held by it,
     or share over `least` of the characters; decide() judges the best two. Names are made distinct before they meet.
     A null name has no candidates. Ties go to the smallest id. entities: id, name.
@@ -187,9 +204,17 @@ def registry_decisions(entities: DataFrame, least: float = 0.5) -> DataFrame:
     known = names.select(F.col("id").alias("k"), "first_id").join(judged, "k", "left")
     out = entities.select("id", key.alias("k")).join(known, "k", "left")
     again = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
-    decision = F.when(again, "LINK").otherwise(decide(F.col("best"), F.col("second"), F.lit(False)))
-    match = F.when(again, F.col("first_id")).when(decision == "LINK", F.col("near_id"))
-    return out.select("id", match.alias("match_id"), F.when(again, 0.95).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), decision.alias("decision"))
+    if aliases is None:
+        out = out.withColumn("alias_id", F.lit(None).cast("long"))
+    else:
+        owners = aliases.select(F.lower(F.trim("alias")).alias("k"), "entity_id").groupBy("k").agg(F.min("entity_id").alias("alias_id"))
+        out = out.join(owners, "k", "left")
+    known_as = ~again & F.coalesce(F.col("alias_id") < F.col("id"), F.lit(False))
+    decision = F.when(again | known_as, "LINK").otherwise(decide(F.col("best"), F.col("second"), F.lit(False)))
+    match = F.when(again, F.col("first_id")).when(known_as, F.col("alias_id")).when(decision == "LINK", F.col("near_id"))
+    score = F.when(again, 0.95).when(known_as, 0.9).otherwise(F.coalesce("best", F.lit(0.0)))
+    reason = F.when(again, "exact").when(known_as, "alias").when(F.col("near_id").isNotNull(), "near").otherwise("none")
+    return out.select("id", match.alias("match_id"), score.alias("score"), decision.alias("decision"), reason.alias("reason"))
 
 
 def five_stage_match(queries: DataFrame, names: DataFrame, aliases: DataFrame, keys: DataFrame, near: DataFrame, sure: float = 0.95, doubtful: float = 0.9) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annalum.functions import geo, scores, text, years
 from annalum.operators import pairs
 from annalum.operators.filters import contains, not_noise
+from annalum.operators.mentions import name_counts
 from annalum.sources.shared import kept
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -68,16 +69,30 @@ def observe(events: DataFrame, locations: DataFrame, year: int, lat: float, lng:
     return events.filter(years.active(F.col("date_start"), F.col("date_end"), year)).join(near.select(F.col("id").alias("location_id"), "km"), "location_id").select("id", "title", "date_start", "km")
 
 
+def alive(persons: DataFrame, year: int, linked: DataFrame | None = None) -> DataFrame:
+    """id, name of people alive in a year, noise excluded; linked (id): only those, which leaves orphans out."""
+    there = persons.filter(not_noise(F.col("name")) & years.active(F.col("birth_year"), F.col("death_year"), year))
+    return (there if linked is None else there.join(linked.select("id").distinct(), "id", "left_semi")).select("id", "name")
+
+
 def embedding_text(title: Column, when: Column, where: Column, body: Column) -> Column:
     """Labelled lines; absent parts leave none."""
     line = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c.cast("string")))
     return F.concat_ws("\n", line("Title", title), line("Year", when), line("Location", where), line("Description", body))
 
 
-def ngram_mentions(docs: DataFrame, key: str, body: Column, names: DataFrame, least: int = 1, most: int = 5) -> DataFrame:
-    """Which names a document mentions as word n-grams: a hash join, not a scan per name. names: id, name."""
-    grams = docs.select(key, F.explode(text.word_ngrams(F.coalesce(body, F.lit("")), least, most, 2)).alias("gram"))
-    return grams.join(names.select(F.col("id").alias("name_id"), F.lower("name").alias("gram")), "gram").select(key, "name_id").distinct()
+def ngram_mentions(docs: DataFrame, key: str, body: Column, names: DataFrame, least: int = 1, most: int = 5, min_chars: int = 5) -> DataFrame:
+    """Which names a document mentions as `least` to `most` words in a row; words are runs of a-z and 0-9 in lower case.
+
+    Words stand between blanks, and so do names, so one automaton finds them in one pass, and no text is cut into n-grams.
+    Names of under min_chars characters are left out. names: id, name."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    listed = names.select(F.col("id").alias("name_id"), F.trim(bare(F.col("name"))).alias("gram"))
+    listed = listed.filter((F.length("gram") >= min_chars) & F.size(F.split("gram", " ")).between(least, most)).select("name_id", F.concat(F.lit(" "), "gram", F.lit(" ")).alias("name"))
+    # Blanks are doubled in texts, so that of two names in a row each has its own.
+    texts = docs.select(key, F.replace(F.concat(F.lit(" "), bare(F.coalesce(body, F.lit(""))), F.lit(" ")), F.lit(" "), F.lit("  ")).alias("_body"))
+    spaced = listed.withColumn("name", F.concat(F.lit(" "), F.replace(F.trim("name"), F.lit(" "), F.lit("  ")), F.lit(" ")))
+    return name_counts(texts, [key], "_body", spaced.select("name")).join(spaced, "name").select(key, "name_id").distinct()
 
 
 def autocomplete(prefix: str, n: int, **tables: DataFrame) -> DataFrame:

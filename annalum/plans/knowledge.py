@@ -177,10 +177,18 @@ def near_duplicate_vectors(t: Tables) -> DataFrame:
     return search.similarity_pairs(t.embeddings, "vec_id", "label", "embedding", 0.3).select(*_long("label"), "a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS w FROM documents) SELECT DISTINCT doc_id, id AS name_id FROM k JOIN (SELECT DISTINCT n_nationkey AS id, lower(n_name) AS w FROM nation UNION ALL SELECT 1000 + r_regionkey, substr(lower(r_name), 1, 2) FROM region) USING (w) WHERE length(w) >= 2""")
+@query("""WITH g AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents),
+b AS (SELECT item_id AS id, array_to_string(string_split(text, ' ')[2 : n + 1], ' ') AS name, n FROM benchmark, range(1, 6) r(n)),
+t AS (SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region UNION ALL SELECT 10000 * n + id, name FROM b),
+k AS (SELECT id, array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') AS gram, len(regexp_extract_all(lower(name), '[a-z0-9]+')) AS n FROM t)
+SELECT DISTINCT doc_id, id AS name_id FROM g JOIN k ON contains(words, ' ' || gram || ' ') WHERE length(gram) >= 5 AND n BETWEEN 1 AND 5""")
 def ngram_mentions(t: Tables) -> DataFrame:
-    names = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(t.region.select(1000 + F.col("r_regionkey"), F.substring("r_name", 1, 2)))
-    return search.ngram_mentions(t.documents.select("doc_id", "text"), "doc_id", F.col("text"), names, 1, 1)
+    """Names of one to five words in documents: of nations, regions, and works by words of their beginnings."""
+    works = [t.benchmark.select((10_000 * n + F.col("item_id")).alias("id"), F.array_join(F.slice(F.split("text", " "), 2, n), " ").alias("name")) for n in range(1, 6)]
+    names = t.nation.select(*_long("n_nationkey"), F.col("n_name")).union(t.region.select((1000 + F.col("r_regionkey")).cast("long"), "r_name")).toDF("id", "name")
+    for more in works:
+        names = names.union(more)
+    return search.ngram_mentions(t.documents.select("doc_id", "text"), "doc_id", F.col("text"), names)
 
 
 @query("""SELECT doc_id, i::BIGINT AS chunk, md5(substr(text, i * 1800 + 1, 2000)) AS digest FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil((length(text) - 2000) / 1800.0)::BIGINT + 1 END)) AS i FROM documents WHERE length(text) > 0)""")
@@ -227,10 +235,21 @@ def staged_match(t: Tables) -> DataFrame:
     return resolve.staged_match(t.event.select("id", name.alias("name")), t.event.filter("id % 2 = 0").select("id", F.col("title").alias("name")), t.event.select(F.col("id").alias("entity_id"), F.col("category").alias("alias"))).select("id", "match_id", "stage")
 
 
-@query("""SELECT id, CASE WHEN length(name) < 2 THEN 'NOISE' WHEN n > 1 THEN 'MERGE' ELSE 'PASS' END AS rule, CASE WHEN n > 1 THEN best ELSE id END AS primary_id
-FROM (SELECT id, title AS name, count(*) OVER (PARTITION BY lower(title)) AS n, first_value(id) OVER (PARTITION BY lower(title) ORDER BY importance DESC, id) AS best FROM event)""")
+_TIER1_NAMES = ("upper(substr(title, 1, 1))", "CAST(id AS STRING)", "concat(CAST(id AS STRING), ' & 12')", "split_part(title, ' ', 1)", "concat(CAST(id % 30 AS STRING), 'th')", "'The'",
+                "concat(split_part(title, ' ', 2), CASE WHEN id % 24 < 12 THEN ' VII' ELSE ' xiv' END)", "concat('St. ', title)", "concat('saint  ', title)", "title", "upper(title)", "'---'")
+
+
+@query(f"""WITH n AS (SELECT id, importance AS m, CASE id % 12 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_TIER1_NAMES)).replace('STRING', 'VARCHAR')} END AS name FROM event),
+r AS (SELECT *, lower(name) AS low FROM n),
+f AS (SELECT *, length(name) < 2 OR length(name) > 100 OR regexp_full_match(low, '[a-z]|[a-z]{{2,4}}|[0-9]+( *[&,] *[0-9]+| *(st|nd|rd|th))?') OR low IN ('limited', 'company', 'works', 'march', 'brass', 'steel') OR NOT regexp_matches(low, '[a-z]') AS noise,
+  regexp_full_match(low, '.{{3,}} +(vii|xiv)') AS royal, regexp_replace(regexp_replace(low, '^st[.] *', 'saint '), ' +', ' ', 'g') AS k FROM r),
+g AS (SELECT k, count(*) AS c, arg_max(id, (m, -id)) AS best FROM f WHERE NOT noise AND NOT royal GROUP BY 1)
+SELECT id, CASE WHEN noise THEN 'NOISE' WHEN royal THEN 'SEPARATE' WHEN c > 1 THEN 'MERGE' ELSE 'PASS' END AS rule, CASE WHEN NOT noise AND NOT royal AND c > 1 THEN best ELSE id END AS primary_id,
+CASE WHEN royal AND NOT noise THEN regexp_replace(name, ' +[^ ]+$', '') END AS royal_base FROM f LEFT JOIN g USING (k)""")
 def tier1_rules(t: Tables) -> DataFrame:
-    return resolve.tier1(t.event.select("id", F.col("title").alias("name"), F.col("importance").alias("mentions"))).select("id", "rule", "primary_id")
+    """Names as recognisers find them: letters, numbers, addresses, abbreviations, ordinals, rulers, saints."""
+    name = f"CASE id % 12 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_TIER1_NAMES))} END AS name"
+    return resolve.tier1(t.event.selectExpr("id", name, "importance AS mentions")).select("id", "rule", "primary_id", "royal_base")
 
 
 @query("""SELECT DISTINCT coalesce(m.new_id, e.entity_id) AS entity_id, source_id FROM mention e LEFT JOIN (SELECT id AS old_id, min(id) OVER (PARTITION BY title) AS new_id FROM event) m ON m.old_id = e.entity_id WHERE entity_type = 'event'""")

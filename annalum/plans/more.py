@@ -109,15 +109,18 @@ def vector_clusters(t: Tables) -> DataFrame:
 
 
 def _strength(t: Tables, mentions: DataFrame) -> DataFrame:
-    """From shared sources and places, never from an earlier strength."""
-    pairs = joins.co_mention_pairs(mentions)
-    place = lambda side: t.person.select(F.col("id").alias(f"{side}_id"), F.col("nation_id").alias(f"{side}_place"))
+    """From shared sources, places and years of life, never from an earlier strength."""
+    met = joins.co_mention_pairs(mentions)
+    side = lambda p: t.person.select(F.col("id").alias(f"{p}_id"), F.col("nation_id").alias(f"{p}_place"), F.col("birth_year").alias(f"{p}_birth"), F.col("death_year").alias(f"{p}_death"))
     shared = (F.col("a_place") == F.col("b_place")).cast("int")
-    return pairs.join(place("a"), "a_id").join(place("b"), "b_id").select("a_id", "b_id", F.round(F.greatest(scores.source_factor(F.col("sources")) + 2.0 * shared, F.lit(0.1)), 6).alias("strength"))
+    life, _ = scores.lifetime_overlap(F.col("a_birth"), F.col("a_death"), F.col("b_birth"), F.col("b_death"))
+    strength = F.greatest(scores.source_factor(F.col("sources")) + 2.0 * shared + life, F.lit(0.1))
+    return met.join(side("a"), "a_id").join(side("b"), "b_id").select("a_id", "b_id", F.round(strength, 6).alias("strength"))
 
 
-@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person'), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL)
-SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * (pa.nation_id = pb.nation_id)::INT, 0.1), 6)::DOUBLE AS strength FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id""")
+@query("""WITH o AS (SELECT DISTINCT entity_id, source_id FROM mention WHERE entity_type = 'person'), c AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, count(*) AS sources FROM o a JOIN o b ON a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL),
+x AS (SELECT c.*, pa.nation_id = pb.nation_id AS same, greatest(pa.birth_year, pb.birth_year) AS low, least(coalesce(pa.death_year, pa.birth_year + 70), coalesce(pb.death_year, pb.birth_year + 70)) AS high FROM c JOIN person pa ON pa.id = a_id JOIN person pb ON pb.id = b_id)
+SELECT a_id, b_id, round(greatest(sources * power(1 + ln(sources::DOUBLE), 1.5) + 2.0 * same::INT + CASE WHEN high - low >= 20 THEN 10 WHEN high - low >= 10 THEN 7 WHEN high >= low THEN 5 WHEN low - high <= 50 THEN 2 WHEN low - high <= 100 THEN 0 ELSE -5 END, 0.1), 6)::DOUBLE AS strength FROM x""")
 def strength_recomputed(t: Tables) -> DataFrame:
     return _strength(t, t.mentions("person"))
 
