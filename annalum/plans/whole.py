@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import text
-from annalum.operators import graph, mentions, pairs, resolve, search, stories
+from annalum.operators import canonical, graph, mentions, pairs, resolve, search, stories
 from annalum.operators.windows import top_n
 from annalum.plans.catalog import query
 from annalum.plans.complete import _YEAR
 from annalum.plans.queries import _long
 from annalum.schema import Tables
+from annalum.sources import shared
 
 # ---- evidence
 
@@ -130,3 +131,16 @@ def registry_alias_decisions(t: Tables) -> DataFrame:
     aliases = t.event.filter("id % 3 = 1").select(F.col("id").cast("long").alias("entity_id"), own.alias("alias"))
     found = resolve.registry_decisions(names, aliases=aliases)
     return found.filter("reason in ('exact', 'alias')").select("id", "match_id", "score")
+
+
+@query("""WITH n AS (SELECT id, trim(CASE id % 4 WHEN 0 THEN title WHEN 1 THEN title || ' ' || id % 9 ELSE category || ' ' || id % 60 END) AS form, CASE WHEN id % 3 = 0 THEN brand || id % 7 END AS key FROM event),
+f AS (SELECT form, min(id) AS first_id, arg_min(coalesce(key, ''), id) AS key FROM n GROUP BY 1), k AS (SELECT key, min(first_id) AS key_id FROM f WHERE key <> '' GROUP BY 1),
+h AS (SELECT lower(form) AS form, first_id, coalesce(key_id, first_id) AS canonical_id FROM f LEFT JOIN k USING (key))
+SELECT id::BIGINT AS id, canonical_id::BIGINT AS canonical_id, CASE WHEN id <> first_id THEN 'rule' WHEN id = canonical_id THEN 'new' ELSE 'key' END AS method FROM n JOIN h ON lower(n.form) = h.form""")
+def canonical_names(t: Tables) -> DataFrame:
+    """Every event's name, in four batches, against the canonical names of those before it."""
+    kind = F.col("id") % 4
+    plain = F.when(kind == 0, F.col("title")).when(kind == 1, F.concat_ws(" ", "title", F.col("id") % 9)).otherwise(F.concat_ws(" ", "category", F.col("id") % 60))
+    key = F.when(F.col("id") % 3 == 0, F.concat("brand", (F.col("id") % 7).cast("string")))
+    named = t.event.select(F.col("id").cast("long").alias("id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("Sir "), plain)).when(F.col("id") % 5 == 1, F.concat(plain, F.lit(" du Lac"))).otherwise(plain).alias("name"), key.alias("key"))
+    return canonical.resolve_all(named, shared.new_path(t.spark, "canonical"), 4).select("id", "canonical_id", "method")

@@ -191,3 +191,71 @@ def test_greedy_places(spark):
         assert {r.id: r.seed for r in graph.greedy_places(df, km).collect()} == slow_greedy(rows, km)
     assert graph.greedy_places(df.limit(0)).count() == 0
     assert graph.greedy_places(df.select("id", F.lit(None).cast("double").alias("latitude"), "longitude")).filter("seed is null").count() == len(rows)
+
+
+# ---- canonical names
+
+def one_by_one(names):
+    """The map in the order of ids, with Python's dicts."""
+    import re
+
+    def form(name):
+        low = (name or "").lower().strip()
+        for title in ("sir ", "king ", "queen "):
+            if low.startswith(title):
+                low = low[len(title) :]
+                break
+        for end in (" the great", " of camelot"):
+            if low.endswith(end):
+                low = low[: -len(end)]
+                break
+        return re.sub(r"\s+du\s+lac$", "", re.sub(r"\s+le\s+fay$", "", low)).strip()
+
+    forms, keys, out = {}, {}, []
+    for i, name, key in sorted(names):
+        f = form(name)
+        if f and f in forms:
+            out.append((i, forms[f], "rule"))
+            continue
+        found = keys.get(key) if f and key else None
+        out.append((i, i if found is None else found, "new" if found is None else "key"))
+        if f:
+            forms[f] = out[-1][1]
+            if found is None and key:
+                keys[key] = i
+    return sorted(out)
+
+
+def test_canonical_names_grow_in_order(spark, monkeypatch):
+    from annalum.operators import canonical
+
+    rng = random.Random(9)
+    heads, names = ["Arthur", "Lancelot", "Morgan", "Galahad", "Gawain", "Bors", "Kay", "Tristan", "Isolde", None, " "], []
+    for i in rng.sample(range(1000), 220):
+        name = rng.choice(heads)
+        if name and name.strip() and rng.random() < 0.5:
+            name = rng.choice(["Sir ", "King ", ""]) + name + rng.choice([" of Camelot", " le Fay", " du Lac", "", f" {rng.randrange(4)}"])
+        names.append((i, name, rng.choice([None, "", *(f"Q{k}" for k in range(14))])))
+    df = spark.createDataFrame(names, "id long, name string, key string").repartition(4)
+    want = one_by_one(names)
+    assert {m for _, _, m in want} == {"new", "key", "rule"}
+    got = lambda path: sorted((r.id, r.canonical_id, r.method) for r in canonical.resolutions(spark, path).collect())
+    for batches in (1, 6):
+        path = shared.new_path(spark, "canonical")
+        canonical.resolve_all(df, path, batches)
+        assert got(path) == want
+    # A run that is lost in its third batch, and one that takes up from there.
+    path, real = shared.new_path(spark, "canonical"), canonical.publish_all
+
+    def lost(tables, where, number):
+        if number == 3:
+            raise RuntimeError("lost")
+        return real(tables, where, number)
+
+    with monkeypatch.context() as m:
+        m.setattr(canonical, "publish_all", lost)
+        with pytest.raises(RuntimeError):
+            canonical.resolve_all(df, path, 5)
+    assert 0 < len(got(path)) < len(want)
+    canonical.resolve_all(df, path, 5)
+    assert got(path) == want and canonical.add_batch(df, path, 2) is False
