@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalum.functions import scores, years
+from annalum.functions import scores
 from annalum.operators.joins import co_mention_pairs, first_columns, join_hot, near_pairs
 from annalum.operators.pairs import between
 from annalum.operators.windows import consecutive, top_n
@@ -251,7 +251,3 @@ def edges_without(edges: DataFrame, false_ids: DataFrame) -> DataFrame:
     """Edges neither end of which is listed."""
     ids = false_ids.select("id")
     return edges.join(ids.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(ids.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
-
-
-def lifespan_text(persons: DataFrame) -> DataFrame:
-    return persons.select("id", years.lifespan(F.col("birth_year"), F.col("death_year")).alias("lifespan"))

@@ -82,8 +82,8 @@ def page_with_total(t: Tables) -> DataFrame:
     """A page of the events that something mentions, with the number of all of them; orphans and a prefix are left out."""
     seen = t.mentions("event").select(F.col("entity_id").alias("id")).distinct()
     found = t.event.filter(~F.col("title").startswith("a")).join(seen, "id", "left_semi")
-    total = found.count()
-    return filters.page(found, [F.asc_nulls_last("title"), F.asc("id")], 25, 25).select("id", "title", F.lit(total).cast("long").alias("total"))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return filters.page(found, [F.asc_nulls_last("title"), F.asc("id")], 25, 25).select("id", "title").crossJoin(F.broadcast(total))
 
 
 @query("""SELECT id, coalesce(date_start, 0)::BIGINT AS first_year, coalesce(date_end, 0)::BIGINT AS last_year FROM event ORDER BY coalesce(date_end, 0), coalesce(date_start, 0), id LIMIT 40""")

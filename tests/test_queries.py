@@ -12,6 +12,7 @@ import annalum.plans.names
 import annalum.plans.queries
 import annalum.plans.rest
 import annalum.plans.stories
+import annalum.plans.texts
 import annalum.plans.whole  # noqa: F401
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import rows_of, rows_of_sql
