@@ -104,12 +104,12 @@ def neighbours_in_time(events: DataFrame, k: int, within: int) -> DataFrame:
 
 
 def blocked_pairs(a: DataFrame, b: DataFrame, keys_a: Column, keys_b: Column, most: int | None = None) -> DataFrame:
-    """Distinct (a_id, b_id) that share a blocking key. `most`: keys with more rows than that on the b side are left
+    """Distinct (a_id, b_id) that share a blocking key; keys that many rows have are split. `most`: keys with more rows than that on the b side are left
     out, as the operators that ask for it define; None leaves nothing out."""
     left, right = a.select(F.col("id").alias("a_id"), F.explode(F.array_distinct(keys_a)).alias("key")), b.select(F.col("id").alias("b_id"), F.explode(F.array_distinct(keys_b)).alias("key"))
     if most:
         right = right.join(right.groupBy("key").count().filter(F.col("count") <= most).select("key"), "key")
-    return left.join(right, "key").select("a_id", "b_id").distinct()
+    return pairs.between(left, right, ["key"], ["a_id"], ["b_id"]).select("a_id", "b_id").distinct()
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, most: int = 512) -> DataFrame:

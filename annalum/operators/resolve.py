@@ -68,12 +68,16 @@ def decide(best: Column, second: Column, conflict: Column) -> Column:
     return F.when(conflict, "CREATE").when((best > 0.85) & (F.coalesce(second, F.lit(0.0)) <= 0.8), "LINK").when(best > 0.6, "PENDING").otherwise("CREATE")
 
 
-def _title_pairs(a: DataFrame, b: DataFrame, col: str, most_per_word: int | None = None) -> DataFrame:
+def _title_pairs(a: DataFrame, b: DataFrame, col: str, most_per_word: int | None = None, least: float = 0.0) -> DataFrame:
     """Distinct (a_name, b_name) of names without punctuation that share a word of three letters or more, and their ratio.
-    Names are made distinct first, so that a frequent word costs by its names, not by its rows."""
+    Names are made distinct first, so that a frequent word costs by its names, not by its rows. Pairs whose lengths
+    alone keep the ratio below `least` are left out before it is computed, unless one name holds the other."""
     plain = lambda df: df.select(text.unpunctuated(F.col(col)).alias("id")).distinct()
     key = F.filter(F.split("id", " "), lambda w: F.length(w) >= 3)
     pairs = blocked_pairs(plain(a), plain(b), key, key, most_per_word).select(F.col("a_id").alias("a_name"), F.col("b_id").alias("b_name"))
+    if least:
+        x, y = F.length("a_name"), F.length("b_name")
+        pairs = pairs.filter((2 * F.least(x, y) >= least * (x + y)) | F.contains("a_name", "b_name") | F.contains("b_name", "a_name"))
     return pairs.withColumn("ratio", sequence_ratio("a_name", "b_name"))
 
 
@@ -113,7 +117,7 @@ def best_person_match(a: DataFrame, b: DataFrame, least: float = 70) -> DataFram
     """
     side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), text.unpunctuated(F.col("name")).alias(f"{s}_name"), F.col("birth_year").alias(f"{s}_birth"), F.col("death_year").alias(f"{s}_death"))
     x, y = F.col("a_name"), F.col("b_name")
-    named = _title_pairs(a, b, "name").withColumn("name", F.when(x == y, 100.0).when(F.contains(x, y) | F.contains(y, x), 90.0).otherwise(100 * F.col("ratio"))).filter("name >= 50")
+    named = _title_pairs(a, b, "name", least=0.5).withColumn("name", F.when(x == y, 100.0).when(F.contains(x, y) | F.contains(y, x), 90.0).otherwise(100 * F.col("ratio"))).filter("name >= 50")
     met = named.join(side(a, "a"), "a_name").join(side(b, "b"), "b_name").filter("a_id <> b_id")
     gap = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
     points = lambda g: F.when(g == 0, 40).when(g <= 2, 30).when(g <= 5, 20).when(g <= 10, 10).otherwise(0)

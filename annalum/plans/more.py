@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalum.functions import geo, scores, text, years
-from annalum.operators import filters, graph, joins, mentions, resolve, search, windows
+from annalum.operators import filters, graph, joins, mentions, pairs, resolve, search, windows
 from annalum.plans.catalog import query
 from annalum.plans.queries import _long
 from annalum.schema import Tables
@@ -155,7 +155,8 @@ def same_category_far(t: Tables) -> DataFrame:
     """The three closest of a kind that are more than a century away."""
     a, b = t.event.select("category", "brand", F.col("id").alias("other_id"), F.col("date_start").alias("y")), t.event.select("category", "brand", "id", "date_start")
     gap = F.abs(F.col("y") - F.col("date_start"))
-    return windows.top_n(b.join(a, ["category", "brand"]).filter(gap > 100), ["id"], [gap.asc(), F.asc("other_id")], 3).select("id", "other_id", *_long("rank"))
+    met = pairs.between(b, a, ["category", "brand"], ["id", "date_start"], ["other_id", "y"])
+    return windows.top_n(met.filter(gap > 100), ["id"], [gap.asc(), F.asc("other_id")], 3).select("id", "other_id", *_long("rank"))
 
 
 @query("""SELECT id, title FROM event WHERE category IS NOT NULL AND contains(lower(title), 'e') AND date_start BETWEEN -800 AND -300 AND trim(coalesce(CASE WHEN id % 3 = 0 THEN '' ELSE title END, category)) <> '' ORDER BY date_start, id LIMIT 100""")

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalum.functions import text
-from annalum.operators import canonical, graph, mentions, pairs, resolve, search, stories
+from annalum.operators import canonical, graph, mentions, pairs, resolve, search, stories, vector_index
 from annalum.operators.windows import top_n
 from annalum.plans.catalog import query
 from annalum.plans.complete import _YEAR
+from annalum.plans.knowledge import _LOC_EDGES, _near_chain
 from annalum.plans.queries import _long
 from annalum.schema import Tables
 from annalum.sources import shared
@@ -144,3 +145,34 @@ def canonical_names(t: Tables) -> DataFrame:
     key = F.when(F.col("id") % 3 == 0, F.concat("brand", (F.col("id") % 7).cast("string")))
     named = t.event.select(F.col("id").cast("long").alias("id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("Sir "), plain)).when(F.col("id") % 5 == 1, F.concat(plain, F.lit(" du Lac"))).otherwise(plain).alias("name"), key.alias("key"))
     return canonical.resolve_all(named, shared.new_path(t.spark, "canonical"), 4).select("id", "canonical_id", "method")
+
+
+# ---- walks and retrieval
+
+@query("WITH RECURSIVE " + _LOC_EDGES.format(gap=400) + """, e AS (SELECT a_id, b_id, round(6.0::DOUBLE + greatest(0.0, (50 - gap) * 0.02::DOUBLE), 6) AS strength FROM s WHERE b_id IS NOT NULL AND gap <= 400),
+d AS (SELECT a_id, b_id, strength FROM e UNION SELECT b_id, a_id, strength FROM e),
+b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY strength DESC, b_id) <= 1),
+w AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT b.b_id, depth + 1 FROM w JOIN b ON b.a_id = w.node WHERE depth < 8) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def bfs_fan_out(t: Tables) -> DataFrame:
+    """A walk in which every node follows its strongest edge only."""
+    return graph.bfs(_near_chain(t, 400), 7, 8, fan_out=1)
+
+
+def retrieved(found: DataFrame, documents: DataFrame, most: int = 5) -> DataFrame:
+    """id, confidence, sources, context of every question: the titles of its nearest documents by rank, as numbered lines, and
+    the largest similarity as confidence. found: id, candidate_id, similarity, rank; documents: id, title."""
+    named = found.filter(F.col("rank") <= most).join(documents.select(F.col("id").alias("candidate_id"), "title"), "candidate_id")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "title")
+    out = named.groupBy("id").agg(F.max("similarity").alias("confidence"), F.count("*").alias("sources"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    return out.select("id", "confidence", "sources", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
+
+
+@query("""WITH c AS (SELECT a.vec_id AS id, b.vec_id AS c, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, c) AS rank FROM c WHERE s >= 0.25 QUALIFY rank <= 5)
+SELECT r.id, round(max(s), 6) AS confidence, count(*) AS sources, string_agg('[' || rank || '] ' || title, chr(10) ORDER BY rank) AS context FROM r JOIN event e ON e.id = r.c GROUP BY 1""")
+def retrieved_contexts(t: Tables) -> DataFrame:
+    """For questions given by vectors: the context and the confidence of an answer."""
+    index = vector_index.index_of(t.embeddings, "vec_id", "embedding", 64, "embeddings")
+    found = index.candidates(t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5, 0.25)
+    out = retrieved(found, t.event.select(*_long("id"), "title"))
+    return out.withColumn("confidence", F.round("confidence", 6))
