@@ -10,7 +10,7 @@ from annalum.operators import canonical, graph, mentions, pairs, resolve, search
 from annalum.operators.windows import top_n
 from annalum.plans.catalog import query
 from annalum.plans.complete import _YEAR
-from annalum.plans.knowledge import _LOC_EDGES, _near_chain
+from annalum.plans.knowledge import _CAUSAL, causal
 from annalum.plans.queries import _long
 from annalum.schema import Tables
 from annalum.sources import shared
@@ -149,13 +149,12 @@ def canonical_names(t: Tables) -> DataFrame:
 
 # ---- walks and retrieval
 
-@query("WITH RECURSIVE " + _LOC_EDGES.format(gap=400) + """, e AS (SELECT a_id, b_id, round(6.0::DOUBLE + greatest(0.0, (50 - gap) * 0.02::DOUBLE), 6) AS strength FROM s WHERE b_id IS NOT NULL AND gap <= 400),
-d AS (SELECT a_id, b_id, strength FROM e UNION SELECT b_id, a_id, strength FROM e),
-b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY strength DESC, b_id) <= 1),
-w AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT b.b_id, depth + 1 FROM w JOIN b ON b.a_id = w.node WHERE depth < 8) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_CAUSAL}, d AS (SELECT a_id, b_id, strength FROM edge UNION ALL SELECT b_id, a_id, strength FROM edge),
+b AS (SELECT a_id, b_id FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY strength DESC, b_id) <= 3),
+w AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT b.b_id, depth + 1 FROM w JOIN b ON b.a_id = w.node WHERE depth < 4) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""")
 def bfs_fan_out(t: Tables) -> DataFrame:
-    """A walk in which every node follows its strongest edge only."""
-    return graph.bfs(_near_chain(t, 400), 7, 8, fan_out=1)
+    """A walk over causal edges in which every event follows its three strongest."""
+    return graph.bfs(causal(t), 7, 4, fan_out=3)
 
 
 def retrieved(found: DataFrame, documents: DataFrame, most: int = 5) -> DataFrame:
