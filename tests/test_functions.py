@@ -149,10 +149,12 @@ def test_versions_of_a_table(spark, tmp_path):
     assert sinks.publish(spark.range(5), path) == 4 and sinks.current(spark, path).count() == 5
 
 
-def test_components_with_a_hub(spark):
+def test_components_with_a_hub(spark, monkeypatch):
+    """Edges folded a batch at a time and all at once."""
     star = [(0, i) for i in range(1, 700)] + [(i, i + 1000) for i in range(1, 700)] + [(5000, 5001), (7, 7), (8000, 8000)]
-    for most in (0, 200_000):
-        got = {r.node: r.component for r in graph.components(spark.createDataFrame(star, "a_id long, b_id long"), most).collect()}
+    for fold in (1, 500_000):
+        monkeypatch.setattr(graph, "FOLD", fold)
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(star, "a_id long, b_id long").repartition(7)).collect()}
         assert len(got) == 700 + 699 + 2 + 1 and got[8000] == 8000 and got[5001] == 5000
         assert {c for n, c in got.items() if n < 5000} == {0}
     assert graph.components(spark.createDataFrame([], "a_id long, b_id long")).count() == 0
