@@ -35,9 +35,12 @@ def edited(words: list[str], edits: int, rng: random.Random) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("sample", [1, 10_000])
-def test_near_copies(spark, monkeypatch, sample):
-    monkeypatch.setattr(similar, "SAMPLE", sample)
+@pytest.mark.parametrize(("sample", "crowd", "cell"), [(1, 4096, 512), (10_000, 4096, 512), (1, 6, 3)])
+def test_near_copies(spark, monkeypatch, sample, crowd, cell):
+    """With a sample that shows nothing, shingles that crowd heads are demoted, and groups are cut into small cells."""
+    for name, value in (("SAMPLE", sample), ("CROWD", crowd), ("CELL", cell)):
+        monkeypatch.setattr(similar, name, value)
+    monkeypatch.setattr(similar.cells, "__defaults__", (cell,))
     rng, texts = random.Random(7), {}
     shared = [f"common{i}" for i in range(30)]
     for g in range(12):  # near and not so near copies, with one passage in all
@@ -94,3 +97,61 @@ def test_long_texts_of_several_widths(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(similar, "simhash_pairs", lambda nodes: nodes.select("node", "node").limit(0).toDF("a", "b"))
     assert {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()} == slow_groups(texts)
+
+
+def test_crowded_heads_are_emptied(spark, monkeypatch):
+    """One passage in texts that are otherwise unlike, and a sample that misses it: no head holds it in the end."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(12))
+    fresh = lambda: " ".join(f"w{rng.randrange(10**7)}" for _ in range(40))
+    docs = spark.createDataFrame([(i, f"{fresh()} {passage} {fresh()}") for i in range(120)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "CROWD", 20)
+    texts = docs.select("doc_id", similar.text_hash().alias("text_hash"), docs["text"].cast("binary").alias("text"))
+    nodes = similar.written(similar._headed(texts, {}).drop("doc_id"), "test-nodes")
+    met = similar._met(nodes)
+    most = lambda df: max([r["count"] for r in df.filter("token is not null").groupBy("token").count().collect()], default=0)
+    assert most(met) > 100
+    after, met = similar._uncrowded(nodes, met, texts, {}, 1)
+    assert most(met) <= 20 and after.count() == 120
+    assert similar.near_copies(docs).filter("doc_id <> component_id").count() == 0
+
+
+def test_stars_over_batches():
+    """Groups that span batches give the links and members that one batch gives."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((t, n, 10) for t in range(40) for n in rng.sample(range(1000), rng.choice((1, 2, 3, 9))))
+
+    def run(cuts):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a:b], strict=True)], ["token", "node", "n"]) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True) if b > a]
+        return {(t, a, b) for out in similar._stars(iter(batches)) for t, a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+
+    whole = run([])
+    assert len(whole) > 100
+    for step in (1, 2, 3, 7):
+        assert run(range(step, len(rows), step)) == whole
+
+
+def test_close_pairs_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    base = [rng.randrange(2**62) for _ in range(300)]
+    sets = [np.unique(np.array(rng.sample(base, rng.randrange(200, 300)), np.uint64)) for _ in range(40)] + [np.unique(np.array([rng.randrange(2**62) for _ in range(700)], np.uint64)) for _ in range(4)]
+    sets += [np.unique(np.r_[sets[-1][:650], sets[0][:30]]), np.unique(np.r_[base[:256]].astype(np.uint64)), np.unique(np.array([*base, *(x + 1 for x in base[:250])], np.uint64))]
+    bits = np.empty(len(sets), object)
+    bits[:] = [similar.parity(s) for s in sets]
+    n, root = np.array([len(s) for s in sets]), np.array([0] * 30 + [rng.randrange(4) for _ in range(len(sets) - 30)])
+    for side in (np.full(len(sets), -1), np.array([i % 2 for i in range(len(sets))])):
+        got = {(min(i, j), max(i, j)) for i, js in similar.close_pairs(root, n, bits, side) for j in js.tolist()}
+        want = set()
+        for i in range(len(sets)):
+            for j in range(i):
+                x, y = (bits[i], bits[j]) if len(bits[i]) <= len(bits[j]) else (bits[j], bits[i])
+                if len(y) > 2 * len(x) or root[i] == root[j] or (side[i] == side[j] and side[i] >= 0) or 5 * min(n[i], n[j]) < 4 * max(n[i], n[j]):
+                    continue
+                y = y[: len(x)] ^ y[len(x) :] if len(y) > len(x) else y
+                if 9 * np.bitwise_count((x ^ y).view(np.uint64)).sum() <= n[i] + n[j]:
+                    want.add((j, i))
+        assert got == want and want
