@@ -9,6 +9,8 @@ block can score, as a score grows with the frequency and falls with the length.
 A query reads the bounds of its terms, scores the documents of the FIRST blocks of highest bound, takes the k-th
 score as its threshold, and then reads the postings of those blocks alone whose bound reaches it. The result is exact.
 
+Texts are cut into tokens once, where they are read; what is shuffled are counts of terms by document.
+
 Adding is repeatable: documents whose key the index has are passed over, so a batch that is added again changes
 nothing, and one that broke off is not seen, for a segment counts once its totals are written, which come last. Keys
 are unique; a batch that repeats one is an error. A null text is an empty document; a row without a key is passed over.
@@ -16,14 +18,17 @@ are unique; a batch that repeats one is an error. A null text is an empty docume
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalum.functions import text
-from annalum.operators.search import B, K1, postings
+from annalum.operators.search import B, K1
 from annalum.sources import shared
 from annalum.sources.sinks import children, finished
 
@@ -42,6 +47,35 @@ class Reading:
     postings_kept: int
 
 
+_RUNS = re.compile("[a-z]+"), re.compile("[\uac00-\ud7af]+"), re.compile("[\u3040-\u30ff\u4e00-\u9fff]+")
+
+
+def tokens(low: str) -> list[str]:
+    """Of a text in lower case what functions.text.tokens gives: runs of a-z; of Hangul and of Kana and Han, each run's pairs
+    and the run."""
+    out = _RUNS[0].findall(low)
+    for runs in _RUNS[1:]:
+        for run in runs.findall(low):
+            out += [run[i : i + 2] for i in range(len(run) - 1)]
+            out.append(run)
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, block, low) -> (key, block, term, tf, doc_length): a row per term of a document, and one with a null term."""
+    for batch in batches:
+        rows, terms, tf, lengths = [], [], [], []
+        for i, low in enumerate(batch.column(2).to_pylist()):
+            found = tokens(low)
+            counts = Counter(found)
+            rows += [i] * (len(counts) + 1)
+            terms += [None, *counts]
+            tf += [0, *counts.values()]
+            lengths += [len(found)] * (len(counts) + 1)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(lengths, pa.int64())], ["key", "block", "term", "tf", "doc_length"])
+
+
 def _gain(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-12)))
 
@@ -75,16 +109,15 @@ class Bm25Index:
         n = own.count()
         if not n:
             return 0
-        blocks = -(-n // block)
+        dealt = own.select("key", F.pmod(F.xxhash64("key"), F.lit(-(-n // block))).cast("int").alias("block"), F.lower("body").alias("low"))
+        kind = own.schema["key"].dataType.simpleString()
+        each = shared.kept(dealt.mapInArrow(_counted, f"key {kind}, block int, term string, tf long, doc_length long"), "term-counts")
         at = f"{self.path}/{len(children(self.spark, self.path)):06d}-{shared.unique()[:8]}"
-        each = postings(own, "key", F.col("body"))
-        each = each.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        rows = each.groupBy("term", "block").agg(
+        rows = each.filter("term is not null").groupBy("term", "block").agg(
             F.max("tf").alias("max_tf"), F.min("doc_length").alias("min_length"), F.count("*").alias("n"),
             F.array_sort(F.collect_list(F.struct("key", "tf", "doc_length"))).alias("docs"))  # of one block: about `block`
         rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at}/postings")
-        lengths = own.select("key", F.size(text.tokens(F.col("body"))).alias("doc_length"))
-        lengths.write.parquet(f"{at}/keys")
+        each.filter("term is null").select("key", "doc_length").write.parquet(f"{at}/keys")
         self.spark.read.parquet(f"{at}/keys").agg(F.count("*").alias("docs"), F.sum("doc_length").cast("long").alias("tokens")).coalesce(1).write.parquet(f"{at}/totals")
         return n
 

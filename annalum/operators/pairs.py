@@ -3,7 +3,8 @@
 Pairs of a key are quadratic in its rows, and one join task would make them all. So a key of over `block` rows is cut
 into blocks by a hash, and its pairs are dealt as cells: (i, j) for two blocks, a triangle of them within one set, a
 rectangle between two. A row of a cut key goes to every cell of its block, a cell holds `block` rows of each side at
-most or about so, and cells are spread like keys. Keys below the size are one cell, and their rows are not copied.
+most or about so, and cells are spread like keys. Keys below the size are one cell, and their rows are not copied. Where
+no key is cut, the cells are the keys, and the join is by them alone.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ def within(rows: DataFrame, keys: list[str], order: str, values: list[str] | Non
     values = [order, *(values or [])]
     rows = rows.select(*keys, *values)
     cut = _cut(rows, keys, block)
-    few = cut.count() <= BROADCAST_KEYS
+    n = cut.count()
+    if not n:
+        both = rows.select(*keys, *_named(rows, values, "a")).join(rows.select(*keys, *_named(rows, values, "b")), keys)
+        return both.filter(F.col(f"a_{order}") < F.col(f"b_{order}"))
+    few = n <= BROADCAST_KEYS
     placed = _with_blocks(rows, cut, keys, few, "_n").withColumn("_own", _own([order], "_n"))
     # Cells are (i, j) with i <= j: a row is the first of a pair in those that begin with its block, the second in those that end so.
     left = placed.select(*keys, *_named(rows, values, "a"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"))
@@ -52,7 +57,10 @@ def between(left: DataFrame, right: DataFrame, keys: list[str], left_values: lis
     """keys and the columns of every row of left with every row of right of the same key; value names are unlike."""
     left, right = left.select(*keys, *left_values), right.select(*keys, *right_values)
     cuts = [_cut(left, keys, block), _cut(right, keys, block)]
-    few = [c.count() <= BROADCAST_KEYS for c in cuts]
+    counts = [c.count() for c in cuts]
+    if not any(counts):
+        return left.join(right, keys)
+    few = [n <= BROADCAST_KEYS for n in counts]
 
     def placed(rows: DataFrame, values: list[str], mine: int) -> DataFrame:
         both = _with_blocks(rows, cuts[mine], keys, few[mine], "_mine")

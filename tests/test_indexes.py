@@ -87,6 +87,15 @@ def test_the_index_of_a_table_is_made_once(spark, data, monkeypatch):
     assert bm25_index.index_of(docs, "doc_id", "text", "twice") == first
 
 
+def test_tokens_are_those_of_the_columns(spark):
+    from annalum.functions import text
+
+    texts = ["The War, of 1812!", "", "\uac00\ub098\ub2e4 abc \uac00", "\u3042\u3044 \u4e2d x\u4e2d\u6587y", "A\u00e9b \u0130I", "no-one's"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(F.lower("t").alias("low"), text.tokens(F.col("t")).alias("want")).collect():
+        assert bm25_index.tokens(r.low) == r.want
+
+
 # ---- vectors
 
 def clustered(rng, n, size=16, groups=12):
