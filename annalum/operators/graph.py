@@ -36,8 +36,8 @@ def causal_edges(mentions: DataFrame, events: DataFrame) -> DataFrame:
 def person_chain_edges(person_mentions: DataFrame, event_mentions: DataFrame, events: DataFrame) -> DataFrame:
     """Consecutive events of a person's sources, by date; an edge that several people give stays with the one who has
     most events (the smallest id of equals)."""
-    people = person_mentions.select("source_id", F.col("entity_id").alias("person_id")).distinct()
-    happened = event_mentions.select("source_id", F.col("entity_id").alias("id")).distinct()
+    people = kept(person_mentions.select("source_id", F.col("entity_id").alias("person_id")).distinct(), "mentioned")
+    happened = kept(event_mentions.select("source_id", F.col("entity_id").alias("id")).distinct(), "mentioned")
     own = between(people, happened, ["source_id"], ["person_id"], ["id"]).select("person_id", "id").distinct()
     counted = own.groupBy("person_id").agg(F.count("*").alias("events"))
     dated = own.join(events.select("id", "date_start"), "id")

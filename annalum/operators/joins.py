@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annalum.functions import geo
 from annalum.operators import pairs
 from annalum.operators.windows import top_n
+from annalum.sources.shared import kept
 
 
 def polymorphic(mentions: DataFrame, **entities: DataFrame) -> DataFrame:
@@ -21,13 +22,13 @@ def polymorphic(mentions: DataFrame, **entities: DataFrame) -> DataFrame:
 
 def co_mentions(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, sources: how many distinct sources mention both. Pairs of one source stay within its mentions."""
-    left, right = a.select("source_id", F.col("entity_id").alias("a_id")).distinct(), b.select("source_id", F.col("entity_id").alias("b_id")).distinct()
+    left, right = (kept(df.select("source_id", F.col("entity_id").alias(name)).distinct(), "mentioned") for df, name in ((a, "a_id"), (b, "b_id")))
     return pairs.between(left, right, ["source_id"], ["a_id"], ["b_id"]).groupBy("a_id", "b_id").agg(F.count("*").alias("sources"))
 
 
 def co_mention_pairs(mentions: DataFrame, least: int = 1) -> DataFrame:
     """Unordered pairs (a_id < b_id) of entities and their number of shared sources; busy sources are split."""
-    own = mentions.select("source_id", F.col("entity_id").alias("id")).distinct()
+    own = kept(mentions.select("source_id", F.col("entity_id").alias("id")).distinct(), "mentioned")
     return pairs.within(own, ["source_id"], "id").groupBy("a_id", "b_id").agg(F.count("*").alias("sources")).filter(F.col("sources") >= least)
 
 
