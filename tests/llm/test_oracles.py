@@ -22,7 +22,10 @@ def test_matches_sql_on_awkward_rows(spark, awkward, tmp_path, name):
     awkward.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     pages = [(1, "HTTP://WWW.Example.COM/en/x?q#f"), (2, None), (3, "no scheme"), (4, "a://example.com"), (5, "a://b.net/es/#/"), (5, "a://b.net/es/#/"), (None, "a://net/fr/"), (6, "x://com/?"), (7, "x://acom/"), (8, "x://www.example.com.evil.net/es/"), (9, "x://\n/y")]
     spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
-    for t in ("documents", "pages"):
+    one = [float(i) / 7 for i in range(64)]
+    vectors = [(1, one), (1, one), (2, None), (3, []), (4, one[:63]), (5, [None, *one[1:]]), (6, [float("nan"), *one[1:]]), (7, [float("inf"), *one[1:]]), (None, [-x for x in one]), *((i, [x * i for x in one]) for i in range(8, 20))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     names, expected = rows_of_sql(con, ORACLE_SQL[name])
     got = rows_of(QUERIES[name](spark, str(tmp_path)))
