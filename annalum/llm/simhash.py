@@ -12,8 +12,9 @@ than it has members, never all its pairs, and no link between components is lost
 not compared in a task: its members go through the plain ball of half radius 2, where any two in a group are linked and
 a group has at most 2,081 members by geometry, so that a star per group is exact.
 
-Components of links come from rounds of large-star and small-star, each written to the shared folder; a few numbers per
-round reach the driver. Before a round every task replaces its own edges, FLUSH at a time, by stars of what they connect. Documents look up their fingerprint's component; fingerprints that many documents share are
+Components of links come from rounds of large-star and small-star, each written to the shared folder; two numbers per
+round reach the driver. Before a round every task replaces its own edges, FLUSH at a time, by stars of what they connect;
+where these are stars over the whole table, no round is left to do. Documents look up their fingerprint's component; fingerprints that many documents share are
 few and broadcast in that join.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; null ids never are a component's
@@ -206,8 +207,12 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) pairs -> node, root (the smallest node that is connected) of every node but roots."""
 
-    def summed(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def counted(edges: DataFrame) -> tuple:
+        """Edges, and nodes that are neither a root nor a leaf of one edge. Every b is smaller than its a, so without
+        such nodes each component is a star around its smallest node."""
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+        nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        return tuple(nodes.agg(F.sum("up"), F.count(F.when(F.col("up") * F.col("n") > 1, 1))).first())
 
     def folded(edges: DataFrame) -> DataFrame:
         return written(edges.mapInArrow(frugal(_contracted), "a long, b long").distinct(), "components")
@@ -218,18 +223,15 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         return join_hot(edges, least.select("u", F.least("u", "m").alias("m"), "n"), ["u"], "n", max(1, total))
 
     now = folded(pairs.select("a", "b"))
-    state = summed(now)
     for _ in range(rounds):
-        if not state[0]:
+        total, unsettled = counted(now)
+        if not unsettled:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        large = written(star(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
-        lower = star(large, large.count()).filter("u > v")
+        large = written(star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        lower = star(large, total).filter("u > v")  # large has at most as many rows as now
         joined = lower.select(F.col("u").alias("a"), F.col("m").alias("b")).union(lower.filter("v <> m").select("v", "m")).distinct()
-        now, before = folded(joined), state
-        state = summed(now)
-        if state == before:
-            break
+        now = folded(joined)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

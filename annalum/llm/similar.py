@@ -230,6 +230,7 @@ def cells(many: DataFrame, cell: int = CELL) -> DataFrame:
     blocks = lambda n: F.ceil(n / cell).cast("int")
     sizes = written(sizes.select("token", "k", F.col("major.root").alias("major"), blocks(F.col("major.n")).alias("rows"), blocks(F.col("k") - F.col("major.n")).alias("others")), "similar-several")
     met = join_hot(many, sizes, ["token"], "k", max(1, sizes.agg(F.sum("k")).first()[0] or 0)).filter("major is not null")
+    met = written(met.select("token", "node", "root", "major", "rows", "others"), "similar-several-met")
     block = lambda n: F.pmod(F.xxhash64("node", "token"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     in_major = met.filter("root = major").withColumn("i", block(F.col("rows"))).withColumn("j", each("others"))
@@ -338,15 +339,18 @@ def _placed(docs: DataFrame) -> DataFrame:
     nodes = written(rows.drop("doc_id").dropDuplicates(["node"]), "similar-nodes")
     nodes, met = _uncrowded(nodes, _met(nodes), texts, frequent, every)
 
-    first = _verified(met.filter("token is null").select("a", "b").union(simhash_pairs(nodes)).distinct(), nodes, texts)
+    # Pairs and roots are written before more is joined: the driver plans a query again after each of its stages, so a few
+    # plans of some joins take less of its memory than one of all.
+    pairs = written(met.filter("token is null").select("a", "b").union(simhash_pairs(nodes)).distinct(), "similar-pairs")
+    first = _verified(pairs, nodes, texts)
     roots = components(first)
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rooted = written(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "similar-rooted")
     many = met.filter("token is not null").select("token", F.col("a").alias("node")).join(rooted, "node")
     apart = cells(many).join(nodes.select("node", "n", "bits"), "node")
     apart = apart.select("cell", "node", "root", "n", "side", "bits").repartition("cell").sortWithinPartitions("cell")
     second = _verified(written(apart.mapInArrow(frugal(_apart), "a long, b long").distinct(), "similar-apart"), nodes, texts)
 
-    roots = components(first.union(second))
+    roots = components(roots.toDF("a", "b").union(second))  # the roots connect what the first links do
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     own = written(own.join(roots, "node", "left").select("node", "n", "least_id", F.coalesce("root", "node").alias("root")), "similar-own")
     best = own.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("k"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from annalum.llm import similar
+from annalum.llm import simhash, similar
 
 
 def slow_groups(texts: dict) -> dict:
@@ -155,3 +155,45 @@ def test_close_pairs_by_brute_force():
                 if 9 * np.bitwise_count((x ^ y).view(np.uint64)).sum() <= n[i] + n[j]:
                     want.add((j, i))
         assert got == want and want
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    """Links that tasks have folded into stars are the result; only others are joined, to the same components."""
+    rng, joins, join_hot = random.Random(4), [], simhash.join_hot
+    monkeypatch.setattr(simhash, "join_hot", lambda *a: joins.append(1) or join_hot(*a))
+    roots = lambda pairs: {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    star = [(0, i) for i in range(1, 200)] + [(1000 + i, 1000) for i in range(1, 50)]
+    assert roots(star) == {max(p): min(p) for p in star} and roots([]) == {} and not joins
+    ids = rng.sample(range(-(10**6), 10**6), 600)
+    pairs = [(ids[i], ids[i - 1]) for i in range(1, 300)] + [tuple(rng.sample(ids[300:], 2)) for _ in range(150)]
+    want = slow_links(ids, pairs)
+    assert roots(pairs) == {i: r for i, r in want.items() if i != r} and joins
+
+
+def slow_links(ids: list, pairs: list) -> dict:
+    """id -> smallest id that pairs connect."""
+    root = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    return root
+
+
+def test_plans_of_near_copies_are_short(spark, monkeypatch):
+    """What is written in one query is planned again after each of its stages, on the driver: no plan of dozens of joins."""
+    rng, plans, written = random.Random(11), {}, similar.written
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return written(df, tag)
+
+    for module in (similar, simhash):
+        monkeypatch.setattr(module, "written", noted)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(edited(words, rng.randrange(9), rng))) for i in range(40)], "doc_id long, text string").repartition(3)
+    similar.near_copies(docs).collect()
+    assert {"similar-left", "similar-apart"} <= set(plans) and max(plans.values()) <= 6, plans
