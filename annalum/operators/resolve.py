@@ -182,6 +182,31 @@ def longest_per_key(rows: DataFrame, key: str, body: str) -> DataFrame:
     return rows.filter(F.col(body).isNotNull()).groupBy(key).agg(F.min_by(body, F.struct(-F.length(body), F.col(body))).alias(body))
 
 
+def _registered(entities: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """id, k, first_id, alias_id: an entity's key, the first owner of its name, the first that has it as an alias."""
+    key = lambda c: F.lower(F.trim(c))
+    out = entities.select("id", key("name").alias("k"))
+    out = out.join(out.filter("k is not null").groupBy("k").agg(F.min("id").alias("first_id")), "k", "left")
+    if aliases is None:
+        return out.withColumn("alias_id", F.lit(None).cast("long"))
+    return out.join(aliases.select(key("alias").alias("k"), "entity_id").groupBy("k").agg(F.min("entity_id").alias("alias_id")), "k", "left")
+
+
+def _linked() -> tuple[Column, Column]:
+    """(by name, by alias) of rows of _registered()."""
+    again = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
+    return again, ~again & F.coalesce(F.col("alias_id") < F.col("id"), F.lit(False))
+
+
+def registry_links(entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """id, match_id, score, reason of what registry_decisions() links by an equal name (exact) or alias: two groupings, as
+    candidates do not change these links, and no two names are compared."""
+    again, known_as = _linked()
+    found = _registered(entities, aliases).withColumn("reason", F.when(again, "exact").when(known_as, "alias")).filter("reason is not null")
+    first = F.col("reason") == "exact"
+    return found.select("id", F.when(first, F.col("first_id")).otherwise(F.col("alias_id")).alias("match_id"), F.when(first, 0.95).otherwise(0.9).alias("score"), "reason")
+
+
 def registry_decisions(entities: DataFrame, least: float = 0.5, aliases: DataFrame | None = None) -> DataFrame:
     """id, match_id, score, decision, reason of every entity against those of smaller ids: the order of arrival is that of ids.
 
@@ -205,15 +230,8 @@ def registry_decisions(entities: DataFrame, least: float = 0.5, aliases: DataFra
     two = top_n(met.select("a_id", "b_first_id", "s"), ["a_id"], [F.desc("s"), F.asc("b_first_id")], 2)
     nth = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
     judged = two.groupBy(F.col("a_id").alias("k")).agg(nth(1, "s").alias("best"), nth(2, "s").alias("second"), nth(1, "b_first_id").alias("near_id"))
-    known = names.select(F.col("id").alias("k"), "first_id").join(judged, "k", "left")
-    out = entities.select("id", key.alias("k")).join(known, "k", "left")
-    again = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
-    if aliases is None:
-        out = out.withColumn("alias_id", F.lit(None).cast("long"))
-    else:
-        owners = aliases.select(F.lower(F.trim("alias")).alias("k"), "entity_id").groupBy("k").agg(F.min("entity_id").alias("alias_id"))
-        out = out.join(owners, "k", "left")
-    known_as = ~again & F.coalesce(F.col("alias_id") < F.col("id"), F.lit(False))
+    out = _registered(entities, aliases).join(judged, "k", "left")
+    again, known_as = _linked()
     decision = F.when(again | known_as, "LINK").otherwise(decide(F.col("best"), F.col("second"), F.lit(False)))
     match = F.when(again, F.col("first_id")).when(known_as, F.col("alias_id")).when(decision == "LINK", F.col("near_id"))
     score = F.when(again, 0.95).when(known_as, 0.9).otherwise(F.coalesce("best", F.lit(0.0)))

@@ -130,8 +130,7 @@ def registry_alias_decisions(t: Tables) -> DataFrame:
     own = F.concat_ws(" ", "category", "brand")
     names = t.event.select(*_long("id"), F.when(F.col("id") % 3 == 0, own).otherwise(F.concat_ws(" ", "title", "id")).alias("name"))
     aliases = t.event.filter("id % 3 = 1").select(F.col("id").cast("long").alias("entity_id"), own.alias("alias"))
-    found = resolve.registry_decisions(names, aliases=aliases)
-    return found.filter("reason in ('exact', 'alias')").select("id", "match_id", "score")
+    return resolve.registry_links(names, aliases).select("id", "match_id", "score")
 
 
 @query("""WITH n AS (SELECT id, trim(CASE id % 4 WHEN 0 THEN title WHEN 1 THEN title || ' ' || id % 9 ELSE category || ' ' || id % 60 END) AS form, CASE WHEN id % 3 = 0 THEN brand || id % 7 END AS key FROM event),

@@ -37,3 +37,20 @@ def test_decades_around_zero(against_sql):
     """-9 to 9 are one decade in the SQL; places of one nation are the same place."""
     keys = [k for k in range(200_000) if -31 < k * 7919 % 5001 - 3000 < 31 and k % 25 in (3, 7)]
     assert against_sql("box_and_title_match", part=([(k, ("red ring", "red rod")[k % 2], "b", "t", 1) for k in keys], PART))
+
+
+def test_registry_links_compare_no_names(spark, monkeypatch):
+    """Links by name and alias are those of the decisions over all candidates, and are found without candidates."""
+    from annalum.operators import resolve
+    from annalum.plans import whole
+    from annalum.schema import Tables
+
+    rng = random.Random(3)
+    names = [(i, rng.choice([None, " ", "Ring of x", "ring of X ", "Rod II", "Rod", f"rod {i % 9}"])) for i in range(80)]
+    entities = spark.createDataFrame(names, "id long, name string")
+    aliases = spark.createDataFrame([(5, "rod 3"), (2, " ROD 3"), (70, "rod"), (4, None)], "entity_id long, alias string")
+    for known in (aliases, None):
+        every = resolve.registry_decisions(entities, aliases=known).filter("reason in ('exact', 'alias')").select("id", "match_id", "score", "reason")
+        assert rows_of(resolve.registry_links(entities, known)) == rows_of(every) and every.count() > 50
+    monkeypatch.setattr(resolve, "blocked_pairs", None)
+    assert whole.registry_alias_decisions(Tables(spark, "/root/testdata/sf0.001")).count() > 0
