@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalum.functions import geo, scores, text, years
-from annalum.operators import pairs
+from annalum.functions import geo, text, years
+from annalum.operators import vector_pairs
 from annalum.operators.filters import contains, not_noise
 from annalum.operators.mentions import name_counts
 from annalum.sources.shared import kept
@@ -107,6 +107,5 @@ def autocomplete(prefix: str, n: int, **tables: DataFrame) -> DataFrame:
 
 
 def similarity_pairs(vectors: DataFrame, key: str, block: str, vector: str, least: float) -> DataFrame:
-    """Pairs of one block, a_id < b_id, of at least `least` cosine; large blocks are split."""
-    own = vectors.select(block, F.col(key).alias("id"), F.col(vector).alias("v"))
-    return pairs.within(own, [block], "id", ["v"]).select(block, "a_id", "b_id", scores.cosine(F.col("a_v"), F.col("b_v")).alias("similarity")).filter(F.col("similarity") >= least)
+    """Pairs of one block, a_id < b_id, of at least `least` cosine; large blocks are compared in cells."""
+    return vector_pairs.within(vectors, key, block, vector, least)

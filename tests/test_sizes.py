@@ -3,11 +3,16 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__  # noqa: F401
-
+from annalum.operators import resolve, vector_index, vector_pairs
+from annalum.plans import complete, knowledge, whole
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
+from annalum.schema import Tables
+from annalum.sources import shared
 from tests.conftest import rows_of, rows_of_sql
 
 
@@ -41,10 +46,6 @@ def test_decades_around_zero(against_sql):
 
 def test_registry_links_compare_no_names(spark, monkeypatch):
     """Links by name and alias are those of the decisions over all candidates, and are found without candidates."""
-    from annalum.operators import resolve
-    from annalum.plans import whole
-    from annalum.schema import Tables
-
     rng = random.Random(3)
     names = [(i, rng.choice([None, " ", "Ring of x", "ring of X ", "Rod II", "Rod", f"rod {i % 9}"])) for i in range(80)]
     entities = spark.createDataFrame(names, "id long, name string")
@@ -54,3 +55,79 @@ def test_registry_links_compare_no_names(spark, monkeypatch):
         assert rows_of(resolve.registry_links(entities, known)) == rows_of(every) and every.count() > 50
     monkeypatch.setattr(resolve, "blocked_pairs", None)
     assert whole.registry_alias_decisions(Tables(spark, "/root/testdata/sf0.001")).count() > 0
+
+
+# ---- cosines of pairs
+
+def crowded(n, seed, groups=3):
+    """Vectors of groups, with copies, opposite ones, and some without a cosine."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), rng.normal(size=6).round(2).tolist(), int(rng.integers(groups))) for i in rng.permutation(n)]
+    rows += [(n + i, [3 * x for x in rows[i][1]], rows[i][2]) for i in range(n // 5)]
+    return [*rows, (9001, None, 1), (9002, [], 1), (9003, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (9004, [1.0] * 5, 1), (9005, [1.0] * 5, 1), (9006, [1.0] * 6, None)]
+
+
+def cosine(a, b):
+    return float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+
+
+def plain(rows):
+    return [r for r in rows if r[1] and None not in r[1] and r[2] is not None]
+
+
+@pytest.mark.parametrize("block", [25, 10_000])
+def test_pairs_of_vectors_in_cells(spark, block):
+    rows = crowded(120, 1)
+    got = vector_pairs.within(spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(3), "id", "label", "v", 0.5, block).collect()
+    want = {(x[2], x[0], y[0], round(s, 9)) for x in plain(rows) for y in plain(rows) if x[2] == y[2] and x[0] < y[0] and len(x[1]) == len(y[1]) and (s := cosine(x[1], y[1])) >= 0.5}
+    assert {(r.label, r.a_id, r.b_id, round(r.similarity, 9)) for r in got} == want and len(got) == len(want) > 300
+
+
+@pytest.mark.parametrize("block", [25, 10_000])
+def test_nearest_vectors_in_cells(spark, block):
+    rows = crowded(120, 2)
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(3)
+    for some in (rows, [r for r in rows if r[0] % 2 == 0]):
+        others = df if some is rows else df.filter("id % 2 = 0")
+        got = vector_pairs.nearest(df, others, "id", "v", 4, 0.2, "label", block=block).collect()
+        want = set()
+        for x in plain(rows):
+            near = sorted((-round(s, 9), y[0]) for y in plain(some) if x[2] == y[2] and x[0] != y[0] and len(x[1]) == len(y[1]) and (s := cosine(x[1], y[1])) >= 0.2)
+            want |= {(x[0], j, n + 1) for n, (_, j) in enumerate(near[:4])}
+        assert {(r.id, r.candidate_id, r["rank"]) for r in got} == want and len(got) == len(want) > 200
+
+
+def test_pairs_of_vectors_are_products(spark, data):
+    """Pairs of a crowded label are no rows of a plan: a vector leaves once a cell, and no interpreted sum is left."""
+    t = Tables(spark, data)
+    for df in (knowledge.near_duplicate_vectors(t), complete.vector_candidates(t), complete.five_stage_match(t), knowledge.vector_neighbours(t), whole.retrieved_contexts(t)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_sure_by_the_raw_similarity(spark):
+    near = spark.createDataFrame([(1, 2, 0.3, 0.2999999, True)], "id long, match_id long, similarity double, raw double, verified boolean")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = resolve.five_stage_match(spark.createDataFrame([(1, "x", None)], "id long, name string, key long"), none("id long, name string"), none("entity_id long, alias string"), none("entity_id long, key long"), near, 0.3, 0.2)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, "verified", 0.3)]
+
+
+def test_exact_candidates_by_blocks(spark):
+    """Many queries against many lists: whatever the blocks are, and with pieces of one query, the answers are those of all pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) + 3 * np.eye(8)[i % 8]).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vector_index.VectorIndex.build(df, "id", "v", 8, shared.new_path(spark, "vectors"), list_rows=16)
+    want = {(r.id, r.candidate_id, r["rank"]) for r in vector_pairs.nearest(df, df, "id", "v", 3, 0.6).collect()}
+    for block in (30, 100_000):
+        assert {(r.id, r.candidate_id, r["rank"]) for r in index._exact(df, "id", "v", 3, 0.6, block).collect()} == want and len(want) > 1000
+
+
+def test_probing_holds_few_distances():
+    """Batches of queries against many lists are cut: before, one batch went out whole, a vector for each list of each query."""
+    centroids = np.random.default_rng(1).normal(size=(2000, 64))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    q = pa.FixedSizeListArray.from_arrays(pa.array(centroids[:300].ravel()), 64).cast(pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), q], ["id", "q"])
+    sent = [b.num_rows for b in vector_index._probes(iter([batch]), centroids, np.full(2000, 2.0), None, -1.0)]
+    assert sum(sent) == 300 * 2000 and max(sent) * 64 <= 2 * vector_index.AT_ONCE
