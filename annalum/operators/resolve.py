@@ -244,14 +244,16 @@ def five_stage_match(queries: DataFrame, names: DataFrame, aliases: DataFrame, k
     a verified vector from `doubtful` on (both by their similarity), else none (0). Of several the smallest id.
 
     queries: id, name, key; names: id, name; aliases: entity_id, alias; keys: entity_id, key; near: id, match_id,
-    similarity, verified, as many candidates of a query as there are. Nulls match nothing.
+    similarity, verified, as many candidates of a query as can be its match; with a column `raw`, that decides whether a
+    similarity is enough, and not the rounded one. Nulls match nothing.
     """
     first = lambda df, k, c, out: df.groupBy(k.alias(f"_{out}")).agg(F.min(c).alias(out))
     found = queries.join(first(names, F.lower("name"), "id", "by_name"), F.lower("name") == F.col("_by_name"), "left")
     found = found.join(first(aliases, F.lower("alias"), "entity_id", "by_alias"), F.lower("name") == F.col("_by_alias"), "left")
     found = found.join(first(keys, F.col("key"), "entity_id", "by_key"), F.col("key") == F.col("_by_key"), "left")
     nearest = lambda ok, out: F.max(F.when(ok, F.struct("similarity", (-F.col("match_id")).alias("minus")))).alias(out)
-    best = near.groupBy("id").agg(nearest(F.col("similarity") >= sure, "surest"), nearest((F.col("similarity") >= doubtful) & F.col("verified"), "checked"))
+    raw = F.col("raw" if "raw" in near.columns else "similarity")
+    best = near.groupBy("id").agg(nearest(raw >= sure, "surest"), nearest((raw >= doubtful) & F.col("verified"), "checked"))
     found = found.join(best, "id", "left")
     stages = [
         ("exact", F.col("by_name"), F.lit(1.0)), ("alias", F.col("by_alias"), F.lit(0.95)), ("key", F.col("by_key"), F.lit(0.98)),
