@@ -5,6 +5,8 @@ into blocks by a hash, and its pairs are dealt as cells: (i, j) for two blocks,
 rectangle between two. A row of a cut key goes to every cell of its block, a cell holds `block` rows of each side at
 most or about so, and cells are spread like keys. Keys below the size are one cell, and their rows are not copied. Where
 no key is cut, the cells are the keys, and the join is by them alone.
+
+Rows in their cells are many times the rows that a plan's estimate knows of, so cells are joined by sorting and never broadcast.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def within(rows: DataFrame, keys: list[str], order: str, values: list[str] | Non
     left = placed.select(*keys, *_named(rows, values, "a"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"))
     right = placed.select(*keys, *_named(rows, values, "b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
     a, b = F.col(f"a_{order}"), F.col(f"b_{order}")
-    met = left.join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) & (a != b) | (a < b))
+    met = left.hint("merge").join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) & (a != b) | (a < b))
     turned = lambda v, side: F.when(a < b, F.col(f"a_{v}" if side == "a" else f"b_{v}")).otherwise(F.col(f"b_{v}" if side == "a" else f"a_{v}")).alias(f"{side}_{v}")
     return met.select(*keys, *[turned(v, "a") for v in values], *[turned(v, "b") for v in values])
 
@@ -69,4 +71,4 @@ def between(left: DataFrame, right: DataFrame, keys: list[str], left_values: lis
         i, j = (own.alias("_i"), all_others.alias("_j")) if mine == 0 else (all_others.alias("_i"), own.alias("_j"))
         return both.select(*keys, *values, i, j)
 
-    return placed(left, left_values, 0).join(placed(right, right_values, 1), [*keys, "_i", "_j"]).drop("_i", "_j")
+    return placed(left, left_values, 0).hint("merge").join(placed(right, right_values, 1), [*keys, "_i", "_j"]).drop("_i", "_j")

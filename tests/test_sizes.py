@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__  # noqa: F401
-from annalum.operators import resolve, vector_index, vector_pairs
+from annalum.operators import graph, joins, pairs, resolve, vector_index, vector_pairs
 from annalum.plans import complete, knowledge, whole
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
 from annalum.schema import Tables
@@ -131,3 +131,82 @@ def test_probing_holds_few_distances():
     batch = pa.RecordBatch.from_arrays([pa.array(range(300)), q], ["id", "q"])
     sent = [b.num_rows for b in vector_index._probes(iter([batch]), centroids, np.full(2000, 2.0), None, -1.0)]
     assert sum(sent) == 300 * 2000 and max(sent) * 64 <= 2 * vector_index.AT_ONCE
+
+
+# ---- years, lives, places, groups
+
+def test_nearest_years_meet_no_rows(spark):
+    """Of equal keys and years a row stands for all: ties by id on both sides, years before 0, nulls."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(-260, 260, 37), -101, 0, 1, 101])) for i in rng.sample(range(1000), 150)]
+    got = joins.nearest_years(spark.createDataFrame(rows, "id long, kind string, date_start int"), ["kind"], 3, 100).collect()
+    want = set()
+    for i, kind, year in rows:
+        if kind is not None and year is not None:
+            near = sorted((abs(y - year), j) for j, k, y in rows if k == kind and y is not None and abs(y - year) > 100)[:3]
+            want |= {(i, j, n + 1) for n, (_, j) in enumerate(near)}
+    assert {(r.id, r.other_id, r["rank"]) for r in got} == want and len(got) == len(want) > 200
+
+
+def test_lives_meet_no_events(spark):
+    rng = random.Random(6)
+    people = [(i, rng.choice([None, *range(-60, 60, 7)]), rng.choice([None, *range(-70, 90, 9)])) for i in range(90)]
+    events = [(i, rng.choice([None, *range(-80, 90, 3)]), rng.choice([1, 4, 5, None])) for i in rng.sample(range(1000), 200)]
+    df = joins.in_lifetime(spark.createDataFrame(people, "id long, birth_year int, death_year int"), spark.createDataFrame(events, "id long, date_start int, importance int"), 4, 30)
+    want = set()
+    for i, birth, death in people:
+        if birth is not None:
+            end = birth + 30 if death is None else death
+            own = sorted((m is None, -(m or 0), y, j) for j, y, m in events if y is not None and birth <= y <= end)[:4]
+            want |= {(i, j, y, None if none else -m, n + 1) for n, (none, m, y, j) in enumerate(own)}
+    assert {tuple(r) for r in df.select("person_id", "event_id", "date_start", "importance", "rank").collect()} == want and len(want) > 100
+
+
+def test_points_in_cells_are_not_broadcast(spark):
+    """What stands in all its cells is many times larger than a plan thinks."""
+    points = spark.range(3000).selectExpr("id", "cast(id % 170 - 85 as double) as latitude", "cast(id % 351 - 175 as double) as longitude")
+    places = spark.range(20).selectExpr("id", "cast(id * 7 % 171 - 85 as double) as latitude", "cast(id * 17 % 351 - 175 as double) as longitude")
+    plan = joins.nearest(points, places, 1500.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    crowd = spark.range(3000).selectExpr("1 as k", "id")
+    for df in (pairs.within(crowd, ["k"], "id"), pairs.between(crowd, crowd.withColumnRenamed("id", "other"), ["k"], ["id"], ["other"])):
+        assert "strategy=merge" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_groups_once(spark):
+    rows = [(i, g) for i in range(40) for g in {i % 3, i % 4 if i % 5 == 0 else i % 3}] + [(3, 0), (None, 1), (7, None)]
+    got = joins.same_group(spark.createDataFrame(rows, "id long, g int"), "g").collect()
+    own = [(i, g) for i, g in rows if i is not None and g is not None]
+    want = {(a, b) for a, g in own for b, h in own if g == h and a != b}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("km", [50.0, 700.0])
+def test_greedy_places_in_batches(spark, km):
+    from tests.test_changes import slow_greedy
+
+    rng = random.Random(9)
+    rows = [(i, rng.uniform(40, 48), rng.uniform(-4, 4)) for i in rng.sample(range(5000), 200)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    assert {r.id: r.seed for r in graph.greedy_places(df, km, first=9).collect()} == slow_greedy(rows, km)
+
+
+def test_chain_of_one_person(spark):
+    """The edges that stay with a person are found without those of people who share none."""
+    rng = random.Random(2)
+    some = lambda n: [(rng.randrange(n), rng.randrange(25)) for _ in range(120)]
+    people, happened = (spark.createDataFrame(some(n), "entity_id long, source_id long") for n in (12, 30))
+    events = spark.createDataFrame([(i, rng.choice([None, *range(9)])) for i in range(27)], "id long, date_start int")
+    every = rows_of(graph.person_chain_edges(people, happened, events))
+    assert len(every) > 40
+    for p in (0, 3, 11, 99):
+        got = graph.person_chain_edges(people, happened, events, of=p)
+        at = sorted(got.columns).index("person_id")
+        assert rows_of(got) == [r for r in every if r[at] == p]
+
+
+def test_chains_are_shuffled_once_by_person(spark, data):
+    """Pairs of a person and an event are many; before, they were shuffled for distinct, for dates, and twice by person."""
+    t = Tables(spark, data)
+    plan = knowledge.person_chain_edges(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(person_id") == plan.count("Exchange hashpartitioning(person_id#") == 1
