@@ -153,10 +153,7 @@ def category_roots(t: Tables) -> DataFrame:
 @query("""SELECT b.id AS id, a.id AS other_id, row_number() OVER (PARTITION BY b.id ORDER BY abs(a.date_start - b.date_start), a.id) AS rank FROM event b JOIN event a ON a.category = b.category AND a.brand = b.brand AND abs(a.date_start - b.date_start) > 100 QUALIFY rank <= 3""")
 def same_category_far(t: Tables) -> DataFrame:
     """The three closest of a kind that are more than a century away."""
-    a, b = t.event.select("category", "brand", F.col("id").alias("other_id"), F.col("date_start").alias("y")), t.event.select("category", "brand", "id", "date_start")
-    gap = F.abs(F.col("y") - F.col("date_start"))
-    met = pairs.between(b, a, ["category", "brand"], ["id", "date_start"], ["other_id", "y"])
-    return windows.top_n(met.filter(gap > 100), ["id"], [gap.asc(), F.asc("other_id")], 3).select("id", "other_id", *_long("rank"))
+    return joins.nearest_years(t.event, ["category", "brand"], 3, 100).select("id", "other_id", *_long("rank"))
 
 
 @query("""SELECT id, title FROM event WHERE category IS NOT NULL AND contains(lower(title), 'e') AND date_start BETWEEN -800 AND -300 AND trim(coalesce(CASE WHEN id % 3 = 0 THEN '' ELSE title END, category)) <> '' ORDER BY date_start, id LIMIT 100""")
