@@ -7,16 +7,17 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annalum.functions import scores
-from annalum.operators.joins import co_mention_pairs, first_columns, join_hot, near_pairs
+from annalum.operators.joins import co_mention_pairs, first_columns, join_hot, near_between, near_pairs
 from annalum.operators.pairs import between
 from annalum.operators.windows import consecutive, top_n
 from annalum.sources.shared import kept
 
 
-FOLD = 500_000
+FOLD, FIRST = 500_000, 4096
 
 
 def _scored(edges: DataFrame, layer: str) -> DataFrame:
@@ -33,18 +34,43 @@ def causal_edges(mentions: DataFrame, events: DataFrame) -> DataFrame:
     return _scored(ends, "causal").select("a_id", "b_id", "sources", "distance", "direction", "strength")
 
 
-def person_chain_edges(person_mentions: DataFrame, event_mentions: DataFrame, events: DataFrame) -> DataFrame:
+def _person_steps(people: DataFrame, happened: DataFrame, events: DataFrame) -> DataFrame:
+    """person_id, events, a_id, b_id, a_year, b_year: each person's consecutive events by date, and how many the person has.
+
+    A source's pairs of a person and an event are many times its mentions. They are dealt by person once, with the event's
+    date, and made distinct, counted and put in order where they are. people: source_id, person_id; happened: source_id, id.
+    """
+    dated = happened.join(events.select("id", "date_start", F.lit(True).alias("_known")), "id", "left")
+    own = between(people, dated, ["source_id"], ["person_id"], ["id", "date_start", "_known"]).select("person_id", "id", "date_start", "_known")
+    own = own.repartition("person_id").distinct().withColumn("events", F.count("*").over(W.partitionBy("person_id"))).filter("_known")
+    w = W.partitionBy("person_id").orderBy("date_start", "id")
+    steps = own.select("person_id", "events", F.col("id").alias("a_id"), F.lead("id").over(w).alias("b_id"), F.col("date_start").alias("a_year"), F.lead("date_start").over(w).alias("b_year"))
+    return steps.filter("b_id is not null")
+
+
+def person_chain_edges(person_mentions: DataFrame, event_mentions: DataFrame, events: DataFrame, of: int | None = None) -> DataFrame:
     """Consecutive events of a person's sources, by date; an edge that several people give stays with the one who has
-    most events (the smallest id of equals)."""
+    most events (the smallest id of equals).
+
+    of: only the edges that stay with this person. Then only people are followed who have both events of an edge of theirs.
+    """
     people = kept(person_mentions.select("source_id", F.col("entity_id").alias("person_id")).distinct(), "mentioned")
     happened = kept(event_mentions.select("source_id", F.col("entity_id").alias("id")).distinct(), "mentioned")
-    own = between(people, happened, ["source_id"], ["person_id"], ["id"]).select("person_id", "id").distinct()
-    counted = own.groupBy("person_id").agg(F.count("*").alias("events"))
-    dated = own.join(events.select("id", "date_start"), "id")
-    steps = consecutive(dated, "person_id", ["date_start", "id"], ["id", "date_start"])
-    steps = steps.select("person_id", F.col("id_a").alias("a_id"), F.col("id_b").alias("b_id"), F.col("date_start_a").alias("a_year"), F.col("date_start_b").alias("b_year"), F.lit(1).alias("sources")).join(counted, "person_id")
-    first = top_n(steps, ["a_id", "b_id"], [F.desc("events"), F.asc("person_id")], 1)
-    return _scored(first, "person").select("person_id", "a_id", "b_id", "distance", "direction", "strength")
+    edges = None
+    if of is not None:
+        near = lambda some: happened.join(some.select("source_id").distinct(), "source_id", "left_semi")
+        own = people.filter(F.col("person_id") == of)
+        edges = kept(_person_steps(own, near(own), events).select("a_id", "b_id"), "own-edges")
+        ends = edges.select(F.col("a_id").alias("id")).union(edges.select("b_id")).distinct()
+        who = kept(between(people, happened.join(ends, "id"), ["source_id"], ["person_id"], ["id"]).select("person_id", "id").distinct(), "who")
+        both = who.withColumnRenamed("id", "a_id").join(edges, "a_id").join(who.withColumnRenamed("id", "b_id"), ["person_id", "b_id"])
+        people = kept(people.join(both.select("person_id").distinct(), "person_id", "left_semi"), "mentioned")
+        happened = near(people)
+    steps = _person_steps(people, happened, events)
+    steps = steps if edges is None else steps.join(edges, ["a_id", "b_id"], "left_semi")
+    first = top_n(steps.repartition("a_id", "b_id"), ["a_id", "b_id"], [F.desc("events"), F.asc("person_id")], 1)
+    first = first if of is None else first.filter(F.col("person_id") == of)
+    return _scored(first.withColumn("sources", F.lit(1)), "person").select("person_id", "a_id", "b_id", "distance", "direction", "strength")
 
 
 def location_chain_edges(events: DataFrame, least: int = 2, most_locations: int = 1000) -> DataFrame:
@@ -114,19 +140,33 @@ def absorbed(pairs: DataFrame) -> DataFrame:
     return left.groupBy(F.col("b_id").alias("id")).agg(F.min("a_id").alias("keep_id"))
 
 
-def greedy_places(rows: DataFrame, km: float = 500.0) -> DataFrame:
+def greedy_places(rows: DataFrame, km: float = 500.0, first: int = FIRST) -> DataFrame:
     """id, seed of every row: in the order of ids, a row that no seed has taken is a seed and takes all others within km.
 
-    Rows at one place always go together, so places are compared, not rows: a place stands under its smallest id. Seeds
-    are found in rounds by absorbed(), and no group is a task of its own. Rows without a place, or with a coordinate of 0,
-    are one batch, with a null seed. rows: id, latitude, longitude.
+    Rows at one place always go together, so places are compared, not rows: a place stands under its smallest id. Places
+    are decided in batches by id, the first of `first` places, each four times the one before: of what earlier seeds have
+    left of a batch, absorbed() finds the seeds, and these take what they reach of the rest. What is left of a batch hardly
+    has neighbours, unless ids follow places, so crowded places are not compared with one another. At last every place goes
+    to the smallest seed within km. No group is a task of its own. Rows without a place, or with a coordinate of 0, are one
+    batch, with a null seed. rows: id, latitude, longitude.
     """
     placed = rows.select("id", "latitude", "longitude").withColumn("_ok", F.coalesce((F.col("latitude") != 0) & (F.col("longitude") != 0), F.lit(False)))
-    places = kept(placed.filter("_ok").groupBy("latitude", "longitude").agg(F.min("id").alias("id")), "places")
-    taken = absorbed(near_pairs(places, km).select("a_id", "b_id"))
-    seeds = places.join(taken, "id", "left").select("latitude", "longitude", F.coalesce("keep_id", "id").alias("seed"))
-    found = placed.filter("_ok").join(seeds, ["latitude", "longitude"]).select("id", "seed")
-    return found.unionByName(placed.filter("not _ok").select("id", F.lit(None).cast(found.schema["seed"].dataType).alias("seed")))
+    places = left = kept(placed.filter("_ok").groupBy("latitude", "longitude").agg(F.min("id").alias("id")), "places")
+    found = []
+    while n := left.count():
+        last = left.select("id").orderBy("id").limit(first).agg(F.max("id")).first()[0] if n > first else None
+        batch = kept(left.filter(F.col("id") <= last), "batch") if n > first else left
+        taken = absorbed(near_pairs(batch, km).select("a_id", "b_id"))
+        found.append(kept(batch.join(taken, "id", "left_anti"), "seeds"))
+        if n <= first:
+            break
+        reached = near_between(found[-1], left.filter(F.col("id") > last), km).select(F.col("b_id").alias("id")).distinct()
+        left, first = kept(left.filter(F.col("id") > last).join(reached, "id", "left_anti"), "places"), 4 * first
+    seeds = reduce(DataFrame.unionByName, found) if found else places.limit(0)
+    nearest = near_between(seeds, places, km).groupBy(F.col("b_id").alias("id")).agg(F.min("a_id").alias("seed"))
+    of_place = places.join(nearest, "id").select("latitude", "longitude", "seed")
+    out = placed.filter("_ok").join(of_place, ["latitude", "longitude"]).select("id", "seed")
+    return out.unionByName(placed.filter("not _ok").select("id", F.lit(None).cast(out.schema["seed"].dataType).alias("seed")))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
