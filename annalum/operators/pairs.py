@@ -55,8 +55,10 @@ def within(rows: DataFrame, keys: list[str], order: str, values: list[str] | Non
     return met.select(*keys, *[turned(v, "a") for v in values], *[turned(v, "b") for v in values])
 
 
-def between(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], block: int = BLOCK) -> DataFrame:
-    """keys and the columns of every row of left with every row of right of the same key; value names are unlike."""
+def between(left: DataFrame, right: DataFrame, keys: list[str], left_values: list[str], right_values: list[str], block: int = BLOCK, spread: bool = False) -> DataFrame:
+    """keys and the columns of every row of left with every row of right of the same key; value names are unlike.
+
+    spread: cells stay in as many tasks as shuffles have partitions, where what pairs cost is far above what rows weigh."""
     left, right = left.select(*keys, *left_values), right.select(*keys, *right_values)
     cuts = [_cut(left, keys, block), _cut(right, keys, block)]
     counts = [c.count() for c in cuts]
@@ -71,4 +73,8 @@ def between(left: DataFrame, right: DataFrame, keys: list[str], left_values: lis
         i, j = (own.alias("_i"), all_others.alias("_j")) if mine == 0 else (all_others.alias("_i"), own.alias("_j"))
         return both.select(*keys, *values, i, j)
 
-    return placed(left, left_values, 0).hint("merge").join(placed(right, right_values, 1), [*keys, "_i", "_j"]).drop("_i", "_j")
+    cells = [placed(left, left_values, 0), placed(right, right_values, 1)]
+    if spread:
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = [c.repartition(n, *keys, "_i", "_j") for c in cells]
+    return cells[0].hint("merge").join(cells[1], [*keys, "_i", "_j"]).drop("_i", "_j")

@@ -7,6 +7,10 @@ with repeats. Grams stand in one order, rare ones first; then two such strings s
 those are the candidates' keys. Lengths must agree as well, and what is left is verified. Strings so short that no
 shared gram is certain meet by their characters. Keys that many strings have are split into cells.
 
+Short strings share most of their grams where they only count up, so they meet otherwise: two of lengths x and y have
+a common subsequence of L characters just if leaving x - L characters out of one and y - L out of the other can give the same
+string. Up to a length where that is MOST_VARIANTS strings at most for both, those are the keys, and they find no pair too many.
+
 The bound holds from t = 0.7 on; the ratio of matching blocks (Ratcliff-Obershelp) is never above the one used here, so
 the same candidates serve it.
 """
@@ -14,7 +18,11 @@ the same candidates serve it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +30,7 @@ from annalum.functions.strings import ratio
 from annalum.operators import pairs
 from annalum.sources.shared import kept
 
-BROADCAST_GRAMS = 200_000
+BROADCAST_GRAMS, MOST_VARIANTS, LONGEST, PIECE = 200_000, 1000, 64, 50_000
 
 
 def _tokens(s: Column, short: int) -> Column:
@@ -49,17 +57,76 @@ def _keys(strings: DataFrame, t: float, short: int) -> DataFrame:
     return grams.select("s", F.explode(F.transform(F.concat(prefix, chars), lambda p: p["token"])).alias("token"))
 
 
+def _common(x: int, y: int, least: float) -> int:
+    """How long a common subsequence must be."""
+    return math.ceil(least * (x + y) / 2 - 1e-9)
+
+
+def _variants(x: int, y: int, least: float) -> int:
+    common = _common(x, y, least)
+    return 0 if common > min(x, y) else math.comb(x, x - common) + math.comb(y, y - common)
+
+
+def countable(least: float) -> int:
+    """Strings of up to so many characters meet by what is left of them."""
+    for y in range(1, LONGEST + 1):
+        if any(_variants(x, y, least) > MOST_VARIANTS for x in range(1, y + 1)):
+            return y - 1
+    return LONGEST
+
+
+def _rests(batches: Iterator[pa.RecordBatch], lengths: list[int], least: float) -> Iterator[pa.RecordBatch]:
+    """s -> (s, own, other, rest): what can be left of s for partners of each length."""
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["s", "own", "other", "rest"])
+
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            x, by_size = len(s), {}
+            for y in lengths:
+                common = _common(x, y, least)
+                if common <= min(x, y):
+                    if common not in by_size:
+                        by_size[common] = {"".join(c) for c in combinations(s, common)}
+                    out += [(s, x, y, rest) for rest in by_size[common]]
+            if len(out) >= PIECE:
+                yield made()
+    if out:
+        yield made()
+
+
+def _by_rests(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """a_s, b_s of short strings that have the ratio; a, b: s."""
+    lengths = [sorted(r.n for r in df.select(F.length("s").alias("n")).distinct().collect()) for df in (a, b)]  # LONGEST at most
+    if not all(lengths):
+        return a.select(F.col("s").alias("a_s"), F.col("s").alias("b_s")).limit(0)
+    rests = lambda df, partners: df.mapInArrow(partial(_rests, lengths=partners, least=least), "s string, own int, other int, rest string")
+    left = kept(rests(a, lengths[1]).select("rest", F.col("own").alias("x"), F.col("other").alias("y"), F.col("s").alias("a_s")), "rests")
+    right = kept(rests(b, lengths[0]).select("rest", F.col("other").alias("x"), F.col("own").alias("y"), F.col("s").alias("b_s")), "rests")
+    return pairs.between(left, right, ["rest", "x", "y"], ["a_s"], ["b_s"]).select("a_s", "b_s")
+
+
 def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Distinct (a_s, b_s) of strings that can have a ratio of `least`, none missing. a, b: distinct s."""
     if not 0.7 <= least <= 1:
         raise ValueError("grams tell strings apart from a ratio of 0.7 on")
     short = math.ceil(1 / (1.5 * least - 1)) + 2  # longer ones share a gram for certain
-    own = kept(a.select("s", F.lit(0).alias("_side")).unionByName(b.select("s", F.lit(1).alias("_side"))), "strings")
-    keys = kept(_keys(own.select("s").filter("s <> ''").distinct(), least, short), "string-keys")
-    side = lambda i, name: keys.join(own.filter(F.col("_side") == i).select("s"), "s").select("token", F.col("s").alias(name))
-    met = pairs.between(side(0, "a_s"), side(1, "b_s"), ["token"], ["a_s"], ["b_s"])
+    brief = F.length("s") <= countable(least)
+    own = kept(a.select("s", F.lit(0).alias("_side")).unionByName(b.select("s", F.lit(1).alias("_side"))).filter("s <> ''"), "strings")
+    at = lambda i: own.filter(F.col("_side") == i).select("s")
+    keys = kept(_keys(own.select("s").distinct(), least, short), "string-keys")
+    side = lambda df, name: keys.join(df, "s").select("token", F.col("s").alias(name))
+    grams = lambda left, right: pairs.between(side(left, "a_s"), side(right, "b_s"), ["token"], ["a_s"], ["b_s"], spread=True)
+    met = grams(at(0).filter(~brief), at(1)).unionByName(grams(at(0).filter(brief), at(1).filter(~brief)))
     alike = 2 * F.least(F.length("a_s"), F.length("b_s")) >= least * (F.length("a_s") + F.length("b_s")) - 1e-9
-    return met.filter(alike).select("a_s", "b_s").distinct()
+    # Changes of one character are at most as many as characters left out of either.
+    changes = F.levenshtein("a_s", "b_s") <= (1 - least) * (F.length("a_s") + F.length("b_s")) + 1e-9
+    met = met.filter(alike).filter(changes).select("a_s", "b_s")
+    return met.unionByName(_by_rests(at(0).filter(brief), at(1).filter(brief), least)).distinct()
 
 
 def similar(a: DataFrame, b: DataFrame, least: float, score=ratio) -> DataFrame:

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__  # noqa: F401
-from annalum.operators import graph, joins, pairs, resolve, vector_index, vector_pairs
+from annalum.functions import strings
+from annalum.operators import graph, joins, pairs, resolve, similar_strings, vector_index, vector_pairs
 from annalum.plans import complete, knowledge, whole
 from annalum.plans.catalog import ORACLE_SQL, QUERIES
 from annalum.schema import Tables
@@ -210,3 +211,14 @@ def test_chains_are_shuffled_once_by_person(spark, data):
     t = Tables(spark, data)
     plan = knowledge.person_chain_edges(t)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(person_id") == plan.count("Exchange hashpartitioning(person_id#") == 1
+
+
+def test_names_that_count_up(spark):
+    """Grams of such names are all alike; what is left of them without a character is not."""
+    names = [f"customer#{i:09d}" for i in range(0, 3000, 7)] + ["customer#", "customer#00000012", "customer#0000000123", "a", ""]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = {(r.a_s, r.b_s) for r in similar_strings.similar(df, df, 0.9).collect()}
+    want = {(a, b) for a in names for b in names if strings.indel_ratio(a, b) >= 0.9}
+    assert got == want
+    met = similar_strings.candidates(df, df, 0.9).filter("length(a_s) = 18 and length(b_s) = 18").count()
+    assert met == sum(len(a) == len(b) == 18 for a, b in want)  # no pair too many
